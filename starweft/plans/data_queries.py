@@ -92,8 +92,8 @@ def _raw_sql(name: str, fields: int) -> str:
     SELECT line_id, line, quoted, n, {cols} FROM (
       SELECT line_id, line,
         regexp_full_match(line, '{_FIELD}(,{_FIELD})*', 's') AS quoted,
-        len(regexp_extract_all(line, '(^|,){_FIELD}', 0, 's')) AS n,
-        list_transform(regexp_extract_all(line, '(^|,){_FIELD}', 0, 's'), lambda x, i: CASE WHEN i > 1 THEN x[2:] ELSE x END) AS m
+        len(regexp_extract_all(',' || line, ',{_FIELD}', 0, 's')) AS n,
+        list_transform(regexp_extract_all(',' || line, ',{_FIELD}', 0, 's'), lambda x: x[2:]) AS m
       FROM {name})"""
 
 

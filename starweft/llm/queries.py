@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encode, leak, split
+from . import components, encode, leak, split
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Group identifier of every linked detid."""
+    return components.detection_groups(*(table(spark, d, x) for x in ("linked_clusters", "detections", "match_pairs", "detection_catalog")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +49,6 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "piece_no", "n_pieces", "start", "stop", F.size("ids").alias("n_tokens"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
 
 SQL: dict[str, str] = {"p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

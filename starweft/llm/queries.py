@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, encode, leak, split
+from . import components, encode, leak, neighbours, split
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 detections nearest to each probe in direction and epoch."""
+    vectors = neighbours.detection_vectors(table(spark, d, "detections"))
+    probes = table(spark, d, "probes").select("probe_id", F.col("intid").alias("id"))
+    return neighbours.most_similar(vectors, "intid", ["x", "y", "z", "t"], 10, probes).select("probe_id", F.col("id").alias("intid"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +56,16 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "piece_no", "n_pieces", "start", "stop", F.size("ids").alias("n_tokens"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p5_found, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
+
+_VECTORS = """SELECT intid, rho_x, rho_y, rho_z, 0.01e0 * (epoch - 2460000.5e0) AS t FROM detections
+  WHERE epoch IS NOT NULL AND NOT isnan(epoch) AND NOT isnan(rho_x) AND NOT isnan(rho_y) AND NOT isnan(rho_z)
+    AND abs(sqrt(rho_x * rho_x + rho_y * rho_y + rho_z * rho_z) - 1) <= 1e-6"""
 
-SQL: dict[str, str] = {"p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH v AS ({_VECTORS}),
+      p AS (SELECT probe_id, v.* FROM probes JOIN v USING (intid)),
+      c AS (SELECT probe_id, v.intid, sqrt((p.rho_x - v.rho_x) * (p.rho_x - v.rho_x) + (p.rho_y - v.rho_y) * (p.rho_y - v.rho_y) + (p.rho_z - v.rho_z) * (p.rho_z - v.rho_z) + (p.t - v.t) * (p.t - v.t)) AS distance
+            FROM p, v WHERE p.intid <> v.intid)
+      SELECT probe_id, intid FROM c QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY distance, intid) <= 10""",
+    "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import components, encode, leak, neighbours, split
+from . import components, encode, leak, mixture, neighbours, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.most_similar(vectors, "intid", ["x", "y", "z", "t"], 10, probes).select("probe_id", F.col("id").alias("intid"))
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    points = mixture.detection_points(table(spark, d, "detections"), table(spark, d, "linked_clusters"))
+    return mixture.similarity_groups(points, radius=3.4e-5, least=4)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the groups of mutually similar points."""
+    return _groups(spark, d).select("scope", "group_id", F.col("id").alias("intid"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each group of mutually similar points."""
+    return mixture.described(_groups(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Group identifier of every linked detid."""
     return components.detection_groups(*(table(spark, d, x) for x in ("linked_clusters", "detections", "match_pairs", "detection_catalog")))
@@ -56,7 +71,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "piece_no", "n_pieces", "start", "stop", F.size("ids").alias("n_tokens"), "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p5_found, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p5_found, p8_ids, p8_roundtrip, p9_found, p9_clean, p10_found, p10_pieces)}
 
 _VECTORS = """SELECT intid, rho_x, rho_y, rho_z, 0.01e0 * (epoch - 2460000.5e0) AS t FROM detections
   WHERE epoch IS NOT NULL AND NOT isnan(epoch) AND NOT isnan(rho_x) AND NOT isnan(rho_y) AND NOT isnan(rho_z)

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries
+from . import data_queries, sky_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**data_queries.QUERIES}
+    return {**data_queries.QUERIES, **sky_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data_queries.SQL}
+    return {**data_queries.SQL, **sky_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p6_found(spark, sf_dir)
+    return sky_queries.tangent_search(spark, sf_dir)

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
@@ -19,40 +19,40 @@ def nside(depth: int) -> int:
 
 
 def morton(i: Column, j: Column) -> Column:
-    """Bits of i and j interleaved, i in the even places."""
+    """Bits of i and j interleaved, i in the even places: binary digits read as a number to the base 4."""
 
     def spread(v: Column) -> Column:
-        v = v.cast("long")
-        for shift, mask in _SPREAD:
-            v = (v.bitwiseOR(F.shiftleft(v, shift))).bitwiseAND(F.lit(mask))
-        return v
+        return F.conv(F.bin(v.cast("long")), 4, 10).cast("long")
+
+    return spread(i) + 2 * spread(j)
 
-    return spread(i).bitwiseOR(F.shiftleft(spread(j), 1))
 
+def with_pixel(df: DataFrame, depth: int, prefix: str, name: str = "hpix") -> DataFrame:
+    """df with the nested pixel of the direction <prefix>_x, _y, _z (of any length); rows without a direction are dropped.
 
-def pixel(depth: int, x: Column, y: Column, z: Column) -> Column:
-    """Nested pixel of a direction of any length but zero; null for a null, NaN or zero vector."""
+    Worked out in steps of few columns each, so that generated code computes every intermediate value once.
+    """
     n = nside(depth)
-    norm = F.sqrt(x * x + y * y + z * z)
-    zz, za = z / norm, F.abs(z / norm)
-    rho2 = (x * x + y * y) / (norm * norm)
-    tt = F.pmod(F.atan2(y, x), F.lit(2 * math.pi)) * (2.0 / math.pi)
-    tt = F.when(tt >= 4.0, F.lit(0.0)).otherwise(tt)
-    # the belt
-    jp, jm = F.floor(n * (0.5 + tt - 0.75 * zz)), F.floor(n * (0.5 + tt + 0.75 * zz))
-    fp, fm = F.floor(jp / n), F.floor(jm / n)
-    face_belt = F.when(fp == fm, F.pmod(fp, F.lit(4)) + 4).when(fp < fm, fp).otherwise(fm + 8)
-    ix_belt, iy_belt = F.pmod(jm, F.lit(n)), n - 1 - F.pmod(jp, F.lit(n))
-    # the caps; 1 - |z| without cancellation
-    quarter = F.least(F.floor(tt), F.lit(3))
-    tp, size = tt - quarter, n * F.sqrt(3.0 * rho2 / (1.0 + za))
-    kp, km = F.least(F.floor(tp * size), F.lit(n - 1)), F.least(F.floor((1.0 - tp) * size), F.lit(n - 1))
-    north = zz >= 0
-    face_cap = F.when(north, quarter).otherwise(quarter + 8)
-    ix_cap, iy_cap = F.when(north, n - 1 - km).otherwise(kp), F.when(north, n - 1 - kp).otherwise(km)
-    belt = za <= 2.0 / 3.0
-    face, ix, iy = (F.when(belt, a).otherwise(b) for a, b in ((face_belt, face_cap), (ix_belt, ix_cap), (iy_belt, iy_cap)))
-    return F.when((norm > 0) & ~F.isnan(norm), F.shiftleft(face.cast("long"), 2 * depth) + morton(ix, iy))
+    v = [F.col(f"{prefix}_{c}") for c in "xyz"]
+    length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    cols = df.columns
+    df = df.filter((length > 0) & (length < F.lit(float("inf"))))
+    df = df.select(*cols, (v[2] / length).alias("__z"), ((v[0] * v[0] + v[1] * v[1]) / (length * length)).alias("__s2"), (F.pmod(F.atan2(v[1], v[0]), F.lit(2 * math.pi)) * (2.0 / math.pi)).alias("__t"))
+    z, t = F.col("__z"), F.least(F.col("__t"), F.lit(3.9999999999999996))
+    df = df.select(*cols, "__z", "__s2", t.alias("__t"), F.floor(t).cast("long").alias("__q"), (t - F.floor(t)).alias("__tp"))
+    size = n * F.sqrt(3.0 * F.col("__s2") / (1.0 + F.abs(z)))
+    belt = F.abs(z) <= 2.0 / 3.0
+    # j, k: the two diagonal coordinates, of the belt or of the caps
+    j = F.when(belt, n * (0.5 + F.col("__t") - 0.75 * z)).otherwise(F.least(F.col("__tp") * size, F.lit(n - 0.5)))
+    k = F.when(belt, n * (0.5 + F.col("__t") + 0.75 * z)).otherwise(F.least((1.0 - F.col("__tp")) * size, F.lit(n - 0.5)))
+    df = df.select(*cols, belt.alias("__b"), (z >= 0).alias("__n"), "__q", F.floor(j).cast("long").alias("__j"), F.floor(k).cast("long").alias("__k"))
+    low = F.lit(n - 1).cast("long")
+    df = df.select(*cols, "__b", "__n", "__q", F.shiftright("__j", depth).alias("__fj"), F.shiftright("__k", depth).alias("__fk"), F.col("__j").bitwiseAND(low).alias("__j"), F.col("__k").bitwiseAND(low).alias("__k"))
+    fj, fk = F.col("__fj"), F.col("__fk")
+    face = F.when(F.col("__b"), F.when(fj == fk, F.pmod(fj, F.lit(4)) + 4).when(fj < fk, fj).otherwise(fk + 8)).when(F.col("__n"), F.col("__q")).otherwise(F.col("__q") + 8)
+    ix = F.when(F.col("__b"), F.col("__k")).when(F.col("__n"), n - 1 - F.col("__k")).otherwise(F.col("__j"))
+    iy = F.when(F.col("__b") | F.col("__n"), n - 1 - F.col("__j")).otherwise(F.col("__k"))
+    return df.select(*cols, (F.shiftleft(face.cast("long"), 2 * depth) + morton(ix, iy)).alias(name))
 
 
 # The same in numpy, for centres and neighbours.

@@ -18,10 +18,10 @@ TT_MINUS_TAI = 32.184
 
 
 def tai_minus_utc(jd_utc: Column) -> Column:
-    out = F.lit(float(LEAP_SECONDS[0][1]))
-    for start, seconds in LEAP_SECONDS[1:]:
-        out = F.when(jd_utc >= start, F.lit(float(seconds))).otherwise(out)
-    return out
+    starts = F.array(*[F.lit(start) for start, _ in LEAP_SECONDS[1:]])  # a literal array, folded once
+    passed = F.size(F.filter(starts, lambda start: jd_utc >= start))
+    # TAI - UTC has gone up by one second at each of them
+    return F.lit(float(LEAP_SECONDS[0][1])) + passed
 
 
 def utc_to_tdb(jd_utc: Column, periodic: bool = True) -> Column:

@@ -58,8 +58,8 @@ def time_cube(points: DataFrame, keys: list[str], scale: float, days: float = 15
 
 def pixel_counts(points: DataFrame, keys: list[str], depth: int, prefix: str = "s") -> DataFrame:
     """(keys, hpix, n)"""
-    v = Vec.of(prefix)
-    return points.select(*keys, healpix.pixel(depth, v.x, v.y, v.z).alias("hpix")).filter("hpix is not null").groupBy(*keys, "hpix").agg(F.count("*").alias("n"))
+    at = healpix.with_pixel(points.select(*keys, *[f"{prefix}_{c}" for c in "xyz"]), depth, prefix)
+    return at.groupBy(*keys, "hpix").agg(F.count("*").alias("n"))
 
 
 def hit_grid(points: DataFrame, scale: float, prefix: str = "rho") -> tuple[DataFrame, DataFrame]:

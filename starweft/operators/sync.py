@@ -12,66 +12,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LIGHT_AU_PER_DAY
-from ..functions.geometry import Vec, chebyshev
+from ..functions.geometry import Vec
 from ..staging import BROADCAST_ROWS
 
 STEPS = 6
 TOLERANCE = 1e-6
 
 
+def nan() -> Column:
+    return F.lit(float("nan"))
+
+
+def _number(c: str) -> Column:
+    """A column without nulls: NaN runs through all arithmetic by itself, and the generated code stays small enough for the
+    JVM to compile it."""
+    return F.coalesce(F.col(c).cast("double"), nan())
+
+
 def with_dots(detections: DataFrame) -> DataFrame:
     """rho . R and R^2 of each detection, computed once."""
+    numbers = ["epoch", *[f"{p}_{c}" for p in ("rho", "obs") for c in "xyz"]]
+    df = detections.withColumns({c: _number(c) for c in numbers})
     rho, obs = Vec.of("rho"), Vec.of("obs")
-    return detections.withColumns({"rho_dot_obs": rho.dot(obs), "obs2": obs.dot(obs)})
+    return df.withColumns({"rho_dot_obs": rho.dot(obs), "obs2": obs.dot(obs)})
+
+
+def flat_orbits(orbits: DataFrame) -> DataFrame:
+    """Orbits with their series as coefficients of powers, in columns without nulls."""
+    out = [F.col("id").alias("ic_id")] + [_number(c).alias(f"o_{c}") for c in ("r", "kappa", "orbit_epoch", "mu", "h", "energy", "cos_inc", "sin_lat", "bounds")]
+    for name in ("r", "vr", "f", "g"):
+        c = [F.coalesce(F.get(F.col(f"{name}_poly"), F.lit(k)), nan()) for k in range(4)]
+        for k, power in enumerate((c[0] - c[2], c[1] - 3.0 * c[3], 2.0 * c[2], 4.0 * c[3])):
+            out.append(power.alias(f"o_{name}{k}"))
+    return orbits.select(*out)
+
+
+def _series(name: str, x: Column) -> Column:
+    c = [F.col(f"o_{name}{k}") for k in range(4)]
+    return c[0] + x * (c[1] + x * (c[2] + x * c[3]))
 
 
 def each_orbit(detections: DataFrame, orbits: DataFrame) -> DataFrame:
+    """The stated product; orbits are counted first and refused beyond a bound, so the broadcast has a known size."""
     n = orbits.count()
     if n > BROADCAST_ROWS:
         raise ValueError(f"{n} orbits at once: give them in blocks of at most {BROADCAST_ROWS}")
-    return detections.crossJoin(F.broadcast(orbits.withColumnRenamed("id", "ic_id")))
+    return detections.crossJoin(F.broadcast(orbits))
 
 
 def solve_range(pairs: DataFrame, sign: float = 1.0, steps: int = STEPS) -> DataFrame:
-    """rho and r_at: the range at which the line of sight meets the orbit's distance, light time included; null where the
-    line misses it or the fixed point does not settle. The steps are unrolled, since lambdas are not code-generated."""
-    df = pairs.withColumns({"rho": F.col("r") - 1.0, "r_at": F.lit(None).cast("double"), "done": F.lit(False), "miss": F.lit(False)})
+    """rho and r_at: the range at which the line of sight meets the orbit's distance, light time included; NaN where the
+    line misses it or the fixed point does not settle. The steps are unrolled, since lambdas are not code-generated; a step
+    after the first settled one changes nothing."""
+    keep = pairs.columns
+    df = pairs.select(*keep, (F.col("o_r") - 1.0).alias("rho"), F.lit(1.0).alias("gap"), (F.col("rho_dot_obs") * F.col("rho_dot_obs") - F.col("obs2")).alias("miss2"))
     for _ in range(steps):
-        t = F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY
-        r_now = chebyshev(F.col("r_poly"), (t - F.col("orbit_epoch")) / F.col("bounds"))
-        df = df.withColumn("r_new", r_now)
-        disc = F.col("r_new") * F.col("r_new") + F.col("rho_dot_obs") * F.col("rho_dot_obs") - F.col("obs2")
-        df = df.withColumn("disc", disc)
-        df = df.withColumn("rho_new", F.when(F.col("disc") >= 0, sign * F.sqrt(F.col("disc")) - F.col("rho_dot_obs")))
-        go = ~F.col("done") & ~F.col("miss")
-        df = df.withColumns(
-            {
-                "miss": F.col("miss") | (go & F.col("rho_new").isNull()),
-                "rho_next": F.when(go & F.col("rho_new").isNotNull(), F.col("rho_new")).otherwise(F.col("rho")),
-                "r_at": F.when(go, F.col("r_new")).otherwise(F.col("r_at")),
-                "done": F.col("done") | (go & F.coalesce(F.abs(F.col("rho_new") - F.col("rho")) < TOLERANCE, F.lit(False))),
-            }
-        )
-        df = df.withColumn("rho", F.col("rho_next")).drop("rho_next", "r_new", "disc", "rho_new")
-    ok = F.col("done") & ~F.col("miss")
-    return df.withColumns({"rho": F.when(ok, F.col("rho")), "r_at": F.when(ok, F.col("r_at"))}).drop("done", "miss")
+        x = (F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
+        df = df.select(*keep, "rho", "gap", "miss2", x.alias("x"))
+        df = df.select(*keep, "rho", "gap", "miss2", _series("r", F.col("x")).alias("rt"))
+        new = F.when(F.col("gap") < TOLERANCE, F.col("rho")).otherwise(sign * F.sqrt(F.col("rt") * F.col("rt") + F.col("miss2")) - F.col("rho_dot_obs"))
+        df = df.select(*keep, F.col("rho").alias("old"), "gap", "miss2", new.alias("rho"))
+        df = df.select(*keep, "rho", F.when(F.col("gap") < TOLERANCE, F.col("gap")).otherwise(F.abs(F.col("rho") - F.col("old"))).alias("gap"), "miss2")
+    df = df.select(*keep, F.when(F.col("gap") < TOLERANCE, F.col("rho")).otherwise(nan()).alias("rho"))
+    return df.select(*keep, "rho", F.sqrt(F.col("rho") * F.col("rho") + 2.0 * F.col("rho") * F.col("rho_dot_obs") + F.col("obs2")).alias("r_at"))
 
 
 def _sync_vectors(df: DataFrame, velocity: str) -> DataFrame:
-    """The orbit's position and velocity at the detection's light-corrected time, and the moved point."""
-    df = df.withColumns({f"p_{c}": F.col(f"obs_{c}") + F.col("rho") * F.col(f"rho_{c}") for c in "xyz"})
-    t = F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY
-    df = df.withColumn("t_light", t)
-    mirrored = (F.col("orbit_epoch") - F.col("t_light")) / F.col("bounds")
-    df = df.withColumn("u_mirror", mirrored)
-    p, r = Vec.of("p"), F.col("r_at")
-    v2 = 2.0 * F.greatest(F.col("energy") + F.col("mu") / r, F.lit(0.0))
-    vo = F.col("h") / r
-    radial = F.sqrt(F.greatest(v2 - vo * vo, F.lit(0.0)))
-    if velocity == "signed":
-        radial = chebyshev(F.col("vr_poly"), (F.col("t_light") - F.col("orbit_epoch")) / F.col("bounds"))
-    df = df.withColumns({"xy": F.hypot(p.x, p.y), "v_rad": radial, "v_tan": vo, "f_m": chebyshev(F.col("f_poly"), F.col("u_mirror")), "g_m": chebyshev(F.col("g_poly"), F.col("u_mirror"))})
-    return df
+    """The orbit's position and velocities at the detection's light-corrected time, and f and g at the mirrored one."""
+    keep = df.columns
+    p = [(F.col(f"obs_{c}") + F.col("rho") * F.col(f"rho_{c}")).alias(f"p_{c}") for c in "xyz"]
+    df = df.select(*keep, *p, (F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY).alias("t_light"))
+    ahead = (F.col("t_light") - F.col("o_orbit_epoch")) / F.col("o_bounds")
+    df = df.select(*keep, "p_x", "p_y", "p_z", "t_light", ahead.alias("u"), (F.col("o_h") / F.col("r_at")).alias("v_tan"), F.sqrt(F.col("p_x") * F.col("p_x") + F.col("p_y") * F.col("p_y")).alias("xy"))
+    v2 = 2.0 * F.greatest(F.col("o_energy") + F.col("o_mu") / F.col("r_at"), F.lit(0.0)) - F.col("v_tan") * F.col("v_tan")
+    radial = _series("vr", F.col("u")) if velocity == "signed" else F.sqrt(F.greatest(v2, F.lit(0.0)))
+    return df.select(*keep, "p_x", "p_y", "p_z", "t_light", "u", "v_tan", "xy", radial.alias("v_rad"), _series("f", -F.col("u")).alias("f_m"), _series("g", -F.col("u")).alias("g_m"))
+
+
+def _point(df: DataFrame, keep: list[str], cos_psi: Column, sin_psi_sign: Column) -> DataFrame:
+    """keep and the moved point times the orbit's distance (q_x, q_y, q_z); NaN where the inclination cannot hold it."""
+    df = df.select(*keep, "p_x", "p_y", "p_z", "xy", "r_at", "v_tan", "v_rad", "f_m", "g_m", cos_psi.alias("cos_psi"))
+    sin_psi = sin_psi_sign * F.sqrt(1.0 - F.col("cos_psi") * F.col("cos_psi"))
+    across = F.col("g_m") * F.col("v_tan") * F.col("cos_psi") / F.col("xy")
+    up = F.col("g_m") * F.col("v_tan") * sin_psi / (F.col("r_at") * F.col("xy"))
+    along = F.col("f_m") + F.col("g_m") * F.col("v_rad") / F.col("r_at")
+    df = df.select(*keep, "p_x", "p_y", "p_z", "xy", across.alias("across"), up.alias("up"), along.alias("along"))
+    x, y, z, a, b, k = (F.col(c) for c in ("p_x", "p_y", "p_z", "across", "up", "along"))
+    return df.select(*keep, (k * x - a * y - b * z * x).alias("q_x"), (k * y + a * x - b * z * y).alias("q_y"), (k * z + b * F.col("xy") * F.col("xy")).alias("q_z"))
+
+
+def _pairs(detections: DataFrame, orbits: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The product with what all syncs need, and the columns of the detections to hand on."""
+    return each_orbit(with_dots(detections), flat_orbits(orbits)), detections.columns
 
 
 def sync(detections: DataFrame, orbits: DataFrame, keep_all: bool = False, velocity: str = "absolute") -> DataFrame:
@@ -79,20 +111,15 @@ def sync(detections: DataFrame, orbits: DataFrame, keep_all: bool = False, veloc
 
     `velocity`: 'absolute' takes the radial velocity as not negative, 'signed' takes its sign from the orbit.
     """
-    df = _sync_vectors(solve_range(each_orbit(with_dots(detections), orbits)), velocity)
-    p, r, xy = Vec.of("p"), F.col("r_at"), F.col("xy")
-    cos_psi = F.col("cos_inc") * r / xy
-    df = df.withColumn("cos_psi", cos_psi)
-    sin_psi = F.col("kappa") * F.sqrt(F.greatest(1.0 - F.col("cos_psi") * F.col("cos_psi"), F.lit(0.0)))
-    reach = (F.abs(p.z / r) <= F.col("sin_lat")) & (F.abs(F.col("cos_psi")) <= 1.0)
-    finite_sums = ~F.isnan(F.col("cos_psi") + F.col("f_m") + F.col("g_m") + F.col("v_rad"))
-    df = df.withColumns({"sin_psi": sin_psi, "reach": F.coalesce(reach & finite_sums, F.lit(False))})
-    a, b = F.col("v_tan") * F.col("cos_psi") / xy, F.col("v_tan") * F.col("sin_psi") / (r * xy)
-    v = Vec(F.col("v_rad") * p.x / r - a * p.y - b * p.z * p.x, F.col("v_rad") * p.y / r + a * p.x - b * p.z * p.y, F.col("v_rad") * p.z / r + b * xy * xy)
-    f, g = F.col("f_m"), F.col("g_m")
-    moved = [((pc * f + vc * g) / F.col("r")).alias(f"s_{c}") for c, pc, vc in zip("xyz", (p.x, p.y, p.z), (v.x, v.y, v.z))]
-    beyond = (F.abs(F.col("t_light") - F.col("orbit_epoch")) > F.col("bounds")).alias("extrapolated")
-    return _generated(df, [*detections.columns, "ic_id"], F.col("reach"), [F.col("rho"), F.col("r_at"), F.col("t_light"), beyond, *moved], keep_all)
+    pairs, own = _pairs(detections, orbits)
+    df = _sync_vectors(solve_range(pairs), velocity)
+    keep = [*own, "ic_id", "rho", "r_at", "t_light", "u", "o_r"]
+    reach = F.abs(F.col("p_z") / F.col("r_at")) <= F.col("o_sin_lat")
+    df = df.withColumn("reach", reach)
+    df = _point(df, [*keep, "reach", "o_kappa"], F.col("o_cos_inc") * F.col("r_at") / F.col("xy"), F.col("o_kappa"))
+    good = F.col("reach") & ~F.isnan(F.col("q_x") + F.col("q_y") + F.col("q_z"))
+    values = [F.col("rho"), F.col("r_at"), F.col("t_light"), (F.abs("u") > 1.0).alias("extrapolated"), *[(F.col(f"q_{c}") / F.col("o_r")).alias(f"s_{c}") for c in "xyz"]]
+    return _generated(df, [*own, "ic_id"], good, values, keep_all)
 
 
 def _generated(df: DataFrame, keep: list[str], good: Column, values: list[Column], keep_all: bool = False) -> DataFrame:
@@ -108,35 +135,32 @@ def inclination_sweep(detections: DataFrame, orbits: DataFrame, steps: int = 100
     """Synced unit vectors for inclinations uniform in their cosine, of orbits without one. Range, position and velocities
     are worked out once per detection and orbit, then met with each inclination (a product of a fixed size). An unsettled
     range takes the orbit's own distance; the sense is always direct."""
-    df = solve_range(each_orbit(with_dots(detections), orbits))
-    df = df.withColumns({"rho": F.coalesce("rho", "r"), "r_at": F.coalesce("r_at", "r")})
+    pairs, own = _pairs(detections, orbits)
+    df = solve_range(pairs)
+    df = df.withColumns({c: F.when(F.isnan(c), F.col("o_r")).otherwise(F.col(c)) for c in ("rho", "r_at")})
     df = _sync_vectors(df, "absolute")
-    cosines = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(k.alias("inc_no"), (1.0 - 2.0 * (k + 0.5) / steps).alias("cos_i")))
-    df = df.select(*detections.columns, "ic_id", "r", "r_at", "p_x", "p_y", "p_z", "xy", "v_rad", "v_tan", "f_m", "g_m", F.explode(cosines).alias("i"))
-    p, r, xy = Vec.of("p"), F.col("r_at"), F.col("xy")
-    cos_psi = F.col("i.cos_i") * r / xy
-    ok = (F.abs(cos_psi) <= 1.0) & (F.abs(p.z / r) <= F.sqrt(1.0 - F.col("i.cos_i") * F.col("i.cos_i")))
-    sin_psi = F.sqrt(F.greatest(1.0 - cos_psi * cos_psi, F.lit(0.0)))
-    a, b = F.col("v_tan") * cos_psi / xy, F.col("v_tan") * sin_psi / (r * xy)
-    v = Vec(F.col("v_rad") * p.x / r - a * p.y - b * p.z * p.x, F.col("v_rad") * p.y / r + a * p.x - b * p.z * p.y, F.col("v_rad") * p.z / r + b * xy * xy)
-    s = Vec(p.x * F.col("f_m") + v.x * F.col("g_m"), p.y * F.col("f_m") + v.y * F.col("g_m"), p.z * F.col("f_m") + v.z * F.col("g_m"))
-    out = _generated(df, [*detections.columns, "ic_id"], ok, [F.col("i.inc_no").alias("inc_no"), *s.named("q")])
+    cosines = F.array(*[F.struct(F.lit(k).alias("inc_no"), F.lit(1.0 - 2.0 * (k + 0.5) / steps).alias("cos_i")) for k in range(steps)])
+    used = ["p_x", "p_y", "p_z", "xy", "r_at", "v_tan", "v_rad", "f_m", "g_m"]
+    df = df.select(*own, "ic_id", *used, F.explode(cosines).alias("i"))
+    df = df.select(*own, "ic_id", *used, F.col("i.inc_no").alias("inc_no"), F.col("i.cos_i").alias("cos_i"), (F.abs(F.col("p_z") / F.col("r_at")) <= F.sqrt(1.0 - F.col("i.cos_i") * F.col("i.cos_i"))).alias("reach"))
+    df = _point(df, [*own, "ic_id", "inc_no", "reach"], F.col("cos_i") * F.col("r_at") / F.col("xy"), F.lit(1.0))
+    good = F.col("reach") & ~F.isnan(F.col("q_x") + F.col("q_y") + F.col("q_z"))
+    out = _generated(df, [*own, "ic_id", "inc_no"], good, [F.col(f"q_{c}") for c in "xyz"])
     n = Vec.of("q").norm()
-    return out.select(*detections.columns, "ic_id", "inc_no", (F.col("q_x") / n).alias("s_x"), (F.col("q_y") / n).alias("s_y"), (F.col("q_z") / n).alias("s_z"))
+    return out.select(*own, "ic_id", "inc_no", *[(F.col(f"q_{c}") / n).alias(f"s_{c}") for c in "xyz"])
 
 
 def newton_range(pairs: DataFrame, steps: int = 12) -> DataFrame:
-    """rho by Newton's method on |R + rho rho_hat|^2 = r(t)^2 with r's own slope left out of the light time; null where the
-    cost does not fall below 1e-8."""
-    df = pairs.withColumn("rho", F.col("r") - 1.0)
+    """rho by Newton's method on |R + rho rho_hat|^2 = r(t)^2, the light time's own slope left out; NaN where the cost does
+    not fall below 1e-8."""
+    keep = pairs.columns
+    df = pairs.select(*keep, (F.col("o_r") - 1.0).alias("rho"), F.lit(1.0).alias("cost"))
     for _ in range(steps):
-        t = F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY
-        r_now = chebyshev(F.col("r_poly"), (t - F.col("orbit_epoch")) / F.col("bounds"))
-        df = df.withColumn("r_now", r_now)
-        cost = F.col("obs2") + 2.0 * F.col("rho") * F.col("rho_dot_obs") + F.col("rho") * F.col("rho") - F.col("r_now") * F.col("r_now")
-        df = df.withColumn("cost", cost)
-        df = df.withColumn("rho", F.when(F.abs("cost") < 1e-8, F.col("rho")).otherwise(F.col("rho") - F.col("cost") / F.nullif(2.0 * (F.col("rho") + F.col("rho_dot_obs")), F.lit(0.0))))
-    return df.withColumn("rho", F.when(F.abs("cost") < 1e-8, F.col("rho"))).withColumn("r_at", F.col("r_now")).drop("r_now", "cost")
+        x = (F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
+        df = df.select(*keep, "rho", _series("r", x).alias("rt"))
+        df = df.select(*keep, "rho", (F.col("obs2") + 2.0 * F.col("rho") * F.col("rho_dot_obs") + F.col("rho") * F.col("rho") - F.col("rt") * F.col("rt")).alias("cost"))
+        df = df.select(*keep, (F.col("rho") - F.when(F.abs("cost") < 1e-8, F.lit(0.0)).otherwise(F.try_divide(F.col("cost"), 2.0 * (F.col("rho") + F.col("rho_dot_obs"))))).alias("rho"), "cost")
+    return df.select(*keep, F.when(F.abs("cost") < 1e-8, F.col("rho")).otherwise(nan()).alias("rho"))
 
 
 def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch: float) -> DataFrame:
@@ -144,7 +168,7 @@ def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch
 
     points: tangent-plane rows (exposure_id, epoch, xe, ye, ze, theta_x, theta_y, mean_x, mean_y); one light time per exposure.
     """
-    rates = rate_orbits.select("id", (1.0 / F.col("r")).alias("gamma"), (F.col("vr") / F.col("r")).alias("gdot"), "adot", "bdot")
+    rates = rate_orbits.select(F.col("id").alias("ic_id"), (1.0 / F.col("r")).alias("gamma"), (F.col("vr") / F.col("r")).alias("gdot"), "adot", "bdot")
     df = each_orbit(points, rates)
     gamma = F.col("gamma")
     depth = 1.0 / gamma - F.col("ze")

@@ -289,9 +289,8 @@ def inclination_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT intid, hpix FROM ({base.hpix_sql(15, 'px', 'py', 'pz').format(source=_P)})")
 def pixel_index(spark: SparkSession, d: str) -> DataFrame:
     """Nested pixel of depth 15 of every position."""
-    v = Vec.of("rho")
     rows = valid_positions(table(spark, d, "detection_catalog")).select("intid", *pointing(F.col("ra"), F.col("dec")).named("rho"))
-    return rows.select("intid", healpix.pixel(15, v.x, v.y, v.z).alias("hpix"))
+    return healpix.with_pixel(rows, 15, "rho").select("intid", "hpix")
 
 
 @query(f"SELECT hpix, count(*) AS n FROM ({base.hpix_sql(DEPTH, 'px', 'py', 'pz').format(source=_P)}) GROUP BY hpix ORDER BY n DESC")

@@ -52,7 +52,8 @@ def with_pixel(df: DataFrame, depth: int, prefix: str, name: str = "hpix") -> Da
     face = F.when(F.col("__b"), F.when(fj == fk, F.pmod(fj, F.lit(4)) + 4).when(fj < fk, fj).otherwise(fk + 8)).when(F.col("__n"), F.col("__q")).otherwise(F.col("__q") + 8)
     ix = F.when(F.col("__b"), F.col("__k")).when(F.col("__n"), n - 1 - F.col("__k")).otherwise(F.col("__j"))
     iy = F.when(F.col("__b") | F.col("__n"), n - 1 - F.col("__j")).otherwise(F.col("__k"))
-    return df.select(*cols, (F.shiftleft(face.cast("long"), 2 * depth) + morton(ix, iy)).alias(name))
+    # declared free of nulls, else a join on it would push a null check through all the steps
+    return df.select(*cols, F.coalesce(F.shiftleft(face.cast("long"), 2 * depth) + morton(ix, iy), F.lit(-1)).alias(name))
 
 
 # The same in numpy, for centres and neighbours.

@@ -24,7 +24,8 @@ def grid(points: DataFrame, keys: list[str], u: str, v: str, scale: float) -> Da
 
     def index(c: str, low: str, high: str) -> Column:
         bins = F.greatest(F.ceil((F.col(high) - F.col(low)) * (1.0 / scale)), F.lit(1))
-        return F.least(F.floor((F.col(c) - F.col(low)) * (1.0 / scale)), bins - 1).cast("long")
+        # declared free of nulls, else a join on the cells would push null checks into the points' expressions
+        return F.coalesce(F.least(F.floor((F.col(c) - F.col(low)) * (1.0 / scale)), bins - 1).cast("long"), F.lit(-1))
 
     cells = df.select(*keys, index(u, "u_min", "u_max").alias("i"), index(v, "v_min", "v_max").alias("j"))
     return cells.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))

@@ -177,8 +177,7 @@ def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch
     df = df.withColumn("f", 1.0 - 0.5 * mu * gamma * gamma * gamma * F.col("tp") * F.col("tp"))
     gf, yf = F.col("tp") / F.col("f"), gamma / F.col("f")
     df = df.withColumn("fac", 1.0 + gf * F.col("gdot") - yf * F.col("ze"))
-    return df.select(
-        *points.columns, "ic_id",
-        (F.col("theta_x") * F.col("fac") + yf * F.col("xe") - gf * F.col("adot")).alias("alpha"),
-        (F.col("theta_y") * F.col("fac") + yf * F.col("ye") - gf * F.col("bdot")).alias("beta"),
-    )
+    alpha = F.coalesce(F.col("theta_x") * F.col("fac") + yf * F.col("xe") - gf * F.col("adot"), nan())
+    beta = F.coalesce(F.col("theta_y") * F.col("fac") + yf * F.col("ye") - gf * F.col("bdot"), nan())
+    df = df.select(*points.columns, "ic_id", alpha.alias("alpha"), beta.alias("beta"))
+    return _generated(df, [*points.columns, "ic_id"], ~F.isnan(F.col("alpha") + F.col("beta")), [F.col("alpha"), F.col("beta")])

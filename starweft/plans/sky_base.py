@@ -49,8 +49,10 @@ def rate_orbits(spark: SparkSession, d: str) -> DataFrame:
 def members(spark: SparkSession, d: str) -> DataFrame:
     """One row per member of a linked cluster with its point, its time and its observer."""
     clusters = table(spark, d, "linked_clusters")
-    m = clusters.select("cluster_id", "ref_epoch", "ref_x", "ref_y", "ref_z", F.explode(F.arrays_zip("local_intids", "local_points")).alias("m"))
-    m = m.filter("m.local_intids >= 0").select("cluster_id", "ref_epoch", *[F.col(f"ref_{c}").alias(f"c_{c}") for c in "xyz"], F.col("m.local_intids").alias("intid"), *[F.get("m.local_points", F.lit(k)).alias(f"s_{c}") for k, c in enumerate("xyz")])
+    # by place, so that a cluster without points keeps its members
+    m = clusters.select("cluster_id", "ref_epoch", "ref_x", "ref_y", "ref_z", "local_points", F.posexplode("local_intids").alias("at", "intid")).filter("intid >= 0")
+    point = F.get("local_points", F.col("at"))
+    m = m.select("cluster_id", "ref_epoch", *[F.col(f"ref_{c}").alias(f"c_{c}") for c in "xyz"], "intid", *[F.get(point, F.lit(k)).alias(f"s_{c}") for k, c in enumerate("xyz")])
     seen = detections(spark, d).select("intid", "epoch", "ast_ucty", "rho_x", "rho_y", "rho_z", "obs_x", "obs_y", "obs_z")
     return m.dropDuplicates(["cluster_id", "intid"]).join(seen, "intid")
 

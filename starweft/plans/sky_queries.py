@@ -24,7 +24,7 @@ from .sky_base import REF_EPOCH
 PIXEL = 0.002  # radians, tangent-plane grids of the queries
 EPSILON = 600.0  # arcsec, dense grids: cells of a third of it
 DEPTH = 9  # pixel searches of the queries
-NEAR = 300.0  # arcsec
+NEAR = 3600.0  # arcsec
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -330,13 +330,13 @@ def _unit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH u AS {_UNIT}, b AS (SELECT *, CAST(floor(x * 200) AS BIGINT) AS bx FROM u)
+    f"""WITH u AS {_UNIT}, b AS (SELECT *, CAST(floor(x * 50) AS BIGINT) AS bx FROM u)
     SELECT c.cluster_id, b.intid, {Q('2e0 * asin(sqrt(power(b.x - c.ref_x, 2) + power(b.y - c.ref_y, 2) + power(b.z - c.ref_z, 2)) / 2)', 7)} AS angle
-    FROM linked_clusters c, (VALUES (-1), (0), (1)) o(dx), b WHERE b.bx = CAST(floor(c.ref_x * 200) AS BIGINT) + dx
+    FROM linked_clusters c, (VALUES (-1), (0), (1)) o(dx), b WHERE b.bx = CAST(floor(c.ref_x * 50) AS BIGINT) + dx
       AND power(b.x - c.ref_x, 2) + power(b.y - c.ref_y, 2) + power(b.z - c.ref_z, 2) <= 4 * power(sin({NEAR * ARCSEC / 2!r}), 2)"""
 )
 def range_join(spark: SparkSession, d: str) -> DataFrame:
-    """Detections within 300 arcsec of each linked cluster's reference point."""
+    """Detections within a degree of each linked cluster's reference point."""
     centres = table(spark, d, "linked_clusters").select("cluster_id", *[F.col(f"ref_{c}").alias(f"c_{c}") for c in "xyz"])
     met = linking.within(centres, _unit(spark, d).drop("catalog_id"), [], NEAR)
     return met.select("cluster_id", "intid", q(2.0 * F.asin(F.sqrt("d2") / 2.0), 7).alias("angle"))
@@ -510,7 +510,7 @@ def hit_image(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- grids of orbits
 _TOP = f"sqrt(2e0 * {MU_BARY!r} / (r * r * r))"
-_STEP = repr(3.0 * 2e-5 / 30.0)
+_STEP = repr(3.0 * 2e-4 / 30.0)
 
 
 @query(
@@ -520,7 +520,7 @@ _STEP = repr(3.0 * 2e-5 / 30.0)
 )
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
     """Number and spread of the rates of bound motion at each trial orbit's distance."""
-    g = orbit_grid.rate_grid(table(spark, d, "trial_orbits"), 2e-5, 30.0)
+    g = orbit_grid.rate_grid(table(spark, d, "trial_orbits"), 2e-4, 30.0)
     return g.groupBy("id").agg(F.count("*").alias("n"), q(F.sum(F.col("adot") * F.col("adot")), 9).alias("spread"))
 
 
@@ -531,6 +531,6 @@ def orbit_cells(spark: SparkSession, d: str) -> DataFrame:
     g = orbit_grid.halve_gamma(spark, max(edge["lo"], 10.0), max(edge["hi"], 20.0))
     top = F.sqrt(2 * MU_BARY * F.pow("gamma_hi", 3))
     cells = g.select("gamma_lo", "gamma_hi", (-top * 0.5).alias("gamma_dot_lo"), (top * 0.5).alias("gamma_dot_hi"), (-top).alias("eta_x_lo"), top.alias("eta_x_hi"), (-top).alias("eta_y_lo"), top.alias("eta_y_hi"))
-    return orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 60.0)))
+    return orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 300.0)))
 
 

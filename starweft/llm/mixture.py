@@ -1,12 +1,14 @@
 """Groups of mutually similar points, each with its size and most typical members.
 
 Method: Gaussian mixtures fitted by expectation-maximisation. Space is cut into blocks with a rim, so that blocks are worked
-on in parallel; within a block the points that chains of neighbours hold together form a neighbourhood. In each neighbourhood
-the points are projected onto their tangent plane (three numbers reduced to two), standardised, and mixtures of 1 to
-MAX_COMPONENTS Gaussians with regularised covariances are fitted, all neighbourhoods of a batch at once; the Bayesian
-information criterion chooses the number of components. The components are the candidates. An exact check follows:
-components that are mutually similar as a whole are joined, a component that is not is cut down to members that are, starting
-from those of highest density. Members are ranked by their density in the mixture; the first ones represent the group.
+on in parallel; within a block the points of touching cells are fitted together. There the points are projected onto their
+tangent plane (three numbers reduced to two), standardised, and mixtures of 1 to MAX_COMPONENTS Gaussians with regularised
+covariances are fitted, all of a batch at once; the Bayesian information criterion chooses the number of components. The
+components are the candidates; one that is wider than a group is fitted again on its own. An exact check follows, by the
+components' boxes, and by points only for components whose boxes leave it open: neighbouring components that are mutually
+similar as a whole are joined. Where components and groups do not agree, that neighbourhood (the points that chains of
+neighbours hold together) is cut down pair by pair to members that are, starting from those of highest density. Members are
+ranked by their density in the mixture of their neighbourhood; the first ones represent the group.
 
 Blocks far fuller than the rest are cut into finer ones. Exact copies are one weighted point during the fit, however many.
 
@@ -36,31 +38,42 @@ CHUNK = 30_000
 _PAIRS = 4_000_000
 
 
-def _near(key: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i before j in the order of the sorted cell keys, of all pairs within the radius. key: block, x, y, z cells."""
-    cells, start, size = np.unique(key, return_index=True, return_counts=True)
-    out_i, out_j = [], []
+def _touching(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of all occupied cells that touch, each pair once; a cell touches itself. cells: sorted keys, `bits` per axis."""
+    out_a, out_b = [], []
     half = [(0, 0, 0)] + [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
     for x, y, z in half:
-        other = cells + (x << 14) + (y << 7) + z
+        other = cells + (x << 2 * bits) + (y << bits) + z
         at = np.searchsorted(cells, other)
         hit = np.flatnonzero((at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == other))
-        a, b = hit, at[hit]
-        n = size[a] * size[b]
-        for lo, hi in _slices(n):
-            na, nb, m = size[a[lo:hi]], size[b[lo:hi]], n[lo:hi]
-            first = np.repeat(np.cumsum(m) - m, m)
-            k = np.arange(int(m.sum())) - first
-            wide = np.repeat(nb, m)
-            i = np.repeat(start[a[lo:hi]], m) + k // wide
-            j = np.repeat(start[b[lo:hi]], m) + k % wide
-            if (x, y, z) == (0, 0, 0):
-                i, j = i[i < j], j[i < j]
-            d = p[i] - p[j]
-            ok = np.sqrt((d * d).sum(axis=1)) <= radius
-            out_i.append(i[ok])
-            out_j.append(j[ok])
-            del na
+        out_a.append(hit)
+        out_b.append(at[hit])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _pairs(start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, i, j) in slices: every item i of run a[k] with every item j of run b[k]."""
+    n = size[a] * size[b]
+    for lo, hi in _slices(n):
+        m = n[lo:hi]
+        k = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        wide = np.repeat(size[b[lo:hi]], m)
+        yield np.repeat(np.arange(lo, hi), m), np.repeat(start[a[lo:hi]], m) + k // wide, np.repeat(start[b[lo:hi]], m) + k % wide
+
+
+def _length(d: np.ndarray) -> np.ndarray:
+    return np.sqrt((d * d).sum(axis=-1))
+
+
+def _near(key: np.ndarray, p: np.ndarray, radius: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs within the radius, in the order of the sorted cell keys."""
+    cells, start, size = np.unique(key, return_index=True, return_counts=True)
+    a, b = _touching(cells, bits)
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, i, j in _pairs(start, size, a, b):
+        ok = (_length(p[i] - p[j]) <= radius) & ((a[k] != b[k]) | (i < j))
+        out_i.append(i[ok])
+        out_j.append(j[ok])
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
@@ -172,43 +185,131 @@ def _cliques(members: list[int], near: dict[int, set[int]], comp: np.ndarray, de
     return out
 
 
+def _candidates(hood: np.ndarray, p: np.ndarray, w: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, component, log density) of each point. Parts are the mixtures' components; one that is too wide for a group is
+    fitted again on its own, until the information criterion leaves it whole. Component and density are those of the first
+    fit. hood: 0, 1, ... sorted."""
+    part, todo, first = hood, np.arange(len(hood)), None
+    while len(todo):
+        todo = todo[np.argsort(part[todo], kind="stable")]
+        _, seg = np.unique(part[todo], return_inverse=True)
+        comp, dens = fit_mixtures(seg, _features(seg, p[todo], w[todo]), w[todo])
+        first = first or (comp, dens)
+        new = np.zeros(len(part), np.int64)
+        new[todo] = comp
+        _, now = np.unique(part * MAX_COMPONENTS + new, return_inverse=True)
+        m = int(seg[-1]) + 1
+        split = np.zeros((m, MAX_COMPONENTS), bool)
+        split[seg, comp] = True
+        start, lo, hi, by = _boxes(now, p)
+        wide = ((hi - lo) > radius).any(axis=1)
+        part, todo = now, todo[(split.sum(axis=1) > 1)[seg] & wide[now[todo]]]
+    return part, *first
+
+
+def _boxes(part: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, lowest, highest corner) of each part, in the points' order by part, and that order."""
+    by = np.argsort(part, kind="stable")
+    start = np.searchsorted(part[by], np.arange(int(part.max()) + 1))
+    return start, np.minimum.reduceat(p[by], start), np.maximum.reduceat(p[by], start), by
+
+
+def _met(p: np.ndarray, start: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(some, every): whether some and whether all points of part a[k] are within the radius of those of part b[k]. Boxes
+    decide where they can; points are compared only of the parts that are left in doubt."""
+    gap = np.maximum(np.maximum(lo[b] - hi[a], lo[a] - hi[b]), 0.0)
+    far = np.maximum(hi[a] - lo[b], hi[b] - lo[a])
+    every = _length(far) <= radius
+    some = every | (a == b)
+    doubt = (_length(gap) <= radius) & ~every & ((a != b) | (far <= radius).all(axis=1))
+    n = size[a] * size[b]
+    few = np.flatnonzero(doubt & (n <= _PAIRS))
+    for k, i, j in _pairs(start, size, a[few], b[few]):
+        ok = _length(p[i] - p[j]) <= radius
+        hits = np.bincount(k[ok], minlength=len(few))
+        seen = np.unique(k)
+        some[few[seen]], every[few[seen]] = hits[seen] > 0, hits[seen] == n[few[seen]]
+    for k in np.flatnonzero(doubt & (n > _PAIRS)).tolist():
+        x, y = (p[start[c] : start[c] + size[c]] for c in (a[k], b[k]))
+
+        def any_pair(test, u, v):
+            step = max(1, _PAIRS // max(len(v), 1))
+            return any(bool(test(_length(u[c : c + step, None] - v[None])).any()) for c in range(0, len(u), step)) if len(v) else False
+
+        fx, fy = x[_length(np.maximum(x - lo[b[k]], hi[b[k]] - x)) > radius], y[_length(np.maximum(y - lo[a[k]], hi[a[k]] - y)) > radius]
+        every[k] = not any_pair(lambda d: d > radius, fx, fy)
+        some[k] = every[k] or a[k] == b[k] or any_pair(lambda d: d <= radius, *(u[_length(np.maximum(np.maximum(lo[c] - u, u - hi[c]), 0.0)) <= radius] for u, c in ((x, b[k]), (y, a[k]))))
+    return some, every
+
+
+def _settled(cell: np.ndarray, names: np.ndarray, bits: int, part: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, settled) of each point: parts with points near each other make a set; it is settled if all of its points are
+    mutually similar, and nothing outside of it is near it."""
+    start, lo, hi, by = _boxes(part, p)
+    m = len(start)
+    size = np.bincount(part, minlength=m)
+    entry = np.unique(cell * m + part)  # parts of each cell
+    first, count = np.searchsorted(entry, np.arange(len(names)) * m), np.bincount(entry // m, minlength=len(names))
+    found = [np.zeros(0, np.int64)]
+    for _, i, j in _pairs(first, count, *_touching(names, bits)):
+        i, j = entry[i] % m, entry[j] % m
+        found.append(np.unique((np.minimum(i, j) * m + np.maximum(i, j))[i != j]))
+    pairs = np.unique(np.concatenate(found))
+    a, b = pairs // m, pairs % m
+    some, every = _met(p[by], start, size, lo, hi, a, b, radius)
+    each = np.arange(m)
+    _, tight = _met(p[by], start, size, lo, hi, each, each, radius)
+    a, b, every = a[some], b[some], every[some]
+    label = _labels(m, a, b)
+    parts = np.bincount(label, minlength=m)
+    ok = (np.bincount(label[a[every]], minlength=m) == parts * (parts - 1) // 2) & (np.bincount(label, ~tight, m) == 0)
+    return label[part], ok[label[part]]
+
+
 def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.ndarray, w: np.ndarray, home: np.ndarray, radius: float, least: int) -> pd.DataFrame:
     """(row, group_id, rank, components) of the members of groups whose smallest id is at home in its block."""
     key = (block << 21) | (cells[:, 0] << 14) | (cells[:, 1] << 7) | cells[:, 2]
-    order = np.argsort(key, kind="stable")
-    i, j = _near(key[order], p[order], radius)
-    label = _labels(len(order), i, j)
-    weight = np.bincount(label, w[order], len(order))
-    kept = np.flatnonzero(weight[label] >= least)
     empty = pd.DataFrame({"row": np.zeros(0, np.int64), "group_id": np.zeros(0, np.int64), "rank": np.zeros(0, np.int64), "components": np.zeros(0, np.int64)})
-    if not len(kept):
+    names, cell = np.unique(key, return_inverse=True)
+    label = _labels(len(names), *_touching(names, 7))[cell]
+    rows = np.flatnonzero(np.bincount(label, w, len(names))[label] >= least)
+    if not len(rows):
         return empty
-    kept = kept[np.argsort(label[kept], kind="stable")]
-    _, seg = np.unique(label[kept], return_inverse=True)
-    rows = order[kept]
-    comp, dens = fit_mixtures(seg, _features(seg, p[rows], w[rows]), w[rows])
-    # exact check: which neighbourhoods are mutually similar as a whole
-    place = np.full(len(order), -1)
-    place[kept] = np.arange(len(kept))
-    ok = place[i] >= 0
-    i, j = place[i[ok]], place[j[ok]]
-    m = int(seg[-1]) + 1
-    size = np.bincount(seg, minlength=m)
-    whole = np.bincount(seg[i], minlength=m) == size * (size - 1) // 2
-    group = np.where(whole[seg], seg, -1)
-    broken = np.flatnonzero(~whole)
-    if len(broken):
-        at = ~whole[seg[i]]
-        near: dict[int, set[int]] = {}
-        for a, b in zip(i[at].tolist(), j[at].tolist()):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        bounds = np.searchsorted(seg, np.append(np.arange(m), m))
-        new = m
-        for s in broken.tolist():
-            for members in _cliques(list(range(int(bounds[s]), int(bounds[s + 1]))), near, comp, dens, w[rows], least):
-                group[members] = new
-                new += 1
+    rows = rows[np.lexsort((*p[rows].T, ids[rows], label[rows]))]
+    _, hood = np.unique(label[rows], return_inverse=True)
+    part, comp, dens = _candidates(hood, p[rows], w[rows], radius)
+    near, whole = _settled(cell[rows], names, 7, part, p[rows], radius)
+    # only sets that the components leave unsettled are looked at pair by pair
+    at = np.flatnonzero(~whole)
+    i = j = np.zeros(0, np.int64)
+    if len(at):
+        at = at[np.argsort(key[rows[at]], kind="stable")]
+        i, j = _near(key[rows[at]], p[rows[at]], radius, 7)
+        near[at] = len(rows) + at[_labels(len(at), i, j)]
+        i, j = at[i], at[j]
+    # a neighbourhood's own mixture gives the densities
+    _, near = np.unique(near, return_inverse=True)
+    kept = np.bincount(near, w[rows])[near] >= least
+    size = np.bincount(near)
+    other = np.flatnonzero(kept & (size[near] != np.bincount(hood)[hood]))
+    if len(other):
+        other = other[np.argsort(near[other], kind="stable")]
+        _, seg = np.unique(near[other], return_inverse=True)
+        comp[other], dens[other] = fit_mixtures(seg, _features(seg, p[rows[other]], w[rows[other]]), w[rows[other]])
+    whole_of = np.ones(len(size), bool)
+    whole_of[near[at]] = (np.bincount(near[i], minlength=len(size)) == size * (size - 1) // 2)[near[at]]
+    group = np.where(kept & whole_of[near], near, -1)
+    ok = kept[i] & ~whole_of[near[i]]
+    links: dict[int, set[int]] = {}
+    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    new = len(size)
+    broken = pd.Series(np.flatnonzero(kept & ~whole_of[near]))
+    for _, s in broken.groupby(near[broken.to_numpy()]):
+        for members in _cliques(s.tolist(), links, comp, dens, w[rows], least):
+            group[members] = new
+            new += 1
     inside = np.flatnonzero(group >= 0)
     if not len(inside):
         return empty

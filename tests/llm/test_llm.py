@@ -213,3 +213,27 @@ def test_information_criterion_separates_two_blobs():
     x = np.concatenate([r.normal(size=(60, 2)) * 0.05 - 1, r.normal(size=(60, 2)) * 0.05 + 1])
     comp, dens = mixture.fit_mixtures(np.zeros(120, np.int64), x, np.ones(120))
     assert len(set(comp[:60])) == len(set(comp[60:])) == 1 and comp[0] != comp[-1] and np.isfinite(dens).all()
+
+
+def test_components_are_checked_without_a_graph_of_pairs(monkeypatch):
+    """Groups in touching cells come from the mixture's components; pairs are listed only where components settle nothing."""
+    r = np.random.default_rng(5)
+    centres = np.array([[1.0, 0.0, 0.0]]) + np.array([[0, a, b] for a in range(4) for b in range(3)]) * 1.6
+    p = np.concatenate([c + r.uniform(-0.12, 0.12, size=(12, 3)) for c in centres])
+    n = len(p)
+    args = np.zeros(n, np.int64), np.floor(p).astype(np.int64) + 5, p, np.arange(n), np.ones(n), np.ones(n, bool), 1.0, 4
+    want = {(k // 12 * 12, k) for k in range(n)}
+
+    def listed(*_):
+        raise AssertionError("pairs were listed")
+
+    near = mixture._near
+    monkeypatch.setattr(mixture, "_near", listed)
+    found = mixture.find_groups(*args)
+    assert set(zip(found["group_id"], found["row"])) == want
+    # the same where no mixture helps: one component for everything
+    monkeypatch.setattr(mixture, "_near", near)
+    fit = mixture.fit_mixtures
+    monkeypatch.setattr(mixture, "fit_mixtures", lambda seg, x, w: (np.zeros(len(seg), np.int64), fit(seg, x, w)[1]))
+    found = mixture.find_groups(*args)
+    assert set(zip(found["group_id"], found["row"])) == want

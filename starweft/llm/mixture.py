@@ -10,7 +10,8 @@ similar as a whole are joined. Where components and groups do not agree, that ne
 neighbours hold together) is cut down pair by pair to members that are, starting from those of highest density. Members are
 ranked by their density in the mixture of their neighbourhood; the first ones represent the group.
 
-Blocks far fuller than the rest are cut into finer ones. Exact copies are one weighted point during the fit, however many.
+A neighbourhood that is to be cut and reaches so far that a block may see only a part of it is gathered from its pieces and cut
+as a whole, so that the groups do not depend on the blocks. Blocks far fuller than the rest are cut into finer ones. Exact copies are one weighted point during the fit, however many.
 
 Defined results: points with a null, NaN or infinite coordinate, a null or negative id or a null scope take no part; copies
 are members like all others; of groups of equal size the one found first by density stands; empty inputs give no rows.
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..staging import Stage, lookup
 from ..tables import finite
+from .components import components
 
 MAX_COMPONENTS = 3
 ROUNDS = 25
@@ -163,28 +165,73 @@ def _cliques(members: list[int], near: dict[int, set[int]], comp: np.ndarray, de
     from a point by density, then the heaviest of the rest, and so on."""
     out, rest = [], set(members)
     by_density = sorted(members, key=lambda i: (-dens[i], i))
+    place = {i: k for k, i in enumerate(by_density)}
+    parts = sorted({int(comp[i]) for i in members})
+    grown: dict[tuple[int, int], tuple[list[int], int]] = {}  # of a component (c, -1) or a point (-1, i); it holds while its members do
+
+    def grow(first: int, c: int) -> tuple[list[int], int]:
+        group, allowed = [first], near.get(first, set()) & rest
+        for i in sorted(allowed, key=lambda i: (c >= 0 and comp[i] != c, place[i])):
+            if i in allowed:
+                group.append(i)
+                allowed = allowed & near[i]
+        return group, int(sum(w[i] for i in group))
+
     while rest:
         best, best_weight = [], 0
         ordered = [i for i in by_density if i in rest]
-        seeds = [[i for i in ordered if comp[i] == c] for c in {int(comp[i]) for i in ordered}]
-        seeds += [[s] + [i for i in ordered if i in near[s]] for s in ordered]
-        for seed in seeds:
-            group: list[int] = []
-            allowed = rest
-            for i in [*seed, *ordered]:
-                if i in allowed:
-                    group.append(i)
-                    allowed = allowed & near[i]
-            weight = int(sum(w[i] for i in group))
-            if weight > best_weight:
-                best, best_weight = group, weight
+        for c, first in [(c, next((i for i in ordered if comp[i] == c), -1)) for c in parts] + [(-1, i) for i in ordered]:
+            if first < 0:
+                continue
+            key = (c, first if c < 0 else -1)
+            if key not in grown:
+                grown[key] = grow(first, c)
+            if grown[key][1] > best_weight:
+                best, best_weight = grown[key]
         if best_weight < least:
             return out
         out.append(best)
-        rest -= set(best)
+        gone = set(best)
+        rest -= gone
+        grown = {k: g for k, g in grown.items() if gone.isdisjoint(g[0])}
     return out
 
 
+def _linked(i: np.ndarray, j: np.ndarray) -> dict[int, set[int]]:
+    links: dict[int, set[int]] = {}
+    for a, b in zip(i.tolist(), j.tolist()):
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    return links
+
+
+def _described(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, comp: np.ndarray, dens: np.ndarray) -> pd.DataFrame:
+    """(row, group_id, rank, components) of grouped points."""
+    out = pd.DataFrame({"row": rows, "g": group, "id": ids, "dens": dens, "comp": comp})
+    out["group_id"] = out.groupby("g")["id"].transform("min")
+    out["components"] = out.groupby("g")["comp"].transform("nunique")
+    out = out.sort_values(["g", "dens", "id"], ascending=[True, False, True], kind="stable")
+    out["rank"] = out.groupby("g").cumcount() + 1
+    return out[["row", "group_id", "rank", "components"]].reset_index(drop=True)
+
+
+def cut_neighbourhood(p: np.ndarray, ids: np.ndarray, w: np.ndarray, radius: float, least: int) -> pd.DataFrame:
+    """The groups of one neighbourhood that no block holds as a whole."""
+    rows = np.lexsort((*p.T, ids))
+    q = p[rows]
+    cells = np.floor((q - q.min(axis=0)) / radius).astype(np.int64) + 1
+    key = (cells[:, 0] << 40) | (cells[:, 1] << 20) | cells[:, 2]
+    by = np.argsort(key, kind="stable")
+    i, j = _near(key[by], q[by], radius, 20)
+    seg = np.zeros(len(rows), np.int64)
+    comp, dens = fit_mixtures(seg, _features(seg, q, w[rows]), w[rows])
+    group = np.full(len(rows), -1)
+    for g, members in enumerate(_cliques(list(range(len(rows))), _linked(by[i], by[j]), comp, dens, w[rows], least)):
+        group[members] = g
+    inside = np.flatnonzero(group >= 0)
+    return _described(rows[inside], group[inside], ids[rows[inside]], comp[inside], dens[inside])
+
+
 def _candidates(hood: np.ndarray, p: np.ndarray, w: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part, component, log density) of each point. Parts are the mixtures' components; one that is too wide for a group is
     fitted again on its own, until the information criterion leaves it whole. Component and density are those of the first
@@ -266,15 +313,20 @@ def _settled(cell: np.ndarray, names: np.ndarray, bits: int, part: np.ndarray, p
     return label[part], ok[label[part]]
 
 
-def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.ndarray, w: np.ndarray, home: np.ndarray, radius: float, least: int) -> pd.DataFrame:
-    """(row, group_id, rank, components) of the members of groups whose smallest id is at home in its block."""
+def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.ndarray, w: np.ndarray, home: np.ndarray, radius: float, least: int, edge: np.ndarray | None = None) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(row, group_id, rank, components) of the members of groups; a neighbourhood belongs to the block that its smallest id is
+    at home in. And (row, piece) of neighbourhoods to be cut that some block may not see as a whole, wherever one of their
+    points is at home. edge: points so far out in the rim that their neighbours may be beyond it."""
+    edge = np.zeros(len(ids), bool) if edge is None else edge
     key = (block << 21) | (cells[:, 0] << 14) | (cells[:, 1] << 7) | cells[:, 2]
     empty = pd.DataFrame({"row": np.zeros(0, np.int64), "group_id": np.zeros(0, np.int64), "rank": np.zeros(0, np.int64), "components": np.zeros(0, np.int64)})
+    none = pd.DataFrame({"row": np.zeros(0, np.int64), "piece": np.zeros(0, np.int64)})
     names, cell = np.unique(key, return_inverse=True)
     label = _labels(len(names), *_touching(names, 7))[cell]
-    rows = np.flatnonzero(np.bincount(label, w, len(names))[label] >= least)
+    cut_off = (np.bincount(label, home, len(names)) > 0) & (np.bincount(label, edge, len(names)) > 0)
+    rows = np.flatnonzero(((np.bincount(label, w, len(names)) >= least) | cut_off)[label])
     if not len(rows):
-        return empty
+        return empty, none
     rows = rows[np.lexsort((*p[rows].T, ids[rows], label[rows]))]
     _, hood = np.unique(label[rows], return_inverse=True)
     part, comp, dens = _candidates(hood, p[rows], w[rows], radius)
@@ -287,41 +339,37 @@ def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.nda
         i, j = _near(key[rows[at]], p[rows[at]], radius, 7)
         near[at] = len(rows) + at[_labels(len(at), i, j)]
         i, j = at[i], at[j]
-    # a neighbourhood's own mixture gives the densities
     _, near = np.unique(near, return_inverse=True)
-    kept = np.bincount(near, w[rows])[near] >= least
     size = np.bincount(near)
+    m = len(size)
+    whole_of = np.ones(m, bool)
+    whole_of[near[at]] = (np.bincount(near[i], minlength=m) == size * (size - 1) // 2)[near[at]]
+    # a cut needs all of the neighbourhood: within reach of each of the finest blocks that its points can be at home in
+    start, lo, hi, by = _boxes(near, p[rows])
+    fine, reach = FINE_RADII * radius, (RIM_RADII - 1) * radius * (1 - 1e-9)
+    seen = ((hi <= (np.floor(lo / fine) + 1) * fine + reach) & (lo >= np.floor(hi / fine) * fine - reach)).all(axis=1)
+    has = [np.bincount(near, v[rows], m) > 0 for v in (home, edge)]
+    opened = ~whole_of & has[0] & (has[1] | ~seen)
+    kept = ((np.bincount(near, w[rows]) >= least) & ~opened & home[rows[by[start]]])[near]
+    pieces = np.flatnonzero(opened[near])
+    pieces = pd.DataFrame({"row": rows[pieces], "piece": near[pieces]})
+    # a neighbourhood's own mixture gives the densities
     other = np.flatnonzero(kept & (size[near] != np.bincount(hood)[hood]))
     if len(other):
         other = other[np.argsort(near[other], kind="stable")]
         _, seg = np.unique(near[other], return_inverse=True)
         comp[other], dens[other] = fit_mixtures(seg, _features(seg, p[rows[other]], w[rows[other]]), w[rows[other]])
-    whole_of = np.ones(len(size), bool)
-    whole_of[near[at]] = (np.bincount(near[i], minlength=len(size)) == size * (size - 1) // 2)[near[at]]
     group = np.where(kept & whole_of[near], near, -1)
     ok = kept[i] & ~whole_of[near[i]]
-    links: dict[int, set[int]] = {}
-    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-        links.setdefault(a, set()).add(b)
-        links.setdefault(b, set()).add(a)
-    new = len(size)
+    links = _linked(i[ok], j[ok])
+    new = m
     broken = pd.Series(np.flatnonzero(kept & ~whole_of[near]))
     for _, s in broken.groupby(near[broken.to_numpy()]):
         for members in _cliques(s.tolist(), links, comp, dens, w[rows], least):
             group[members] = new
             new += 1
     inside = np.flatnonzero(group >= 0)
-    if not len(inside):
-        return empty
-    out = pd.DataFrame({"row": rows[inside], "g": group[inside], "id": ids[rows[inside]], "home": home[rows[inside]], "dens": dens[inside], "comp": comp[inside]})
-    out = out.sort_values(["g", "id"], kind="stable")
-    anchor = out.groupby("g").first()
-    out["group_id"] = out["g"].map(anchor["id"])
-    out = out[out["g"].map(anchor["home"]).to_numpy(bool)]
-    out["components"] = out.groupby("g")["comp"].transform("nunique")
-    out = out.sort_values(["g", "dens", "id"], ascending=[True, False, True], kind="stable")
-    out["rank"] = out.groupby("g").cumcount() + 1
-    return out[["row", "group_id", "rank", "components"]].reset_index(drop=True)
+    return (_described(rows[inside], group[inside], ids[rows[inside]], comp[inside], dens[inside]) if len(inside) else empty), pieces
 
 
 def _blocks(df: DataFrame, side: float, rim: float) -> DataFrame:
@@ -371,9 +419,18 @@ def similarity_groups(points: DataFrame, radius: float, least: int = 4) -> DataF
             p = b[["x", "y", "z"]].to_numpy(float)
             corner = b[["bx", "by", "bz"]].to_numpy(float) * b[["side"]].to_numpy(float)
             cells = np.floor((p - corner) / radius).astype(np.int64) + RIM_RADII + 2
-            found = find_groups(block, cells, p, b["id"].to_numpy(np.int64), b["n"].to_numpy(float), b["home"].to_numpy(bool), radius, least)
-            out = b.iloc[found["row"].to_numpy()][["scope", "x", "y", "z", "id", "n"]].reset_index(drop=True)
-            return out.assign(group_id=found["group_id"], rank=found["rank"].astype(np.int32), components=found["components"].astype(np.int32))
+            beyond = np.maximum(corner - p, p - corner - b[["side"]].to_numpy(float)).max(axis=1)
+            edge = beyond > (RIM_RADII - 1) * radius * (1 - 1e-9)
+            found, pieces = find_groups(block, cells, p, b["id"].to_numpy(np.int64), b["n"].to_numpy(float), b["home"].to_numpy(bool), radius, least, edge)
+            point = ["scope", "x", "y", "z", "id", "n"]
+            out = b.iloc[found["row"].to_numpy()][point].reset_index(drop=True)
+            out = out.assign(group_id=found["group_id"], rank=found["rank"].astype(np.int32), components=found["components"].astype(np.int32), piece=None, home=True)
+            if not len(pieces):
+                return out
+            part = b.iloc[pieces["row"].to_numpy()].reset_index(drop=True)
+            name = part[keys].astype(str).agg("|".join, axis=1) + "|" + pieces["piece"].astype(str)
+            part = part[[*point, "home"]].assign(group_id=-1, rank=np.int32(0), components=np.int32(0), piece=name)
+            return pd.concat([out, part[out.columns]], ignore_index=True)
 
         n = 0
         for b in batches:
@@ -391,7 +448,11 @@ def similarity_groups(points: DataFrame, radius: float, least: int = 4) -> DataF
             yield groups(pd.concat(held, ignore_index=True))
 
     schema = T.StructType([single.schema[c] for c in ("scope", "x", "y", "z", "id", "n")] + [T.StructField("group_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("components", T.IntegerType())])
-    found = stage.write(ready.mapInPandas(run, schema))
+    found = stage.write(ready.mapInPandas(run, T.StructType([*schema, T.StructField("piece", T.StringType()), T.StructField("home", T.BooleanType())])))
+    opened = found.filter("piece is not null")
+    found = found.filter("piece is null").select(*schema.names)
+    if not opened.isEmpty():
+        found = stage.write(found.unionByName(_gathered(opened, stage, schema, radius, least)))
     alone = found.filter("n = 1").select("scope", "group_id", "id", "rank", "components")
     copies, n_copies = stage.write_counted(found.filter("n > 1").select(F.struct("scope", "x", "y", "z").alias("point"), "group_id", "rank", "components"))
     if not n_copies:
@@ -400,6 +461,23 @@ def similarity_groups(points: DataFrame, radius: float, least: int = 4) -> DataF
     return alone.unionByName(lookup(keyed, rows.count(), "point", copies, n_copies).select(F.col("point.scope").alias("scope"), "group_id", "id", "rank", "components"))
 
 
+def _gathered(opened: DataFrame, stage: Stage, schema: T.StructType, radius: float, least: int) -> DataFrame:
+    """Groups of the neighbourhoods that blocks see in pieces: pieces that share points are one neighbourhood, which is gathered
+    under its label, each point once, and cut as a whole in one task."""
+    node = F.concat_ws("|", F.lit("x"), *[F.col(c).cast("string") for c in ("scope", "x", "y", "z")])
+    pieces = opened.withColumn("node", node)
+    label = stage.write(components(pieces.select(F.concat(F.lit("p"), "piece").alias("a"), F.col("node").alias("b"))))
+    at_home, n = stage.write_counted(pieces.filter("home").select("node", "scope", "x", "y", "z", "id", "n"))
+    whole = lookup(at_home, n, "node", label, label.count())
+
+    def cut(b: pd.DataFrame) -> pd.DataFrame:
+        found = cut_neighbourhood(b[["x", "y", "z"]].to_numpy(float), b["id"].to_numpy(np.int64), b["n"].to_numpy(float), radius, least)
+        out = b.iloc[found["row"].to_numpy()][["scope", "x", "y", "z", "id", "n"]].reset_index(drop=True)
+        return out.assign(group_id=found["group_id"], rank=found["rank"].astype(np.int32), components=found["components"].astype(np.int32))
+
+    return whole.groupBy("root").applyInPandas(cut, schema)
+
+
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
     """(scope, group_id, size, components, typical): one row per group with its most typical members by density."""
     few = F.array_sort(F.collect_list(F.when(F.col("rank") <= typical, F.struct("rank", "id"))))

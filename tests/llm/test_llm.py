@@ -229,11 +229,33 @@ def test_components_are_checked_without_a_graph_of_pairs(monkeypatch):
 
     near = mixture._near
     monkeypatch.setattr(mixture, "_near", listed)
-    found = mixture.find_groups(*args)
+    found, _ = mixture.find_groups(*args)
     assert set(zip(found["group_id"], found["row"])) == want
     # the same where no mixture helps: one component for everything
     monkeypatch.setattr(mixture, "_near", near)
     fit = mixture.fit_mixtures
     monkeypatch.setattr(mixture, "fit_mixtures", lambda seg, x, w: (np.zeros(len(seg), np.int64), fit(seg, x, w)[1]))
-    found = mixture.find_groups(*args)
+    found, _ = mixture.find_groups(*args)
     assert set(zip(found["group_id"], found["row"])) == want
+
+
+def test_a_long_chain_is_cut_alike_whatever_the_blocks(spark, monkeypatch):
+    """Chains across block faces: equal groups at both block sizes and as one piece, no point in two groups."""
+    radius = 3.4e-5
+    rows, r = [], np.random.default_rng(8)
+    for c, (y, z) in enumerate([(0.0, 0.0), (40.5, 3.1), (100.2, 63.9)]):
+        for k in range(67):  # from -10 to 10 radii across a face at 0, and one along a face
+            at = (-10 + 0.3 * k + 0.02 * r.normal(), y + 0.02 * r.normal(), z + 0.02 * r.normal())
+            rows.append(("s", 100 * c + (k * 29) % 67, *(float(v * radius) for v in (at if c < 2 else (at[1], at[0], at[2])))))
+    df = spark.createDataFrame(rows, "scope string, id long, x double, y double, z double")
+    want = set()
+    for c in range(3):
+        one = [x for x in rows if x[1] // 100 == c]
+        p, ids = np.array([x[2:] for x in one]), np.array([x[1] for x in one])
+        found = mixture.cut_neighbourhood(p, ids, np.ones(len(ids)), radius, 4)
+        want |= {(g, int(ids[k]), rank) for k, g, rank in zip(found["row"], found["group_id"], found["rank"])}
+    for full in (mixture.FULL_BLOCK, 20):
+        monkeypatch.setattr(mixture, "FULL_BLOCK", full)
+        got = mixture.similarity_groups(df, radius).collect()
+        assert len({x["id"] for x in got}) == len(got) > 100
+        assert {(x["group_id"], x["id"], x["rank"]) for x in got} == want

@@ -209,15 +209,17 @@ def robust_cost(points: DataFrame, keys: list[str], min_points: int = 10, rounds
     return grouped.mapInPandas(run, schema)
 
 
-def nelder_mead(cost, p0, step, tol: float = 1e-12, most: int = 10_000) -> tuple[np.ndarray, float]:
-    """Minimum by the simplex method; ends when the costs' standard deviation is below tol."""
-    n = len(p0)
+def nelder_mead(cost, p0, step, tol: float = 1e-12, most: int = 10_000) -> tuple[np.ndarray, float, bool]:
+    """Minimum by the simplex method, and whether it converged: it ends when the costs' standard deviation is below tol, or
+    after `most` iterations without that."""
+    n, converged = len(p0), False
     pts = [np.array(p0, float)] + [np.array(p0, float) + np.eye(n)[i] * step[i] for i in range(n)]
     val = [cost(p) for p in pts]
     for _ in range(most):
         o = np.argsort(val, kind="stable")
         pts, val = [pts[i] for i in o], [val[i] for i in o]
-        if np.std(val) < tol:
+        if np.isfinite(val).all() and np.std(val) < tol:
+            converged = True
             break
         mid = np.mean(pts[:-1], axis=0)
 
@@ -237,4 +239,4 @@ def nelder_mead(cost, p0, step, tol: float = 1e-12, most: int = 10_000) -> tuple
                 continue
         pts[-1], val[-1] = p, v
     i = int(np.argmin(val))
-    return pts[i], float(val[i])
+    return pts[i], float(val[i]), converged

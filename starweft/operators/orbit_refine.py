@@ -48,8 +48,9 @@ def spread_cost(points: np.ndarray, min_points: int = 10, sigma: float = 0.3 * A
     return float((0.5 * (a - a.mean()) ** 2 / sigma**2 + 0.5 * np.log(2 * np.pi * sigma**2)).sum())
 
 
-def optimise(members: DataFrame, keys: list[str], epoch: float, mu: float = MU_BARY, step: tuple = (0.1, 1e-6, 1e-6, 1e-3), most: int = 400) -> DataFrame:
-    """(keys, r, vr, vo, inc, kappa, cost_before, cost): members carry rho, obs, epoch and their orbit's r, vr, vo, inc, kappa."""
+def optimise(members: DataFrame, keys: list[str], epoch: float, mu: float = MU_BARY, step: tuple = (0.1, 1e-6, 1e-6, 1e-3), most: int = 10_000) -> DataFrame:
+    """(keys, r, vr, vo, inc, kappa, cost_before, cost, converged): members carry rho, obs, epoch and their orbit's r, vr, vo,
+    inc, kappa. converged is false where `most` iterations ended the search, null where the start has no cost and none was made."""
     head = ", ".join(f.simpleString().replace(":", " ") for f in members.select(*keys).schema.fields)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
@@ -57,8 +58,8 @@ def optimise(members: DataFrame, keys: list[str], epoch: float, mu: float = MU_B
         t, p0, kappa = b["epoch"].to_numpy(float), b[["r", "vr", "vo", "inc"]].iloc[0].to_numpy(float), float(b["kappa"].iloc[0])
         cost = lambda p: spread_cost(np_sync(rho, obs, t, *p, kappa, epoch, mu)) if p[0] > 0 else np.inf
         before = cost(p0)
-        best, after = nelder_mead(cost, p0, step, most=most) if np.isfinite(before) else (p0, before)
-        return pd.DataFrame([[*[b[k].iloc[0] for k in keys], *best, kappa, before, after]], columns=[*keys, "r", "vr", "vo", "inc", "kappa", "cost_before", "cost"])
+        best, after, converged = nelder_mead(cost, p0, step, most=most) if np.isfinite(before) else (p0, before, None)
+        return pd.DataFrame([[*[b[k].iloc[0] for k in keys], *best, kappa, before, after, converged]], columns=[*keys, "r", "vr", "vo", "inc", "kappa", "cost_before", "cost", "converged"])
 
     cols = [*keys, "rho_x", "rho_y", "rho_z", "obs_x", "obs_y", "obs_z", "epoch", "r", "vr", "vo", "inc", "kappa"]
-    return members.select(*cols).groupBy(*keys).applyInPandas(run, head + ", r double, vr double, vo double, inc double, kappa double, cost_before double, cost double")
+    return members.select(*cols).groupBy(*keys).applyInPandas(run, head + ", r double, vr double, vo double, inc double, kappa double, cost_before double, cost double, converged boolean")

@@ -465,10 +465,10 @@ def robust_costs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def refined_orbits(spark: SparkSession, d: str) -> DataFrame:
-    """Each cluster's orbit moved to where its detections lie closest together."""
+    """Each cluster's orbit moved to where its detections lie closest together, searched to the tolerance."""
     o = table(spark, d, "trial_orbits").select(F.col("id").alias("ic_id"), "r", "vr", "vo", "inc", "kappa")
     m = base.members(spark, d).join(table(spark, d, "linked_clusters").select("cluster_id", "ic_id"), "cluster_id").join(o, "ic_id")
-    return orbit_refine.optimise(m, ["cluster_id"], REF_EPOCH, most=60)
+    return orbit_refine.optimise(m, ["cluster_id"], REF_EPOCH)
 
 
 @query()

@@ -171,3 +171,16 @@ def test_stream_counts(spark, tmp_path):
     stream.stop()
     assert any(r["total"] == 20 for r in seen)
     assert Vec is not None
+
+
+def test_orbit_refinement_runs_to_the_tolerance_and_says_so(spark):
+    from starweft.operators import orbit_refine
+
+    rows, (r, vr, vo, inc, kappa, _) = one_object()
+    start = (float(r * 1.02), vr, vo * 1.01, inc + 0.002, kappa)
+    m = spark.createDataFrame([(1, *x[1:], *start) for x in rows] + [(2, *x[1:], *start) for x in rows[:5]], "cluster_id long, epoch double, rho_x double, rho_y double, rho_z double, obs_x double, obs_y double, obs_z double, r double, vr double, vo double, inc double, kappa double")
+    got = {x["cluster_id"]: x for x in orbit_refine.optimise(m, ["cluster_id"], EPOCH).collect()}
+    assert got[1]["converged"] is True and got[1]["cost"] < got[1]["cost_before"]
+    assert got[2]["converged"] is None and got[2]["r"] == start[0]
+    cut = orbit_refine.optimise(m, ["cluster_id"], EPOCH, most=60).filter("cluster_id = 1").first()
+    assert cut["converged"] is False and cut["cost"] >= got[1]["cost"]

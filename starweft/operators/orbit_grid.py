@@ -15,6 +15,7 @@ from ..functions.constants import ARCSEC, MU_BARY
 from ..staging import Stage
 
 AXES = ["gamma", "gamma_dot", "eta_x", "eta_y"]
+CELLS_PER_TASK = 20_000
 _BOUNDS = [f"{a}_{e}" for a in AXES for e in ("lo", "hi")]
 
 
@@ -65,7 +66,7 @@ def axis_separations(cells: np.ndarray, span: float, mu: float, epsilon: float)
 
 def refine(cells: DataFrame, span: float, epsilon: float, mu: float = MU_BARY, most_levels: int = 40) -> DataFrame:
     """Cells (bounds per axis) bisected along the axis of largest separation until none is epsilon or more. All open cells of
-    a level are split at once, level by level, over a staged table."""
+    a level are split at once, level by level, over a staged table. Cells that are still open after most_levels are an error."""
     stage = Stage(cells.sparkSession, "orbit-grid")
     schema = ", ".join(f"{b} double" for b in _BOUNDS) + ", final boolean"
 
@@ -85,14 +86,16 @@ def refine(cells: DataFrame, span: float, epsilon: float, mu: float = MU_BARY, m
     done = None
     open_cells = cells.select(*_BOUNDS)
     for _ in range(most_levels):
-        level = stage.write(open_cells.mapInPandas(run, schema))
+        level, n = stage.write_counted(open_cells.mapInPandas(run, schema))
         final = level.filter("final").select(*_BOUNDS)
         done = final if done is None else done.unionByName(final)
         open_cells = level.filter("not final").select(*_BOUNDS)
+        if n > CELLS_PER_TASK:
+            open_cells = open_cells.repartition(-(-n // CELLS_PER_TASK))
         if open_cells.isEmpty():
             break
     else:
-        done = done.unionByName(open_cells)
+        raise ValueError(f"{open_cells.count()} cells are still {epsilon} arcsec or more wide after {most_levels} levels")
     return done
 
 

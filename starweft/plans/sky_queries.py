@@ -510,7 +510,7 @@ def hit_image(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- grids of orbits
 _TOP = f"sqrt(2e0 * {MU_BARY!r} / (r * r * r))"
-_STEP = repr(3.0 * 2e-4 / 30.0)
+_STEP = repr(3.0 * 2e-5 / 30.0)
 
 
 @query(
@@ -520,7 +520,7 @@ _STEP = repr(3.0 * 2e-4 / 30.0)
 )
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
     """Number and spread of the rates of bound motion at each trial orbit's distance."""
-    g = orbit_grid.rate_grid(table(spark, d, "trial_orbits"), 2e-4, 30.0)
+    g = orbit_grid.rate_grid(table(spark, d, "trial_orbits"), 2e-5, 30.0)
     return g.groupBy("id").agg(F.count("*").alias("n"), q(F.sum(F.col("adot") * F.col("adot")), 9).alias("spread"))
 
 
@@ -528,9 +528,9 @@ def rate_grid(spark: SparkSession, d: str) -> DataFrame:
 def orbit_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of orbit space, bisected until neighbours move alike; the range follows the trial orbits' distances."""
     edge = table(spark, d, "trial_orbits").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).first()
-    g = orbit_grid.halve_gamma(spark, max(edge["lo"], 10.0), max(edge["hi"], 20.0))
+    g = orbit_grid.halve_gamma(spark, edge["lo"], edge["hi"])
     top = F.sqrt(2 * MU_BARY * F.pow("gamma_hi", 3))
     cells = g.select("gamma_lo", "gamma_hi", (-top * 0.5).alias("gamma_dot_lo"), (top * 0.5).alias("gamma_dot_hi"), (-top).alias("eta_x_lo"), top.alias("eta_x_hi"), (-top).alias("eta_y_lo"), top.alias("eta_y_hi"))
-    return orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 300.0)))
+    return orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 60.0)))
 
 

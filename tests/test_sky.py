@@ -184,3 +184,23 @@ def test_orbit_refinement_runs_to_the_tolerance_and_says_so(spark):
     assert got[2]["converged"] is None and got[2]["r"] == start[0]
     cut = orbit_refine.optimise(m, ["cluster_id"], EPOCH, most=60).filter("cluster_id = 1").first()
     assert cut["converged"] is False and cut["cost"] >= got[1]["cost"]
+
+
+def test_orbit_grids_are_whole(spark, tmp_path, monkeypatch):
+    """The range is that of the table's distances, at 60 arcsec; cells that stay open are not passed as final."""
+    from starweft.operators import orbit_grid
+    from starweft.plans import sky_queries
+
+    spark.createDataFrame([(1.6, "a"), (79.9, "b")], "r double, id string").write.parquet(str(tmp_path / "trial_orbits.parquet"))
+    seen = []
+    monkeypatch.setattr(orbit_grid, "refine", lambda cells, span, epsilon: seen.append((cells.collect(), epsilon)) or cells)
+    sky_queries.orbit_cells(spark, str(tmp_path))
+    cells, epsilon = seen[0]
+    assert min(c["gamma_lo"] for c in cells) == 1 / 79.9 and max(c["gamma_hi"] for c in cells) == 1 / 1.6 and epsilon == 60.0
+    monkeypatch.undo()
+    one = spark.createDataFrame([(0.02, 0.04, -1e-4, 1e-4, -1e-4, 1e-4, -1e-4, 1e-4)], ", ".join(f"{b} double" for b in orbit_grid._BOUNDS))
+    with pytest.raises(ValueError, match="still"):
+        orbit_grid.refine(one, 13.0, 1.0, most_levels=2)
+    monkeypatch.setattr(orbit_grid, "rate_grid", lambda orbits, pixel, span: seen.append((pixel, span)) or spark.createDataFrame([("a", 0.0)], "id string, adot double"))
+    sky_queries.rate_grid(spark, str(tmp_path))
+    assert seen[-1] == (2e-5, 30.0)

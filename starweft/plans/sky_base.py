@@ -127,7 +127,7 @@ def sync_sql(steps: int = 6) -> str:
         (pz * fm + gm * (vrad * pz / rt + vt * spsi * xy / rt)) / r AS s_z FROM ({q})"""
 
 
-TANGENT_MIN_DEPTH = 0.05
+TANGENT_MIN_DEPTH = 0.0
 EXPOSED = f"""WITH det AS MATERIALIZED ({DETECTIONS}),
   anchors AS (SELECT unnest(list_reduce(list_transform(list_sort(list(DISTINCT epoch)), lambda e: [e]), lambda a, b: CASE WHEN b[1] - a[len(a)] >= 1e-6 THEN list_append(a, b[1]) ELSE a END)) AS exposure_id FROM det),
   tagged AS (SELECT det.*, exposure_id FROM det ASOF JOIN anchors ON det.epoch >= anchors.exposure_id),

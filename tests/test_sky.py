@@ -204,3 +204,14 @@ def test_orbit_grids_are_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(orbit_grid, "rate_grid", lambda orbits, pixel, span: seen.append((pixel, span)) or spark.createDataFrame([("a", 0.0)], "id string, adot double"))
     sky_queries.rate_grid(spark, str(tmp_path))
     assert seen[-1] == (2e-5, 30.0)
+
+
+def test_tangent_queries_keep_rows_at_the_edge_of_the_plane(spark, monkeypatch):
+    from starweft.plans import sky_base, sky_queries
+
+    edge = math.acos(0.01)
+    places = [(0.001 * k, 0.001) for k in range(40)] + [(edge, 0.0), (-edge, 0.0), (math.pi, 0.0)]
+    rows = [(k, EPOCH, math.cos(a) * math.cos(b), math.sin(a) * math.cos(b), math.sin(b), 1.0, 0.0, 0.0) for k, (a, b) in enumerate(places)]
+    monkeypatch.setattr(sky_base, "detections", lambda *_: spark.createDataFrame(rows, SCHEMA))
+    assert {r["intid"] for r in sky_queries.tangent_projection(spark, "").collect()} >= set(range(41))
+    assert 42 not in {r["intid"] for r in sky_queries.tangent_projection(spark, "").collect()}

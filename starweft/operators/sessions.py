@@ -24,6 +24,7 @@ from ..tables import finite
 
 BLOCK = 32768  # bits of one of Spark's bitmaps
 TICKS = 16  # ticks per gap
+FAR = 1e12  # later times have no place in bitmaps; each of them is a run of its own
 
 
 def closing(bits: int, reach: int) -> int:
@@ -56,10 +57,11 @@ def sessions(events: DataFrame, entity: str, time: str, event_id: str, gap: floa
     tick = gap / TICKS
     reach = TICKS - 3  # a bridged hole has so many empty ticks at most: its two events are more than a tick short of a gap apart
     rows = events.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{time}`").cast("double").alias("t"), F.col(f"`{event_id}`").alias("i"))
-    rows = rows.filter(F.col("e").isNotNull() & (F.col("e") != "") & finite(F.col("t")) & (F.col("t") > 0) & (F.col("t") < 1e12))
+    rows = rows.filter(F.col("e").isNotNull() & (F.col("e") != "") & finite(F.col("t")) & (F.col("t") > 0))
+    near = F.col("t") < FAR
     at = F.floor(F.col("t") / tick).cast("long")
     ticks = (
-        rows.select("e", at.alias("tick"), F.struct("t", "i").alias("p"))
+        rows.filter(near).select("e", at.alias("tick"), F.struct("t", "i").alias("p"))
         .groupBy("e", "tick")
         .agg(F.count("*").alias("n"), F.min("p").alias("first"), F.max("p").alias("last"))
         .select("e", (F.col("tick") / BLOCK).cast("long").alias("block"), F.pmod(F.col("tick"), F.lit(BLOCK)).cast("int").alias("bit"), "n", "first", "last")
@@ -82,6 +84,8 @@ def sessions(events: DataFrame, entity: str, time: str, event_id: str, gap: floa
         .groupBy("e", "block", "a")
         .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
+    far = rows.filter(~near).select("e", "t", F.struct("t", "i").alias("p")).groupBy("e", "t").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.max("p").alias("last"))
+    pieces = pieces.select("e", "n", "first", "last").unionByName(far.drop("t"))
     order = Window.partitionBy("e").orderBy("first")
     new = F.when(F.col("first.t") - F.lag("last.t").over(order) <= gap, 0).otherwise(1)
     numbered = pieces.withColumn("new", new).withColumn("session_no", F.sum("new").over(order))

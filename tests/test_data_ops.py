@@ -147,3 +147,10 @@ def test_hot_keys_are_split(spark, monkeypatch):
     table = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert sorted(map(tuple, lookup(left, 500, "k", table, 450).collect())) == sorted(map(tuple, left.join(table, "k").collect()))
     assert lookup(left, 500, "k", table, 450, "left").count() == 500
+
+
+def test_sessions_keep_very_late_events(spark):
+    late = 1e12
+    rows = [("a", t, i) for i, t in enumerate([1.0, 1.1, late - 0.25, late - 0.125, late, late + 0.125, late + 1, 1e300, 1e300])]
+    got = sessions.sessions(spark.createDataFrame(rows, "e string, t double, i long"), "e", "t", "i", 0.2).collect()
+    assert {(r["first_id"], r["last_id"], r["events"]) for r in got} == {(0, 1, 2), (2, 5, 4), (6, 6, 1), (7, 8, 2)}

@@ -21,8 +21,8 @@ from . import linker
 from . import sky_base as base
 from .sky_base import REF_EPOCH
 
-PIXEL = 0.002  # radians, tangent-plane grids of the queries
-EPSILON = 600.0  # arcsec, dense grids: cells of a third of it
+EPSILON = 3.0  # arcsec, dense grids: cells of a third of it
+PIXEL = EPSILON * ARCSEC / 3  # radians, tangent-plane grids of the queries
 DEPTH = 9  # pixel searches of the queries
 NEAR = 3600.0  # arcsec
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,7 +317,7 @@ def synced_pixels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def linked_objects(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: pixel peaks of every orbit, range search, unique sets, screening, outlier-rejecting fits."""
-    return linker.hpix_linker(base.detections(spark, d), base.trial_orbits(spark, d), REF_EPOCH, depth=DEPTH + 3, arcsec=60.0)
+    return linker.hpix_linker(base.detections(spark, d), base.trial_orbits(spark, d), REF_EPOCH)
 
 
 # ---- linking
@@ -359,7 +359,7 @@ def point_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def point_linker(spark: SparkSession, d: str) -> DataFrame:
     """Neighbourhoods of synced points that last long enough, by orbit. No SQL: too slow on whole tables."""
-    return linker.point_linker(base.detections(spark, d), base.trial_orbits(spark, d), 60.0)
+    return linker.point_linker(base.detections(spark, d), base.trial_orbits(spark, d))
 
 
 _SETS = "(SELECT cluster_id, ic_id, list_sort(list_distinct(list_filter(local_intids, lambda x: x IS NOT NULL))) AS s FROM linked_clusters)"

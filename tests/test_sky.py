@@ -215,3 +215,27 @@ def test_tangent_queries_keep_rows_at_the_edge_of_the_plane(spark, monkeypatch):
     monkeypatch.setattr(sky_base, "detections", lambda *_: spark.createDataFrame(rows, SCHEMA))
     assert {r["intid"] for r in sky_queries.tangent_projection(spark, "").collect()} >= set(range(41))
     assert 42 not in {r["intid"] for r in sky_queries.tangent_projection(spark, "").collect()}
+
+
+def test_registered_searches_have_the_default_resolution(spark, monkeypatch):
+    """12 unrelated points within some arcmin are no peak, 12 at one place are; linked objects take the linker's defaults."""
+    from starweft.plans import sky_base, sky_queries
+
+    (_, *one), orbit = one_object(1, 1)[0][0], one_object(1, 1)[1]
+    rng = np.random.default_rng(4)
+    spread = []
+    for k in range(12):
+        v = np.array(one[1:4]) + rng.uniform(-1, 1, 3) * 7e-4
+        spread.append((100 + k, one[0], *map(float, v / np.linalg.norm(v)), *one[4:]))
+    orb = orbits.spherical(spark.createDataFrame([orbit], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    monkeypatch.setattr(sky_base, "trial_orbits", lambda *_: orb)
+    for rows, totals in ((spread, []), ([(k, *one) for k in range(12)], [12])):
+        monkeypatch.setattr(sky_base, "detections", lambda *_, rows=rows: spark.createDataFrame(rows, SCHEMA))
+        for query in (sky_queries.dense_search, sky_queries.centred_dense_search):
+            assert [r["total"] for r in query(spark, "").collect()] == totals
+    seen = []
+    for name in ("hpix_linker", "point_linker"):
+        monkeypatch.setattr(linker, name, lambda *a, **k: seen.append((len(a), k)))
+    sky_queries.linked_objects(spark, "")
+    sky_queries.point_linker(spark, "")
+    assert seen == [(3, {}), (2, {})] and sky_queries.PIXEL == pytest.approx(math.radians(1 / 3600))

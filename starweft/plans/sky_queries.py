@@ -436,13 +436,13 @@ def coupled_fits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rejecting_fits(spark: SparkSession, d: str) -> DataFrame:
     """Fits that drop the worst outlier at a time."""
-    return fits.rejecting_fits(_fit_rows(spark, d), ["cluster_id"], threshold=50.0, min_kept=6, min_nights=3)
+    return fits.rejecting_fits(_fit_rows(spark, d), ["cluster_id"], threshold=5.0, min_kept=6, min_nights=3)
 
 
 @query()
 def fraction_rejecting_fits(spark: SparkSession, d: str) -> DataFrame:
     """Fits that drop a tenth of the members at a time."""
-    return fits.rejecting_fits(_fit_rows(spark, d), ["cluster_id"], threshold=50.0, min_kept=6, fraction=0.1)
+    return fits.rejecting_fits(_fit_rows(spark, d), ["cluster_id"], threshold=5.0, min_kept=6, fraction=0.1)
 
 
 @query(

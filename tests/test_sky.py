@@ -239,3 +239,16 @@ def test_registered_searches_have_the_default_resolution(spark, monkeypatch):
     sky_queries.linked_objects(spark, "")
     sky_queries.point_linker(spark, "")
     assert seen == [(3, {}), (2, {})] and sky_queries.PIXEL == pytest.approx(math.radians(1 / 3600))
+
+
+def test_rejecting_queries_take_the_default_threshold(spark, monkeypatch):
+    from starweft.plans import sky_queries
+
+    t = np.arange(20) * 1.5 - 15
+    s = 0.2 * math.pi / 180 / 3600
+    x, y = 1e-3 + 2e-5 * t + 2.5e-2 * np.sin(t / 10), -2e-3 + 1e-5 * t + 2.5e-2 * np.cos(t / 10)
+    x[8] += 20 * s
+    rows = [(1, i, *map(float, (t[i], np.sin(t[i] / 10), np.cos(t[i] / 10), x[i], y[i], s))) for i in range(20)]
+    monkeypatch.setattr(sky_queries, "_fit_rows", lambda *_: spark.createDataFrame(rows, "cluster_id long, intid long, t double, f double, g double, x double, y double, sigma double"))
+    assert sky_queries.rejecting_fits(spark, "").first()["rejected"] == [8]
+    assert 8 in sky_queries.fraction_rejecting_fits(spark, "").first()["rejected"]

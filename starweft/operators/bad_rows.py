@@ -1,7 +1,7 @@
 """Rows that fail to parse, set apart with the reason for it.
 
-Method: structural checks on the line itself; of the fields, every distinct value of a checked column is cast once, the
-ones that fail form a dictionary (column, value, reason), and that dictionary is joined back to the rows.
+Method: structural checks on the line itself, parsed once; of the fields, the distinct values of the checked columns are staged
+and each is cast once, the ones that fail form a dictionary (column, value), and that dictionary is joined back to the rows.
 
 Defined results: a null line has no fields and fails with 'columns'; an empty line has one field; identical lines under
 different ids fail alike, each with its own row; other columns of the input are kept, whatever their names; an empty input
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import Stage, small
+from ..staging import Stage, lookup
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
@@ -51,8 +51,7 @@ def well_quoted(line: Column) -> Column:
 
     def fits(piece: Column, i: Column) -> Column:
         starts, ends = (i == 0) | piece.startswith(","), (i == n - 1) | piece.endswith(",")
-        inner = (piece == "") & ((i == 0) | (i == n - 1) | F.lit(True))
-        return (i % 2 == 1) | inner | (starts & ends & (piece != ""))
+        return (i % 2 == 1) | (piece == "") | (starts & ends)
 
     odd_quotes = n % 2 == 0
     return ~line.contains('"') | (~odd_quotes & F.forall(F.transform(pieces, lambda p, i: fits(p, i)), lambda x: x))
@@ -80,9 +79,10 @@ def split_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(good, bad): the good rows have one typed column per name of `columns` in the struct `row`, the bad ones `reason`.
 
-    Reasons in order: quoting, columns, then the checks as listed; the first that holds is reported. The dictionary holds
-    the failing values only, is staged, and is broadcast only if it is small; else Spark joins it by shuffle, where its
-    adaptive skew join splits a value that many rows share.
+    Reasons in order: quoting, columns, then the checks as listed; the first that holds is reported. Lines are parsed once,
+    into a staged table that all further steps read. The distinct values are a staged table too, so that no check can be
+    planned below the distinct. The dictionary of the failing ones is joined back by `lookup`, which splits off a value that
+    many rows share; lines of a bad shape have no values and take no part in these joins.
     """
     spark = lines.sparkSession
     own = list(lines.columns)
@@ -95,41 +95,32 @@ def split_rows(
         .when(F.col("__f").isNull() | (F.size("__f") != len(columns)), F.lit("columns"))
         .otherwise(F.lit(None).cast("string"))
     )
-    shaped = parsed.select("__in", "__f", shape.alias("__shape"))
-    values = shaped.select(
-        "__in",
-        "__f",
-        "__shape",
-        *[F.when(F.col("__shape").isNull(), k.value(F.col("__f"))).alias(f"__v{i}") for i, k in enumerate(checks)],
-    )
-    stage = Stage(spark, "bad-values")
-    distinct = (
-        values.filter(F.col("__shape").isNull())
-        .select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"__v{i}").alias("v")) for i in range(len(checks))])).alias("c"))
-        .select("c.i", "c.v")
-        .distinct()
-    )
+    stage = Stage(spark, "raw-lines")
+    shaped, n_rows = stage.write_counted(parsed.select("__in", "__f", shape.alias("reason")))
+    names = [f"__v{i}" for i in range(len(checks))]
+    values = shaped.filter(F.col("reason").isNull()).select("__in", "__f", *[k.value(F.col("__f")).alias(v) for k, v in zip(checks, names)])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(v).alias("v")) for i, v in enumerate(names)])
+    distinct = stage.write(values.select(F.explode(cells).alias("c")).select("c.i", "c.v").distinct())
     failing = F.lit(False)
     for i, k in enumerate(checks):
         failing = failing | ((F.col("i") == i) & F.coalesce(k.bad(F.col("v")), F.lit(True)))
-    dictionary, n = stage.write_counted(distinct.filter(failing))
-    out = values
-    for i, _ in enumerate(checks):
-        one = dictionary.filter(F.col("i") == i).select(F.col("v").alias(f"__v{i}"), F.lit(True).alias(f"__b{i}"))
-        out = out.join(small(one, n), f"__v{i}", "left")
-    reason = F.col("__shape")
+    dictionary, n_bad = stage.write_counted(distinct.filter(failing))
+    judged = values
+    for i, v in enumerate(names):
+        one = dictionary.filter(F.col("i") == i).select(F.col("v").alias(v), F.lit(True).alias(f"__b{i}"))
+        judged = lookup(judged, n_rows, v, one, n_bad, "left")
+    reason = F.lit(None).cast("string")
     for i, k in enumerate(checks):
         reason = F.coalesce(reason, F.when(F.col(f"__b{i}"), F.lit(k.reason)))
-    out = out.select("__in", "__f", reason.alias("reason"))
-    bad = out.filter(F.col("reason").isNotNull()).select("__in.*", "reason") if "reason" not in own else out.filter(
-        F.col("reason").isNotNull()
-    ).select(F.col("__in").alias("input"), "reason")
+    judged = judged.select("__in", "__f", reason.alias("reason"))
+    bad = shaped.filter(F.col("reason").isNotNull()).unionByName(judged.filter(F.col("reason").isNotNull()))
+    bad = bad.select("__in.*", "reason") if "reason" not in own else bad.select(F.col("__in").alias("input"), "reason")
     types = types or {}
     typed = [
         (number(F.get("__f", F.lit(i))) if types.get(c) == "double" else F.nullif(F.get("__f", F.lit(i)), F.lit(""))).alias(c)
         for i, c in enumerate(columns)
     ]
-    good = out.filter(F.col("reason").isNull()).select(F.col("__in").alias("input"), F.struct(*typed).alias("row"))
+    good = judged.filter(F.col("reason").isNull()).select(F.col("__in").alias("input"), F.struct(*typed).alias("row"))
     return good, bad
 
 

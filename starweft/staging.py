@@ -11,7 +11,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that want to cache a staged table)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +70,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def lookup(left: DataFrame, left_rows: int, key: str, table: DataFrame, table_rows: int, how: str = "inner") -> DataFrame:
-    """left join table on `key`, where table has each key once and left may hold a third of its rows under one key.
+    """left join table on `key`, where table has each key once and left may hold a third of its rows under one key. Both are
+    staged tables or cheap to read again.
 
     A small table is broadcast. Beyond that the hot keys of left (found with a map-side combined count; at most
     left_rows / HOT_ROWS of them) are joined with their few rows of the table by broadcast, the others by a shuffle.

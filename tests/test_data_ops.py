@@ -154,3 +154,62 @@ def test_sessions_keep_very_late_events(spark):
     rows = [("a", t, i) for i, t in enumerate([1.0, 1.1, late - 0.25, late - 0.125, late, late + 0.125, late + 1, 1e300, 1e300])]
     got = sessions.sessions(spark.createDataFrame(rows, "e string, t double, i long"), "e", "t", "i", 0.2).collect()
     assert {(r["first_id"], r["last_id"], r["events"]) for r in got} == {(0, 1, 2), (2, 5, 4), (6, 6, 1), (7, 8, 2)}
+
+
+def test_sessions_of_a_hot_entity_in_milliseconds(spark):
+    """Most events under one entity, far apart and close together, over many blocks, at epoch milliseconds."""
+    r = random.Random(9)
+    t, rows = 1.7e12, []
+    for i in range(6000):
+        t += r.choice([0, 1000.0, 60_000.0, 1_799_999.0, 1_800_000.0, 1_800_001.0, 1_700_000.0, 1_900_000.0, 4e6, 9e9 if r.random() < 0.01 else 5e5])
+        rows.append(("hot" if r.random() < 0.9 else "b", t, i))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "e string, t double, i long")
+    out = sessions.sessions(df, "e", "t", "i", 1_800_000.0).collect()
+    assert sorted((x["e"], x["first_id"], x["last_id"], x["events"]) for x in out) == brute_sessions(rows, 1_800_000.0)
+    for e in ("hot", "b"):
+        mine = sorted((x["session_no"], x["start_time"]) for x in out if x["e"] == e)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [s for _, s in mine] == sorted(s for _, s in mine)
+
+
+def test_polygons_by_crossing_parity(spark):
+    cols = "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, centre_ra double, centre_dec double, radius_deg double, epoch_from double, epoch_to double, vertices array<struct<ra:double,dec:double>>"
+    none = (None,) * 9
+    diamond = [(10.0, 0.0), (15.0, 5.0), (10.0, 10.0), (5.0, 5.0)]
+    hollow = [(40.0, 0.0), (50.0, 0.0), (50.0, 10.0), (45.0, 2.0), (40.0, 10.0)]
+    seam = [(355.0, -3.0), (365.0, -3.0), (365.0, 3.0), (355.0, 3.0)]
+    regions = [(1, "polygon", *none, diamond), (2, "polygon", *none, hollow), (3, "polygon", *none, seam), (4, "polygon", *none, diamond[:2]), (5, "polygon", *none, None)]
+    pts = [(10.0, 5.0), (6.0, 5.0), (4.0, 5.0), (5.0, 5.0), (15.0, 5.0), (10.0, 0.0), (2.0, 10.0), (2.0, 0.0), (12.5, 2.5), (13.0, 2.5), (45.0, 1.0), (45.0, 2.0), (45.0, 3.0), (41.0, 8.0), (49.0, 8.0), (40.0, 0.0), (45.0, 0.0), (0.0, 0.0), (359.0, 2.0), (4.0, 3.0), (5.0, 0.0), (6.0, 0.0), (355.0, 3.0)]
+    df = spark.createDataFrame([(i, *p, 1.0) for i, p in enumerate(pts)], "intid long, ra double, dec double, epoch double")
+    got = {(x["region_id"], x["intid"]) for x in proximity.regions_of(df, spark.createDataFrame(regions, cols)).collect()}
+    assert got == {(1, i) for i in (0, 1, 3, 4, 5, 8)} | {(2, i) for i in (10, 11, 13, 14, 15, 16)} | {(3, i) for i in (7, 17, 18, 19, 20, 22)}
+
+
+def test_circles_against_the_distance(spark):
+    cols = "region_id long, shape string, ra_min double, ra_max double, dec_min double, dec_max double, centre_ra double, centre_dec double, radius_deg double, epoch_from double, epoch_to double"
+    import math
+
+    r = random.Random(2)
+    circles = [(k, "circle", None, None, None, None, r.uniform(0, 360), r.choice([r.uniform(-90, 90), 89.9, -89.5, 0.0]), r.choice([0.5, 3.0, 40.0, 100.0, 180.0]), None, None) for k in range(25)]
+    pts = [(i, r.choice([r.uniform(0, 360), 0.0, 359.99]), r.choice([r.uniform(-90, 90), 90.0, -90.0]), 1.0) for i in range(600)]
+    pts += [(1000 + k, c[6], max(-90.0, min(90.0, c[7] + r.uniform(-1, 1) * c[8])), 1.0) for k, c in enumerate(circles)]
+    got = {(x["region_id"], x["intid"]) for x in proximity.regions_of(spark.createDataFrame(pts, "intid long, ra double, dec double, epoch double"), spark.createDataFrame(circles, cols)).collect()}
+    rad = math.radians
+    want = {(c[0], p[0]) for c in circles for p in pts if math.sin(rad(p[2] - c[7]) / 2) ** 2 + math.cos(rad(p[2])) * math.cos(rad(c[7])) * math.sin(rad(p[1] - c[6]) / 2) ** 2 <= math.sin(rad(c[8]) / 2) ** 2}
+    assert got == want
+
+
+def test_values_are_checked_once_each(spark):
+    """The checks are planned above the staged distinct values, never in the scan of the lines."""
+    seen = []
+    write = staging.Stage.write
+    texts = [f"a,{k},2,3,4,{k % 3}" for k in range(300)]
+    try:
+        staging.Stage.write = lambda self, df: seen.append(df) or write(self, df)
+        _, bad = bad_rows.split_orbits(lines(spark, texts))
+    finally:
+        staging.Stage.write = write
+    assert bad.count() == 200
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    checks = [p for p in plans if bad_rows.NUMBER in p]
+    assert len(checks) == 1 and "Aggregate" not in checks[0] and "Generate" not in checks[0]

@@ -195,7 +195,7 @@ def test_circles_against_the_distance(spark):
     pts += [(1000 + k, c[6], max(-90.0, min(90.0, c[7] + r.uniform(-1, 1) * c[8])), 1.0) for k, c in enumerate(circles)]
     got = {(x["region_id"], x["intid"]) for x in proximity.regions_of(spark.createDataFrame(pts, "intid long, ra double, dec double, epoch double"), spark.createDataFrame(circles, cols)).collect()}
     rad = math.radians
-    want = {(c[0], p[0]) for c in circles for p in pts if math.sin(rad(p[2] - c[7]) / 2) ** 2 + math.cos(rad(p[2])) * math.cos(rad(c[7])) * math.sin(rad(p[1] - c[6]) / 2) ** 2 <= math.sin(rad(c[8]) / 2) ** 2}
+    want = {(c[0], p[0]) for c in circles for p in pts if math.sin(rad(p[2] - c[7]) / 2) ** 2 + math.cos(rad(p[2])) * math.cos(rad(c[7])) * math.sin(rad(p[1] - c[6]) / 2) ** 2 <= math.sin(rad(c[8]) / 2) ** 2 * (1 + 1e-12)}
     assert got == want
 
 

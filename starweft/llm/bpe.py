@@ -3,18 +3,22 @@
 A greedy merge order has this property: a token sequence is the encoding of its bytes exactly if every two neighbouring
 tokens are the encoding of their joint bytes. So the encoding of each prefix follows from those of shorter prefixes: its last
 token t is the one that ends there and may follow the last token of the prefix before t. The transducer keeps that last token
-per byte position. Tokens that follow can begin at most `lookahead` = (longest token - 1) bytes before the current end, so
-once the chains of last tokens from all those positions meet in one earlier position, everything up to it is stable and is
-emitted; state is kept for the bytes after it only.
-
-The pattern that cuts text into words before the merges is applied to a buffer of which the last two matches are held back,
-since only those can still change; a longer open run (letters without a break, say) goes to the transducer all but its last
-character.
+per byte position. A token still to come begins before the current end only if the merge list builds it and if it is longer
+than the bytes between; the sufficient lookahead is therefore the length of the longest token that the merges can build, less
+one (it is also needed: a proper prefix of that token is encoded otherwise than with its last byte). Once the chains of last
+tokens from all positions within it meet in one earlier position, everything up to there is stable and is emitted; state is
+kept for the bytes after it only.
+
+The pattern that cuts text into words before the merges never joins the two sides of a single blank between visible
+characters, so text is taken in such segments, and a segment seen before is looked up. The last segment is held back until
+its end is known; within a longer one the last two words are held back, since only those can still change, and an open run
+(letters without a break, say) goes to the transducer all but its last character.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import cached_property
 
 import ahocorasick
@@ -22,53 +26,76 @@ import regex
 
 #: The public pattern that splits text before the merges. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A blank between visible characters. `re` counts a few more characters as blank than the pattern does, which cuts less.
+SEGMENT = re.compile(r"(?<=\S) (?=\S)")
 MEMO_WORDS = 150_000
+MEMO_SEGMENTS = 150_000
 MEMO_CHARS = 64
 OPEN_CHARS = 2048
 SETTLE_BYTES = 512
 
 
 class Vocabulary:
-    """Ranks of a byte-level BPE, from lines of base64 token and rank."""
+    """Ranks of a byte-level BPE, from lines of base64 token and rank. `built` is what the merges can build, if that
+    is known already."""
 
-    def __init__(self, lines: bytes, pattern: str = PATTERN):
+    def __init__(self, lines: bytes, pattern: str = PATTERN, built: dict[int, tuple[int, ...]] | None = None):
         self.rank = {base64.b64decode(t): int(r) for t, r in (x.split() for x in lines.splitlines() if x.strip())}
         self.token = {r: t for t, r in self.rank.items()}
-        self.longest = max(map(len, self.rank))
+        # each token that merges lead to, with the two parts of its last merge; others never come out
+        self.built = self._built() if built is None else built
+        self.lookahead = max((len(self.token[r]) for r in self.built), default=1) - 1
         self.words = regex.compile(pattern)
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, list[int]] = {}
-
-    @property
-    def lookahead(self) -> int:
-        """Bytes before the end at which a token still to come may begin."""
-        return self.longest - 1
+        self.segments: dict[str, list[int]] = {}
+        self.cuts: dict[str, tuple] = {}
 
     @cached_property
     def automaton(self):
         a = ahocorasick.Automaton()
-        for t, r in self.rank.items():
-            if self.merged(t) == [r]:  # a token that no merges lead to never comes out
-                a.add_word(t.decode("latin-1"), (len(t), r))
+        for r in self.built:
+            t = self.token[r]
+            a.add_word(t.decode("latin-1"), (len(t), r))
         a.make_automaton()
         return a
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging of a few bytes, lowest rank first; used on single tokens and on pairs of them."""
+    def merged(self, data: bytes, down_to: int = 1) -> list[int]:
+        """Plain merging of a few bytes, lowest rank first, until so many parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best = min(range(len(parts) - 1), key=lambda i: self.rank.get(parts[i] + parts[i + 1], 1 << 60))
             if parts[best] + parts[best + 1] not in self.rank:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.rank[p] for p in parts]
 
+    def _built(self) -> dict[int, tuple[int, ...]]:
+        halves = ((r, self.merged(t, 2)) for t, r in self.rank.items())
+        return {r: tuple(h) if len(h) == 2 else () for r, h in halves if len(h) <= 2}
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether a and b are what their joint bytes merge to: whether no merge across the border comes before those that
+        build the parts beside it. The parts are followed back in time, the one that was built last first."""
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            x, y, end_x, end_y, known = a, b, 1 << 60, 1 << 60, True
+            token, built = self.token, self.built
+            while True:
+                across = self.rank.get(token[x] + token[y])
+                if across is not None and across < end_x and across <= end_y:
+                    known = False
+                    break
+                left, right = built[x], built[y]
+                if right and (y >= x or not left):
+                    end_y, y = y, right[0]
+                elif left:
+                    end_x, x = x, left[1]
+                else:
+                    break
+            self.fits[a, b] = known
         return known
 
     def word(self, w: str) -> list[int]:
@@ -77,7 +104,7 @@ class Vocabulary:
         if ids is None:
             raw = w.encode("utf-8", "surrogatepass")
             one = self.rank.get(raw)
-            if one is not None and self.merged(raw) == [one]:
+            if one is not None and one in self.built:
                 ids = [one]
             else:
                 t = Transducer(self)
@@ -89,8 +116,19 @@ class Vocabulary:
                 self.memo[w] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Token ids of a text, special tokens' strings being ordinary text."""
+    def segment(self, s: str) -> list[int]:
+        """Token ids of a blank and the segment that follows it."""
+        ids = self.segments.get(s)
+        if ids is None:
+            ids = self.run(" " + s)
+            if len(s) <= MEMO_CHARS:
+                if len(self.segments) >= MEMO_SEGMENTS:
+                    self.segments.clear()
+                self.segments[s] = ids
+        return ids
+
+    def run(self, text: str) -> list[int]:
+        """Token ids of a text, word by word."""
         out: list[int] = []
         get, word, more = self.memo.get, self.word, out.extend
         for w in self.words.findall(text):
@@ -116,7 +154,8 @@ class Transducer:
         return out
 
     def _take(self, piece: str) -> None:
-        v, last = self.v, self.last
+        v, last, before = self.v, self.last, self.before
+        fits, may_follow = v.fits.get, v.may_follow
         old = len(last)
         self.tail += piece
         last.extend([-1] * len(piece))
@@ -127,9 +166,13 @@ class Transducer:
             start = end - size
             if start < -1:
                 continue
-            left = last[start] if start >= 0 else self.before
-            if left is None or (left >= 0 and v.may_follow(left, token)):
+            left = last[start] if start >= 0 else before
+            if left is None:
                 last[end] = token
+            elif left >= 0:
+                ok = fits((left, token))
+                if ok or (ok is None and may_follow(left, token)):
+                    last[end] = token
 
     def _chain(self, end: int) -> list[int]:
         out = []
@@ -161,7 +204,8 @@ class Transducer:
 
 
 class StreamingEncoder:
-    """Pieces of a text in, stable token ids out; memory is bounded by the pieces and by the open run's last bytes."""
+    """Pieces of a text in, stable token ids out, special tokens' strings being ordinary text; memory is bounded by the pieces
+    and by the open segment's last characters."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.held, self.open = vocabulary, "", None
@@ -173,6 +217,20 @@ class StreamingEncoder:
             out += self._go_on(False)
             if self.open is not None:
                 return out
+        first, *more = SEGMENT.split(self.held)
+        if more:  # all segments but the last are followed by a blank and a visible character
+            out += self.v.run(first)
+            get, segment, add = self.v.segments.get, self.v.segment, out.extend
+            self.held = " " + more.pop()
+            for s in more:
+                add(get(s) or segment(s))
+        if len(self.held) > OPEN_CHARS:
+            out += self._within()
+        return out
+
+    def _within(self) -> list[int]:
+        """Words of a long segment, up to a run that is still open."""
+        out: list[int] = []
         spans = [m.span() for m in self.v.words.finditer(self.held)]
         for a, b in spans[:-2]:
             out += self.v.word(self.held[a:b])
@@ -215,7 +273,7 @@ class StreamingEncoder:
         out: list[int] = []
         if self.open is not None:
             out += self._go_on(True)
-        out += self.v.encode(self.held)
+        out += self.v.run(self.held)
         self.held = ""
         return out
 
@@ -251,9 +309,9 @@ class Decoder:
 _LOADED: dict[int, Vocabulary] = {}
 
 
-def loaded(lines: bytes) -> Vocabulary:
+def loaded(lines: bytes, built: dict[int, tuple[int, ...]] | None = None) -> Vocabulary:
     """The vocabulary of these lines, made once per Python process."""
     key = hash(lines)
     if key not in _LOADED:
-        _LOADED[key] = Vocabulary(lines)
+        _LOADED[key] = Vocabulary(lines, built=built)
     return _LOADED[key]

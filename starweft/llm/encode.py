@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Decoder, StreamingEncoder, loaded
+from .bpe import Decoder, StreamingEncoder, Vocabulary, loaded
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 16  # characters that go to the streaming encoder at a time
 
 
 def vocabulary_bytes(path: str) -> bytes:
@@ -26,15 +27,19 @@ def vocabulary_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode_text(v, text: str | None) -> list[int]:
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's lines and the tokens that its merges can build, worked out once on the driver."""
+    lines = vocabulary_bytes(path)
+    return spark.sparkContext.broadcast((lines, loaded(lines).built))
+
+
+def encode_text(v: Vocabulary, text: str | None) -> list[int]:
     if not text:
         return []
-    if len(text) <= PIECE_CHARS:
-        return v.encode(text)
-    enc, out = StreamingEncoder(v), []
+    e, out = StreamingEncoder(v), []
     for at in range(0, len(text), PIECE_CHARS):
-        out += enc.feed(text[at : at + PIECE_CHARS])
-    return out + enc.finish()
+        out += e.feed(text[at : at + PIECE_CHARS])
+    return out + e.finish()
 
 
 def list_array(lists: list[list[int]]) -> pa.Array:
@@ -46,10 +51,10 @@ def list_array(lists: list[list[int]]) -> pa.Array:
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids)"""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    shared = shared_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = loaded(shared.value)
+        v = loaded(*shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):  # keeps the lists of one output batch small
                 part = b.slice(at, 1000)
@@ -63,10 +68,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text)"""
-    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    shared = shared_vocabulary(tokens.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = loaded(shared.value)
+        v = loaded(*shared.value)
         for b in batches:
             texts = []
             for x in b.column(1).to_pylist():

@@ -1,16 +1,16 @@
 """Passages of evaluation items inside a corpus.
 
 Method: suffix arrays. The corpus is cut into shards of whole documents; each shard's words become numbers, its suffixes are
-sorted by prefix doubling up to the length of the longest test passage, and every suffix of every test passage is looked up
-by binary search, which gives its longest verbatim match and all places of matches of the asked length. Test items are few
-(their number is checked) and go to every task; nothing of the corpus goes to the driver.
+sorted by prefix doubling, and all suffixes of all test passages are looked up together by binary search over the sorted
+suffixes. Places that share the asked number of words are followed on to their longest verbatim match. Test items go to every
+task in blocks of a bounded size, one pass over the corpus each; nothing of the corpus goes to the driver.
 
 Words are the longest runs of letters and digits after NFKC and lower-casing. A document leaks an item if it shares a run of
 at least `min_words` words with the prompt or with the answer, or holds a whole prompt that is shorter.
 
 Defined results: null and empty texts hold nothing; an item whose prompt has no words matches through its answer only; a
-document or an item that occurs twice is reported as often as it has different ids; rows with a null id are not reported;
-empty tables give an empty result.
+document or an item that occurs twice is reported as often as it has different ids; rows with a null id are not reported, but
+`without_leaks` removes them all the same; ids keep their types; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..staging import Stage
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-SHARD_WORDS = 1_500_000
-MAX_ITEM_CHARS = 20_000_000
+SHARD_WORDS = 2_000_000
+BLOCK_CHARS = 10_000_000  # characters of test passages that go to the tasks at a time
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,24 +40,25 @@ def words_of(text: str | None) -> list[str]:
 class Passages:
     """Test passages as numbers. Numbers from 1 on are words, in order; 0 ends a document or is a word of no passage."""
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]], min_words: int):
-        self.min_words = min_words
-        seqs = [(i, 0, words_of(p)) for i, p, _ in items] + [(i, 1, words_of(a)) for i, _, a in items]
-        seqs = [(i, part, w) for i, part, w in seqs if (len(w) >= min_words or part == 0) and w]
-        vocabulary = sorted({x for _, _, w in seqs for x in w})
-        self.number = {x: n + 1 for n, x in enumerate(vocabulary)}
-        #: (item, words, whole): whole passages shorter than min_words must match entirely
-        self.seqs = [(i, np.array([self.number[x] for x in w], np.int64), len(w) < min_words) for i, _, w in seqs]
-        self.longest = max((len(w) for _, w, _ in self.seqs), default=0)
-
-    def suffixes(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(item, number of words that must match, suffix)"""
-        for item, w, whole in self.seqs:
-            if whole:
-                yield item, len(w), w
-            else:
-                for at in range(len(w) - self.min_words + 1):
-                    yield item, self.min_words, w[at:]
+    def __init__(self, items: list[tuple[object, str | None, str | None]], min_words: int):
+        seqs = [(k, 0, words_of(p)) for k, (_, p, _) in enumerate(items)] + [(k, 1, words_of(a)) for k, (_, _, a) in enumerate(items)]
+        seqs = [(k, w) for k, part, w in seqs if (len(w) >= min_words or part == 0) and w]
+        self.ids = [i for i, _, _ in items]
+        self.number = {x: n + 1 for n, x in enumerate(sorted({x for _, w in seqs for x in w}))}
+        #: all passages one after the other, each ended by a 0
+        self.text = np.array([self.number[x] if x else 0 for _, w in seqs for x in [*w, ""]], np.int64)
+        size = np.array([len(w) for _, w in seqs], np.int64)
+        # a passage shorter than min_words must match whole; of others every suffix that is long enough counts
+        count = np.maximum(size - min_words, 0) + 1
+        start = np.cumsum(size + 1) - size - 1
+        which = np.repeat(np.arange(len(seqs)), count)
+        self.at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) if len(seqs) else np.zeros(0, np.int64)
+        self.need = np.minimum(size, min_words)[which] if len(seqs) else self.at
+        self.item = np.array([k for k, _ in seqs], np.int64)[which] if len(seqs) else self.at
+
+    @property
+    def depth(self) -> int:
+        return int(self.need.max(initial=1))
 
 
 class SuffixArray:
@@ -64,128 +66,141 @@ class SuffixArray:
     does."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.text = text
+        self.text = np.append(text, np.zeros(depth + 1, np.int64))
         n = len(text)
+        zeros = np.flatnonzero(text == 0)
+        ends = np.append(zeros, n)[np.searchsorted(zeros, np.arange(n))]
         rank = text.copy()
         at = np.flatnonzero(text)
         have = 1
         while have < depth and len(at):
             # order by (rank of the first half, rank of the second half); a 0 in between ends the suffix
             second = np.zeros(len(at), np.int64)
-            inside = at + have < n
-            second[inside] = rank[at[inside] + have]
-            ended = self._ended(at, have)
-            second[ended] = 0
-            key = rank[at] * (int(rank.max()) + 1) + second
-            _, new = np.unique(key, return_inverse=True)
+            going = ends[at] - at > have
+            second[going] = rank[at[going] + have]
+            _, new = np.unique(rank[at] * (int(rank.max()) + 1) + second, return_inverse=True)
             rank = np.zeros(n, np.int64)
             rank[at] = new + 1
             have *= 2
         self.order = at[np.argsort(rank[at], kind="stable")]
 
-    def _ended(self, at: np.ndarray, have: int) -> np.ndarray:
-        """Whether a 0 lies among the first `have` words of each suffix."""
-        if not hasattr(self, "zero_after"):
-            zeros = np.flatnonzero(self.text == 0)
-            nxt = np.searchsorted(zeros, np.arange(len(self.text)))
-            self.zero_after = np.append(zeros, len(self.text))[nxt]
-        return self.zero_after[at] - at < have
-
-    def compare(self, place: int, suffix: np.ndarray) -> tuple[int, int]:
-        """(order of the suffix at a place against a test suffix, words they share)"""
-        mine = self.text[place : place + len(suffix)]
-        both = min(len(mine), len(suffix))
-        unlike = np.flatnonzero(mine[:both] != suffix[:both])
-        if len(unlike):
-            k = int(unlike[0])
-            return (-1 if mine[k] < suffix[k] else 1), k
-        return (0 if both == len(suffix) else -1), both
-
-    def matches(self, suffix: np.ndarray, need: int) -> tuple[int, np.ndarray]:
-        """(longest match of the suffix, places that share its first `need` words)"""
-        lo = self._bound(suffix, False)
-        best = max((self.compare(int(self.order[k]), suffix)[1] for k in (lo - 1, lo) if 0 <= k < len(self.order)), default=0)
-        if best < need:
-            return best, self.order[:0]
-        head = suffix[:need]
-        return best, self.order[self._bound(head, False) : self._bound(head, True)]
-
-    def _bound(self, suffix: np.ndarray, after: bool) -> int:
-        lo, hi = 0, len(self.order)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            c, _ = self.compare(int(self.order[mid]), suffix)
-            if c < 0 or (after and c == 0):
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+    def find(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last + 1) place in the order of the suffixes that begin with each row's words; all rows are searched
+        together."""
+        bounds = []
+        for after in (False, True):
+            lo, hi = np.zeros(len(suffixes), np.int64), np.full(len(suffixes), len(self.order), np.int64)
+            live = np.flatnonzero(lo < hi)
+            while len(live):
+                mid = (lo[live] + hi[live]) // 2
+                place, sign = self.order[mid], np.zeros(len(live), np.int64)
+                for k in range(suffixes.shape[1]):
+                    same = np.flatnonzero(sign == 0)
+                    sign[same] = np.sign(self.text[place[same] + k] - suffixes[live[same], k])
+                up = (sign < 0) | (after & (sign == 0))
+                lo[live[up]], hi[live[~up]] = mid[up] + 1, mid[~up]
+                live = live[lo[live] < hi[live]]
+            bounds.append(lo)
+        return bounds[0], bounds[1]
 
 
 def shard_matches(passages: Passages, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(document's place in the shard, item, longest match in words) of a shard; docs are numbered words."""
-    lengths = np.array([len(d) + 1 for d in docs])
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    text = np.zeros(int(starts[-1]), np.int64)
+    """(document's place in the shard, item's place, longest match in words) of a shard; docs are numbered words."""
+    lengths = np.array([len(d) + 1 for d in docs], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    text = np.zeros(int(lengths.sum()), np.int64)
     for s, d in zip(starts, docs):
         text[s : s + len(d)] = d
-    array = SuffixArray(text, max(passages.longest, 1))
-    found: dict[tuple[int, int], int] = {}
-    for item, need, suffix in passages.suffixes():
-        best, places = array.matches(suffix, need)
-        for place in places:
-            doc = int(np.searchsorted(starts, place, side="right")) - 1
-            shared = array.compare(int(place), suffix)[1]
-            found[doc, item] = max(found.get((doc, item), 0), shared)
-    return [(d, i, n) for (d, i), n in found.items()]
+    array = SuffixArray(text, passages.depth)
+    found = [np.zeros((0, 3), np.int64)]
+    for need in np.unique(passages.need):
+        of = np.flatnonzero(passages.need == need)
+        first, last = array.find(passages.text[passages.at[of][:, None] + np.arange(need)])
+        n = last - first
+        rows = np.repeat(of, n)
+        place = array.order[np.repeat(first, n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
+        shared = np.full(len(rows), need)
+        live = np.arange(len(rows))
+        while len(live):  # on to the longest match
+            mine, test = array.text[np.minimum(place[live] + shared[live], len(array.text) - 1)], passages.text[passages.at[rows[live]] + shared[live]]
+            live = live[(mine == test) & (test != 0)]
+            shared[live] += 1
+        found.append(np.stack([np.searchsorted(starts, place, side="right") - 1, passages.item[rows], shared], axis=1))
+    all_found = np.concatenate(found)
+    all_found = all_found[np.lexsort((-all_found[:, 2], all_found[:, 1], all_found[:, 0]))]
+    fresh = np.ones(len(all_found), bool)
+    fresh[1:] = (all_found[1:, :2] != all_found[:-1, :2]).any(axis=1)
+    return [tuple(r) for r in all_found[fresh].tolist()]
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", answer: str = "answer", min_words: int = 12, shard_words: int = SHARD_WORDS
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", answer: str = "answer", min_words: int = 12, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """(doc_id, item_id, matched_words): documents that hold passages of an item, with the longest run they share."""
-    spark = docs.sparkSession
-    tests = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{prompt}`").alias("p"), F.col(f"`{answer}`").alias("a")).filter(F.col("item_id").isNotNull())
-    size = tests.agg(F.coalesce(F.sum(F.coalesce(F.length("p"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0))), F.lit(0))).first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of test passages are too many to send to every task; give them in parts")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in tests.collect()])
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return _search(rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), items, item_id, prompt, answer, min_words, shard_words, block_chars)
+
+
+def _search(rows: DataFrame, items: DataFrame, item_id: str, prompt: str, answer: str, min_words: int, shard_words: int, block_chars: int) -> DataFrame:
+    spark = rows.sparkSession
+    tests = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{prompt}`").alias("p"), F.col(f"`{answer}`").alias("a")).filter(F.col("item_id").isNotNull())
+    chars = F.coalesce(F.length("p"), F.lit(0)) + F.coalesce(F.length("a"), F.lit(0)) + 1
+    size = tests.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * size // block_chars)) if size > block_chars else 1
+    types = rows.schema["doc_id"].dataType, tests.schema["item_id"].dataType
+    out = None
+    for k in range(blocks):  # one block unless there are very many items
+        some = tests.filter(F.pmod(F.xxhash64("item_id", "p", "a"), F.lit(blocks)) == k) if blocks > 1 else tests
+        one = _pass(rows, spark.sparkContext.broadcast([tuple(r) for r in some.collect()]), types, min_words, shard_words)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"))
+
+
+def _pass(rows: DataFrame, shared, types: tuple, min_words: int, shard_words: int) -> DataFrame:
+    """One pass over the corpus for one block of items."""
+    arrow = [to_arrow_type(t) for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(shared.value, min_words)
         number = passages.number.get
-        ids: list[int] = []
+        ids: list = []
         held: list[np.ndarray] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            rows = shard_matches(passages, held) if passages.seqs else []
-            cols = [[ids[d] for d, _, _ in rows], [i for _, i, _ in rows], [m for _, _, m in rows]]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "matched_words"])
+            found = shard_matches(passages, held) if len(passages.at) and held else []
+            cols = [[ids[d] for d, _, _ in found], [passages.ids[i] for _, i, _ in found], [m for _, _, m in found]]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], arrow[0]), pa.array(cols[1], arrow[1]), pa.array(cols[2], pa.int32())], ["doc_id", "item_id", "matched_words"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.array([number(x, 0) for x in words_of(t)], np.int64)
+                words = words_of(t)
+                w = np.fromiter((number(x, 0) for x in words), np.int64, len(words))
                 if not w.any():
                     continue
                 # words of no passage only separate: one of them between others is enough
-                keep = (w != 0) | np.concatenate(([False], w[:-1] != 0))
+                keep = w != 0
+                keep[1:] |= keep[:-1]
                 ids.append(i)
                 held.append(w[keep])
-                n += int(keep.sum()) + 1
+                n += len(held[-1]) + 1
                 if n >= shard_words:
                     yield out()
                     ids, held, n = [], [], 0
         yield out()
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("matched_words", T.IntegerType())])
-    return rows.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("matched_words").alias("matched_words"))
+    schema = T.StructType([T.StructField("doc_id", types[0]), T.StructField("item_id", types[1]), T.StructField("matched_words", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", prompt: str = "prompt", answer: str = "answer", min_words: int = 12, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no passage of any item. Whether a document leaks follows from its text alone, so texts that
+    leak are named by a digest of theirs, and documents without an id are removed too."""
 
+    def digest(c: Column) -> Column:
+        return F.sha2(c, 256)
 
-def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that hold no passage of any item."""
-    stage = Stage(docs.sparkSession, "leaks")
-    bad = stage.write(found.select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs[doc_id] == bad["__bad"], "left_anti")
+    body = F.col(f"`{text}`").cast("string")
+    found = _search(docs.select(digest(body).alias("doc_id"), body.alias("text")).filter("text is not null"), items, item_id, prompt, answer, min_words, shard_words, block_chars)
+    bad = Stage(docs.sparkSession, "leaks").write(found.select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.join(bad, digest(body) == F.col("__bad"), "left_anti")

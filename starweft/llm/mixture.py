@@ -4,11 +4,14 @@ Method: Gaussian mixtures fitted by expectation-maximisation. Space is cut into
 on in parallel; within a block the points of touching cells are fitted together. There the points are projected onto their
 tangent plane (three numbers reduced to two), standardised, and mixtures of 1 to MAX_COMPONENTS Gaussians with regularised
 covariances are fitted, all of a batch at once; the Bayesian information criterion chooses the number of components. The
-components are the candidates; one that is wider than a group is fitted again on its own. An exact check follows, by the
-components' boxes, and by points only for components whose boxes leave it open: neighbouring components that are mutually
-similar as a whole are joined. Where components and groups do not agree, that neighbourhood (the points that chains of
-neighbours hold together) is cut down pair by pair to members that are, starting from those of highest density. Members are
-ranked by their density in the mixture of their neighbourhood; the first ones represent the group.
+components are the candidates; one that is wider than a group is fitted again on its own, so that the number of components is
+not limited. An exact check follows: are all members of a component mutually similar (by its box, by its points where the
+box leaves it open), which components are near each other, and are those similar as a whole? Components that pass are
+joined and are a group. Where the check fails, components that are not tight are fitted again with two components or more
+until they are; components near each other then make up a neighbourhood, and one that is not mutually similar as a whole is
+cut on its own: from the densest member of each component a group grows by points similar to all of its members, those of
+the component first, and the heaviest stands. Members are ranked by their density in the mixture of their neighbourhood;
+the first ones represent the group. No pairs of points are listed.
 
 A neighbourhood that is to be cut and reaches so far that a block may see only a part of it is gathered from its pieces and cut
 as a whole, so that the groups do not depend on the blocks. Blocks far fuller than the rest are cut into finer ones. Exact copies are one weighted point during the fit, however many.
@@ -19,6 +22,7 @@ are members like all others; of groups of equal size the one found first by dens
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..staging import Stage, lookup
+from ..staging import BROADCAST_ROWS, Stage, lookup, small
 from ..tables import finite
 from .components import components
 
@@ -67,18 +71,6 @@ def _length(d: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=-1))
 
 
-def _near(key: np.ndarray, p: np.ndarray, radius: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all pairs within the radius, in the order of the sorted cell keys."""
-    cells, start, size = np.unique(key, return_index=True, return_counts=True)
-    a, b = _touching(cells, bits)
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, i, j in _pairs(start, size, a, b):
-        ok = (_length(p[i] - p[j]) <= radius) & ((a[k] != b[k]) | (i < j))
-        out_i.append(i[ok])
-        out_j.append(j[ok])
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
 def _slices(n: np.ndarray) -> Iterator[tuple[int, int]]:
     total, lo = np.cumsum(n), 0
     while lo < len(n):
@@ -103,9 +95,9 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def fit_mixtures(seg: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(component, log density) of each point, for mixtures fitted to every segment on its own. seg: 0, 1, ... sorted;
-    x: standardised features (points x 2); w: weights."""
+def fit_mixtures(seg: np.ndarray, x: np.ndarray, w: np.ndarray, fewest: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(component, log density) of each point, for mixtures of `fewest` components or more fitted to every segment on its
+    own. seg: 0, 1, ... sorted; x: standardised features (points x 2); w: weights."""
     m = int(seg[-1]) + 1
     total = np.bincount(seg, w, m)
     first = np.searchsorted(seg, np.arange(m))
@@ -117,7 +109,7 @@ def fit_mixtures(seg: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndar
     rank[np.lexsort((main, seg))] = np.arange(len(x)) - np.repeat(first, points)
     best_bic = np.full(m, np.inf)
     comp, dens = np.zeros(len(x), np.int64), np.zeros(len(x))
-    for k in range(1, MAX_COMPONENTS + 1):
+    for k in range(fewest, MAX_COMPONENTS + 1):
         r = np.zeros((len(x), k))
         r[np.arange(len(x)), np.minimum(rank * k // points[seg], k - 1)] = 1.0
         for _ in range(ROUNDS if k > 1 else 1):
@@ -160,51 +152,6 @@ def _features(seg: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x / np.maximum(sd, 1e-12)[seg]
 
 
-def _cliques(members: list[int], near: dict[int, set[int]], comp: np.ndarray, dens: np.ndarray, w: np.ndarray, least: int) -> list[list[int]]:
-    """Groups of a neighbourhood that is not mutually similar as a whole: the heaviest set that grows from a component or
-    from a point by density, then the heaviest of the rest, and so on."""
-    out, rest = [], set(members)
-    by_density = sorted(members, key=lambda i: (-dens[i], i))
-    place = {i: k for k, i in enumerate(by_density)}
-    parts = sorted({int(comp[i]) for i in members})
-    grown: dict[tuple[int, int], tuple[list[int], int]] = {}  # of a component (c, -1) or a point (-1, i); it holds while its members do
-
-    def grow(first: int, c: int) -> tuple[list[int], int]:
-        group, allowed = [first], near.get(first, set()) & rest
-        for i in sorted(allowed, key=lambda i: (c >= 0 and comp[i] != c, place[i])):
-            if i in allowed:
-                group.append(i)
-                allowed = allowed & near[i]
-        return group, int(sum(w[i] for i in group))
-
-    while rest:
-        best, best_weight = [], 0
-        ordered = [i for i in by_density if i in rest]
-        for c, first in [(c, next((i for i in ordered if comp[i] == c), -1)) for c in parts] + [(-1, i) for i in ordered]:
-            if first < 0:
-                continue
-            key = (c, first if c < 0 else -1)
-            if key not in grown:
-                grown[key] = grow(first, c)
-            if grown[key][1] > best_weight:
-                best, best_weight = grown[key]
-        if best_weight < least:
-            return out
-        out.append(best)
-        gone = set(best)
-        rest -= gone
-        grown = {k: g for k, g in grown.items() if gone.isdisjoint(g[0])}
-    return out
-
-
-def _linked(i: np.ndarray, j: np.ndarray) -> dict[int, set[int]]:
-    links: dict[int, set[int]] = {}
-    for a, b in zip(i.tolist(), j.tolist()):
-        links.setdefault(a, set()).add(b)
-        links.setdefault(b, set()).add(a)
-    return links
-
-
 def _described(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, comp: np.ndarray, dens: np.ndarray) -> pd.DataFrame:
     """(row, group_id, rank, components) of grouped points."""
     out = pd.DataFrame({"row": rows, "g": group, "id": ids, "dens": dens, "comp": comp})
@@ -215,21 +162,79 @@ def _described(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, comp: np.nd
     return out[["row", "group_id", "rank", "components"]].reset_index(drop=True)
 
 
+def _grown(p: np.ndarray, order: np.ndarray, radius: float) -> np.ndarray:
+    """Members of the group that grows from the first point of `order`, taking points in that order while they are similar to
+    all members."""
+    group, left, q = [], order, p[order]
+    while len(left):
+        group.append(left[0])
+        d = q[1:] - q[0]
+        near = np.flatnonzero(np.sqrt(np.einsum("ij,ij->i", d, d)) <= radius) + 1
+        left, q = left[near], q[near]
+    return np.array(group, np.int64)
+
+
+def _cut(part: np.ndarray, p: np.ndarray, dens: np.ndarray, w: np.ndarray, radius: float, least: int) -> list[np.ndarray]:
+    """Groups of one neighbourhood that is not mutually similar as a whole: the heaviest group that grows from a component, then
+    the heaviest of the rest, and so on. A group that lost members to another one is grown again from what its component has
+    left."""
+    place = np.empty(len(p), np.int64)
+    place[np.lexsort((np.arange(len(p)), -dens))] = np.arange(len(p))
+    cell = np.floor((p - p.min(axis=0)) / radius).astype(np.int64) + 1
+    by_cell = pd.Series(np.arange(len(p))).groupby(list(cell.T)).indices
+    around = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    free, out = np.ones(len(p), bool), []
+    members = {c: s[np.argsort(place[s])] for c, s in pd.Series(np.arange(len(p))).groupby(part).indices.items()}
+
+    def grow(c: int) -> tuple[float, int, np.ndarray] | None:
+        own = members[c][free[members[c]]]
+        if not len(own):
+            return None
+        x, y, z = cell[own[0]].tolist()
+        near = np.concatenate([by_cell[k] for k in ((x + a, y + b, z + c) for a, b, c in around) if k in by_cell])
+        near = near[free[near]]
+        near = near[_length(p[near] - p[own[0]]) <= radius]
+        # the densest member comes first, then its component, then the others
+        group = _grown(p, near[np.lexsort((place[near], part[near] != c))], radius)
+        return -float(w[group].sum()), c, group
+
+    heap = [g for c in sorted(members) if (g := grow(c))]
+    heapq.heapify(heap)
+    while heap:
+        weight, c, group = heapq.heappop(heap)
+        if free[group].all():
+            if -weight < least:
+                break
+            out.append(group)
+            free[group] = False
+        if g := grow(c):
+            heapq.heappush(heap, g)
+    return out
+
+
+def cut_sets(seg: np.ndarray, p: np.ndarray, ids: np.ndarray, w: np.ndarray, radius: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group or -1, component, log density) of each point of neighbourhoods to be cut, each from its own mixture only. seg: 0,
+    1, ... in any order."""
+    by = np.lexsort((*p.T, ids, seg))
+    x, q, v = seg[by], p[by], w[by]
+    part, comp, dens = _candidates(x, q, v, radius)
+    part = _tightened(part, q, v, radius)
+    group, n = np.full(len(seg), -1), 0
+    first = np.searchsorted(x, np.arange(int(x[-1]) + 2))
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+        for members in _cut(part[lo:hi], q[lo:hi], dens[lo:hi], v[lo:hi], radius, least):
+            group[by[lo + members]] = n
+            n += 1
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    return group, comp[back], dens[back]
+
+
 def cut_neighbourhood(p: np.ndarray, ids: np.ndarray, w: np.ndarray, radius: float, least: int) -> pd.DataFrame:
     """The groups of one neighbourhood that no block holds as a whole."""
-    rows = np.lexsort((*p.T, ids))
-    q = p[rows]
-    cells = np.floor((q - q.min(axis=0)) / radius).astype(np.int64) + 1
-    key = (cells[:, 0] << 40) | (cells[:, 1] << 20) | cells[:, 2]
-    by = np.argsort(key, kind="stable")
-    i, j = _near(key[by], q[by], radius, 20)
-    seg = np.zeros(len(rows), np.int64)
-    comp, dens = fit_mixtures(seg, _features(seg, q, w[rows]), w[rows])
-    group = np.full(len(rows), -1)
-    for g, members in enumerate(_cliques(list(range(len(rows))), _linked(by[i], by[j]), comp, dens, w[rows], least)):
-        group[members] = g
+    group, comp, dens = cut_sets(np.zeros(len(ids), np.int64), p, ids, w, radius, least)
     inside = np.flatnonzero(group >= 0)
-    return _described(rows[inside], group[inside], ids[rows[inside]], comp[inside], dens[inside])
+    return _described(inside, group[inside], ids[inside], comp[inside], dens[inside])
 
 
 def _candidates(hood: np.ndarray, p: np.ndarray, w: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,6 +259,37 @@ def _candidates(hood: np.ndarray, p: np.ndarray, w: np.ndarray, radius: float) -
     return part, *first
 
 
+def _tightened(part: np.ndarray, p: np.ndarray, w: np.ndarray, radius: float) -> np.ndarray:
+    """Parts whose points are all mutually similar: those that are not are fitted again with two components or more. Where
+    the fit leaves all points in one component, they are halved."""
+    open_part = np.ones(int(part.max()) + 1, bool)
+    while True:
+        start, lo, hi, by = _boxes(part, p)
+        each = np.flatnonzero(open_part)
+        _, tight = _met(p[by], start, np.bincount(part), lo, hi, each, each, radius)
+        open_part[each[tight]] = False
+        todo = np.flatnonzero(open_part[part])
+        if not len(todo):
+            return part
+        todo = todo[np.argsort(part[todo], kind="stable")]
+        _, seg = np.unique(part[todo], return_inverse=True)
+        comp, _ = fit_mixtures(seg, _features(seg, p[todo], w[todo]), w[todo], fewest=2)
+        m = int(seg[-1]) + 1
+        seen = np.zeros((m, MAX_COMPONENTS), bool)
+        seen[seg, comp] = True
+        stuck = (seen.sum(axis=1) == 1)[seg]
+        if stuck.any():
+            size = np.bincount(seg, minlength=m)
+            place = np.arange(len(seg)) - (np.cumsum(size) - size)[seg]
+            comp = np.where(stuck, (2 * place >= size[seg]).astype(np.int64), comp)
+        new = np.zeros(len(part), np.int64)
+        new[todo] = comp
+        old_open = open_part[part]
+        _, part = np.unique(part * MAX_COMPONENTS + new, return_inverse=True)
+        open_part = np.zeros(int(part.max()) + 1, bool)
+        open_part[part[old_open]] = True
+
+
 def _boxes(part: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, lowest, highest corner) of each part, in the points' order by part, and that order."""
     by = np.argsort(part, kind="stable")
@@ -331,19 +367,18 @@ def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.nda
     _, hood = np.unique(label[rows], return_inverse=True)
     part, comp, dens = _candidates(hood, p[rows], w[rows], radius)
     near, whole = _settled(cell[rows], names, 7, part, p[rows], radius)
-    # only sets that the components leave unsettled are looked at pair by pair
+    # sets that the components leave unsettled, by tight components
     at = np.flatnonzero(~whole)
-    i = j = np.zeros(0, np.int64)
     if len(at):
-        at = at[np.argsort(key[rows[at]], kind="stable")]
-        i, j = _near(key[rows[at]], p[rows[at]], radius, 7)
-        near[at] = len(rows) + at[_labels(len(at), i, j)]
-        i, j = at[i], at[j]
+        _, some = np.unique(part[at], return_inverse=True)
+        finer, all_of = _settled(cell[rows][at], names, 7, _tightened(some, p[rows][at], w[rows][at], radius), p[rows][at], radius)
+        near[at] = int(near.max()) + 1 + finer
+        whole[at] = all_of
     _, near = np.unique(near, return_inverse=True)
     size = np.bincount(near)
     m = len(size)
-    whole_of = np.ones(m, bool)
-    whole_of[near[at]] = (np.bincount(near[i], minlength=m) == size * (size - 1) // 2)[near[at]]
+    whole_of = np.zeros(m, bool)
+    whole_of[near] = whole
     # a cut needs all of the neighbourhood: within reach of each of the finest blocks that its points can be at home in
     start, lo, hi, by = _boxes(near, p[rows])
     fine, reach = FINE_RADII * radius, (RIM_RADII - 1) * radius * (1 - 1e-9)
@@ -354,20 +389,17 @@ def find_groups(block: np.ndarray, cells: np.ndarray, p: np.ndarray, ids: np.nda
     pieces = np.flatnonzero(opened[near])
     pieces = pd.DataFrame({"row": rows[pieces], "piece": near[pieces]})
     # a neighbourhood's own mixture gives the densities
-    other = np.flatnonzero(kept & (size[near] != np.bincount(hood)[hood]))
+    other = np.flatnonzero(kept & whole_of[near] & (size[near] != np.bincount(hood)[hood]))
     if len(other):
         other = other[np.argsort(near[other], kind="stable")]
         _, seg = np.unique(near[other], return_inverse=True)
         comp[other], dens[other] = fit_mixtures(seg, _features(seg, p[rows[other]], w[rows[other]]), w[rows[other]])
     group = np.where(kept & whole_of[near], near, -1)
-    ok = kept[i] & ~whole_of[near[i]]
-    links = _linked(i[ok], j[ok])
-    new = m
-    broken = pd.Series(np.flatnonzero(kept & ~whole_of[near]))
-    for _, s in broken.groupby(near[broken.to_numpy()]):
-        for members in _cliques(s.tolist(), links, comp, dens, w[rows], least):
-            group[members] = new
-            new += 1
+    broken = np.flatnonzero(kept & ~whole_of[near])
+    if len(broken):
+        _, seg = np.unique(near[broken], return_inverse=True)
+        cut, comp[broken], dens[broken] = cut_sets(seg, p[rows[broken]], ids[rows[broken]], w[rows[broken]], radius, least)
+        group[broken] = np.where(cut >= 0, m + cut, -1)
     inside = np.flatnonzero(group >= 0)
     return (_described(rows[inside], group[inside], ids[rows[inside]], comp[inside], dens[inside]) if len(inside) else empty), pieces
 
@@ -398,18 +430,20 @@ def similarity_groups(points: DataFrame, radius: float, least: int = 4) -> DataF
     side, fine, rim = BLOCK_RADII * radius, FINE_RADII * radius, RIM_RADII * radius
     at = [F.floor(F.col(c) / side).cast("int").alias(f"h{c}") for c in "xyz"]
     # blocks with too many points; there are at most (points / FULL_BLOCK) of them
-    full = stage.write(single.select("scope", *at).groupBy("scope", "hx", "hy", "hz").count().filter(F.col("count") > FULL_BLOCK).select("scope", "hx", "hy", "hz"))
-    coarse = _blocks(single, side, rim)
     same = ["scope", "hx", "hy", "hz"]
-    named = coarse.withColumnsRenamed({f"b{c}": f"h{c}" for c in "xyz"})
-    usual = named.join(F.broadcast(full), same, "left_anti").withColumnsRenamed({f"h{c}": f"b{c}" for c in "xyz"})
-    crowded = named.join(F.broadcast(full), same, "left_semi")
-    # a fine block belongs to the coarse one it lies in; side is a multiple of fine
-    split = _blocks(crowded.select("scope", "x", "y", "z", "id", "n").distinct(), fine, rim)
-    inner = [F.floor(F.col(f"b{c}") / (BLOCK_RADII // FINE_RADII)).cast("int").alias(f"h{c}") for c in "xyz"]
-    split = split.select("*", *inner).join(F.broadcast(full), same, "left_semi").drop("hx", "hy", "hz")
+    full, n_full = stage.write_counted(single.select("scope", *at).groupBy(*same).count().filter(F.col("count") > FULL_BLOCK).select(*same))
+    ready = _blocks(single, side, rim)
+    if n_full:
+        named = ready.withColumnsRenamed({f"b{c}": f"h{c}" for c in "xyz"})
+        usual = named.join(small(full, n_full), same, "left_anti").withColumnsRenamed({f"h{c}": f"b{c}" for c in "xyz"})
+        crowded = named.join(small(full, n_full), same, "left_semi")
+        # a fine block belongs to the coarse one it lies in; side is a multiple of fine
+        split = _blocks(crowded.select("scope", "x", "y", "z", "id", "n").distinct(), fine, rim)
+        inner = [F.floor(F.col(f"b{c}") / (BLOCK_RADII // FINE_RADII)).cast("int").alias(f"h{c}") for c in "xyz"]
+        split = split.select("*", *inner).join(small(full, n_full), same, "left_semi").drop("hx", "hy", "hz")
+        ready = usual.unionByName(split)
     keys = ["scope", "side", "bx", "by", "bz"]
-    ready = usual.unionByName(split).repartition(*keys).sortWithinPartitions(*keys)
+    ready = ready.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -458,7 +492,7 @@ def similarity_groups(points: DataFrame, radius: float, least: int = 4) -> DataF
     if not n_copies:
         return alone
     keyed = rows.select(F.struct("scope", "x", "y", "z").alias("point"), "id")
-    return alone.unionByName(lookup(keyed, rows.count(), "point", copies, n_copies).select(F.col("point.scope").alias("scope"), "group_id", "id", "rank", "components"))
+    return alone.unionByName(lookup(keyed, rows.count() if n_copies > BROADCAST_ROWS else 0, "point", copies, n_copies).select(F.col("point.scope").alias("scope"), "group_id", "id", "rank", "components"))
 
 
 def _gathered(opened: DataFrame, stage: Stage, schema: T.StructType, radius: float, least: int) -> DataFrame:

@@ -6,9 +6,8 @@ so a code is known from the number of thresholds below the vector on each axis,
 number of thresholds between them. A code is split into `PARTS` substrings, of which substring j has every PARTS-th threshold
 from the j-th on; each is indexed by its value. Shorter codes use every 2nd, 4th, ... threshold.
 
-Search in three passes over the indexed rows. (1) For each query the shortest-radius code length is found whose first
-substring has at least k + 1 equal rows. (2) Rows that equal the query in any substring at that length are reranked by their
-floats; their k-th distance bounds the true one. (3) At the code length at which the ball of that radius crosses fewer than
+Search in three passes over the indexed rows. (1) For each query the longest code is found whose first substring has at least
+k + 1 equal rows. (2) Those rows are reranked by their floats; their k-th distance bounds the true one. (3) At the code length at which the ball of that radius crosses fewer than
 2 * PARTS thresholds, pigeonhole probing looks up all codes within that Hamming radius: they differ in at most one bit from the
 query in some substring. What it returns is reranked by floats. As the rotation keeps distances and the radius is that of the
 ball, no neighbour is lost: the result is exact where all axes are kept, and approximate only with fewer axes than dimensions.
@@ -114,15 +113,16 @@ def _key(axes: int, level: int, j: int) -> Column:
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query; a pair found in several substrings counts once."""
-    order = Window.partitionBy("probe_id").orderBy("distance", "id")
+    """The k nearest of each query q; a pair found in several substrings counts once."""
+    order = Window.partitionBy("q").orderBy("distance", "id")
     return pairs.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k).distinct()
 
 
 def most_similar(
     vectors: DataFrame, id_col: str, columns: list[str], k: int = 10, queries: DataFrame | None = None, axes: int | None = None, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """(probe_id, id, distance, rank). queries: (probe_id, id) for ids of the collection; without it every vector is one."""
+    """(probe_id, id, distance, rank). queries: (probe_id, id) for ids of the collection; without it every vector is one. A
+    query given twice, or an id that occurs twice, is answered as often."""
     spark, d = vectors.sparkSession, len(columns)
     axes = min(axes or min(d, MAX_AXES), d)
     stage = Stage(spark, "neighbours")
@@ -160,41 +160,42 @@ def most_similar(
     probe_rows = asked.join(rows, F.col("own_id") == F.col("id")).drop("id").mapInPandas(
         index, T.StructType([asked.schema["probe_id"], asked.schema["own_id"]] + [f for f in plain.fields if f.name in names] + [T.StructField(o, T.IntegerType()) for o in ordinals])
     )
-    probes, n_probes = stage.write_counted(probe_rows.dropDuplicates(["probe_id"]))
+    # q names a query, whatever its probe_id
+    probes, n_probes = stage.write_counted(probe_rows.withColumn("q", F.monotonically_increasing_id()))
     as_query = [F.col(n).alias(f"p{n}") for n in names]
 
     def met(lookups: DataFrame, n: int, combos: list[tuple[int, int]]) -> DataFrame:
         keys = F.explode(F.array(*[_key(axes, lv, j) for lv, j in combos])).alias("key")
         side = indexed.select("id", *names, keys)
+        # a shuffled join splits its hot keys by itself: it is followed by another shuffle on q
         found = side.join(F.broadcast(lookups) if n <= PROBE_ROWS else lookups, "key")
         square = None
         for c in names:
             part = (F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}"))
             square = part if square is None else square + part
-        return found.filter(F.col("id") != F.col("own_id")).select("probe_id", "id", F.sqrt(square).alias("distance"))
+        return found.filter(F.col("id") != F.col("own_id")).select("q", "id", F.sqrt(square).alias("distance"))
+
+    def named(nearest: DataFrame) -> DataFrame:
+        return nearest.join(probes.select("q", "probe_id"), "q").select("probe_id", "id", "distance", "rank")
 
     # (1) how many rows equal each query in the first substring, by code length
     levels = range(top + 1)
-    wanted = probes.select("probe_id", F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), _key(axes, lv, 0).alias("key")) for lv in levels])).alias("w")).select("probe_id", "w.level", "w.key")
+    wanted = probes.select("q", F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), _key(axes, lv, 0).alias("key")) for lv in levels])).alias("w")).select("q", "w.level", "w.key")
     keys, n_keys = stage.write_counted(wanted.select("key").distinct())
     all_keys = indexed.select(F.explode(F.array(*[_key(axes, lv, 0) for lv in levels])).alias("key"))
     counts = all_keys.join(F.broadcast(keys) if n_keys <= PROBE_ROWS else keys, "key").groupBy("key").agg(F.count("*").alias("n"))
-    level = wanted.join(counts, "key").filter((F.col("n") > k) | (F.col("level") == top)).groupBy("probe_id").agg(F.min("level").alias("level"))
+    level = wanted.join(counts, "key").filter((F.col("n") > k) | (F.col("level") == top)).groupBy("q").agg(F.min(F.struct("level", "key")).alias("l"))
 
     # (2) a bound on the k-th distance
-    chosen = stage.write(probes.join(level, "probe_id"))
+    chosen = stage.write(probes.join(level, "q").select("q", "own_id", *as_query, F.col("l.key").alias("key"), F.col("l.level").alias("level")))
     used = sorted(r[0] for r in chosen.select("level").distinct().collect())
-    by_level = F.lit(None).cast("array<bigint>")
-    for lv in used:
-        by_level = F.when(F.col("level") == lv, F.array(*[_key(axes, lv, j) for j in range(PARTS)])).otherwise(by_level)
-    first = chosen.select("probe_id", "own_id", *as_query, F.explode(by_level).alias("key"))
-    near = _nearest(met(first, n_probes * PARTS, [(lv, j) for lv in used for j in range(PARTS)]), k) if used else None
-    if near is None:
-        return _nearest(probes.join(rows, F.lit(False)).select("probe_id", "id", F.lit(0.0).alias("distance")), k)
-    bound = near.groupBy("probe_id").agg(F.when(F.countDistinct("id") >= k, F.max("distance")).alias("radius"))
+    if not used:
+        return named(_nearest(probes.select("q", "own_id").join(rows, F.lit(False)).select("q", "id", F.lit(0.0).alias("distance")), k))
+    near = _nearest(met(chosen.drop("level"), n_probes, [(lv, 0) for lv in used]), k)
+    bound = near.groupBy("q").agg(F.when(F.countDistinct("id") >= k, F.max("distance")).alias("radius"))
 
     # (3) pigeonhole probing of that radius
-    fields = [probes.schema["probe_id"], probes.schema["own_id"]] + [T.StructField(f"p{n}", T.DoubleType()) for n in names]
+    fields = [T.StructField("q", T.LongType()), probes.schema["own_id"]] + [T.StructField(f"p{n}", T.DoubleType()) for n in names]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
@@ -211,11 +212,11 @@ def most_similar(
             yield out
 
     ints = [T.StructField(n, T.IntegerType()) for n in ["level", "part"] + [f"c{a}" for a in range(axes)]]
-    asked_for = probes.join(bound, "probe_id", "left").select("probe_id", "own_id", *as_query, "radius").mapInPandas(probe, T.StructType(fields + ints))
-    asked_for = asked_for.select("probe_id", "own_id", *[f"p{n}" for n in names], "level", "part", F.xxhash64("level", "part", *[f"c{a}" for a in range(axes)]).alias("key"))
+    asked_for = probes.join(bound, "q", "left").select("q", "own_id", *as_query, "radius").mapInPandas(probe, T.StructType(fields + ints))
+    asked_for = asked_for.select("q", "own_id", *[f"p{n}" for n in names], "level", "part", F.xxhash64("level", "part", *[f"c{a}" for a in range(axes)]).alias("key"))
     lookups, n_lookups = stage.write_counted(asked_for)
     combos = sorted((r[0], r[1]) for r in lookups.select("level", "part").distinct().collect())
-    return _nearest(met(lookups.drop("level", "part"), n_lookups, combos), k)
+    return named(_nearest(met(lookups.drop("level", "part"), n_lookups, combos), k))
 
 
 def detection_vectors(detections: DataFrame) -> DataFrame:

@@ -21,17 +21,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import Stage, lookup
-from .bpe import Decoder, loaded
-from .encode import VOCABULARY, list_array, vocabulary_bytes
+from .bpe import MEMO_CHARS, MEMO_SEGMENTS, SEGMENT, Decoder, Vocabulary, loaded
+from .encode import VOCABULARY, list_array, shared_vocabulary
 
 WORD, SENTENCE = 1, 2
 _SENTENCE_END = regex.compile(r"[\n\r]\s*$|[.!?…]['\"»”’)\]]*\s*$|[。！？]['\"」』）]*\s*$")
 
 
-def cut_points(v, text: str, step: int) -> tuple[list[int], list[int], list[int]]:
-    """(ids, places, kinds): the natural boundaries of a text as numbers of tokens before them. Word ends are given only
-    between sentence ends more than `step` apart, since no cut can use others."""
+def _segment_cuts(v: Vocabulary, text: str) -> tuple[int, list[int], list[tuple[int, int]], bool]:
+    """(number of ids, ids, boundaries within as (tokens before, kind), whether a sentence ends with it) of one segment."""
     ids: list[int] = []
+    inner: list[tuple[int, int]] = []
+    before = ""
+    for w in v.words.findall(text):
+        at = len(ids)
+        if at:
+            if w.isspace() and not before.isspace():
+                pass  # blanks stay with what they follow
+            elif (w[0].isspace() or before[-1] in "\n\r。！？" or before.isspace()) and _SENTENCE_END.search(before):
+                inner.append((at, SENTENCE))
+            elif w[0] == " " or before.isspace():
+                inner.append((at, WORD))
+        ids.extend(v.memo.get(w) or v.word(w))
+        before = before + w if w.isspace() and not before.isspace() else w
+    return len(ids), ids, inner, not before[-1:].isalnum() and bool(_SENTENCE_END.search(before))
+
+
+def _cuts_of(v: Vocabulary, s: str) -> tuple[int, list[int], list[tuple[int, int]], bool]:
+    known = v.cuts.get(s)
+    if known is None:
+        known = _segment_cuts(v, " " + s)
+        if len(s) <= MEMO_CHARS:
+            if len(v.cuts) >= MEMO_SEGMENTS:
+                v.cuts.clear()
+            v.cuts[s] = known
+    return known
+
+
+def cut_points(v: Vocabulary, text: str, step: int, limit: int = 0, with_ids: bool = True) -> tuple[int, list[int], list[int], list[int]]:
+    """(number of tokens, ids, places, kinds): the natural boundaries of a text as numbers of tokens before them, none for
+    a text within the limit. Word ends are given only between sentence ends more than `step` apart, since no cut can use
+    others. A segment that follows a blank begins at a sentence end or at a word end, whatever is in it."""
+    first, *rest = SEGMENT.split(text)
+    get = v.cuts.get
+    parts = [_segment_cuts(v, first), *[get(s) or _cuts_of(v, s) for s in rest]]
+    n = sum([p[0] for p in parts])
+    ids = [i for p in parts for i in p[1]] if with_ids else []
+    if n <= limit or not n:
+        return n, ids, [], []
     places, kinds = [0], [SENTENCE]
     words: list[int] = []
 
@@ -43,43 +80,38 @@ def cut_points(v, text: str, step: int) -> tuple[list[int], list[int], list[int]
         places.append(at)
         kinds.append(SENTENCE)
 
-    get, word = v.memo.get, v.word
-    before = ""
-    for w in v.words.findall(text):
-        at = len(ids)
+    at, ended = 0, False
+    for size, _, inner, ends in parts:
         if at:
-            if w.isspace() and not before.isspace():
-                pass  # blanks stay with what they follow
-            elif _SENTENCE_END.search(before) and (w[0].isspace() or before[-1] in "\n\r" or before.isspace() or before[-1] in "。！？"):
-                if at != places[-1]:
-                    sentence_end(at)
-            elif w[0] == " " or before.isspace():
-                if not words or words[-1] != at:
-                    words.append(at)
-        ids.extend(get(w) or word(w))
-        before = before + w if w.isspace() and not before.isspace() else w
-    if ids:
-        sentence_end(len(ids))
-    return ids, places[1:], kinds[1:]
+            if not ended:
+                words.append(at)
+            elif at != places[-1]:
+                sentence_end(at)
+        for k, kind in inner:
+            if kind == WORD:
+                words.append(at + k)
+            elif at + k != places[-1]:
+                sentence_end(at + k)
+        at += size
+        ended = ends
+    sentence_end(n)
+    return n, ids, places[1:], kinds[1:]
 
 
 def tokens_with_cuts(docs: DataFrame, doc_id: str, text: str, limit: int, overlap: int, vocabulary: str, with_ids: bool) -> DataFrame:
     """(doc_id, n_tokens, ids, cuts): cuts of texts over the limit only; ids null if they are not asked for."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    shared = shared_vocabulary(docs.sparkSession, vocabulary)
     step = limit - overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = loaded(shared.value)
+        v = loaded(*shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 counts, ids, places, kinds = [], [], [], []
                 for t in part.column(1).to_pylist():
-                    i, p, k = cut_points(v, t, step) if t else ([], [], [])
-                    counts.append(len(i))
-                    ids.append(i if with_ids else [])
-                    places.append(p if len(i) > limit else [])
-                    kinds.append(k if len(i) > limit else [])
+                    for column, value in zip((counts, ids, places, kinds), cut_points(v, t, step, limit, with_ids) if t else (0, [], [], [])):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int32()), list_array(ids), list_array(places), list_array(kinds)],
                     ["doc_id", "n_tokens", "ids", "places", "kinds"],
@@ -138,11 +170,11 @@ def pieces(
     if not with_text:
         return out.select("doc_id", "piece_no", "n_pieces", "start", "stop")
     out = out.select("doc_id", "piece_no", "n_pieces", "start", "stop", F.slice("ids", F.col("start") + 1, F.col("stop") - F.col("start")).alias("ids"))
-    shared = spark.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    shared = shared_vocabulary(spark, vocabulary)
 
     @F.pandas_udf("string")
     def text_of(ids):
-        v = loaded(shared.value)
+        v = loaded(*shared.value)
 
         def one(x) -> str:
             d = Decoder(v)

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,11 +43,38 @@ def test_encoding_equals_the_library(v):
             n = r.choice([1, 2, 7, 300])
             out += e.feed(t[at : at + n])
             at += n
-        assert out + e.finish() == want == v.encode(t)
+        assert out + e.finish() == want == v.run(t)
         d = bpe.Decoder(v)
         assert "".join(d.feed([i]) for i in want) + d.finish() == t
 
 
+@has_vocab
+def test_very_long_texts_take_the_same_path(v):
+    """Above a million characters: mixed text, one unbroken run, blanks; equal to the library and to small pieces."""
+    lib, r = library(), random.Random(6)
+    mixed = " ".join(r.choice(["word", "naïve", "日本語。", "x\n\ny", "12", "!?", "  ", "\t", "'re", "\x1c", "\u3000"]) for _ in range(300_000))
+    for t in (mixed, "ab" * 600_000, "x" + " " * 3000 + "y " * 520_000):
+        assert len(t) > 1_000_000
+        assert encode.encode_text(v, t) == lib(t)
+
+
+@has_vocab
+def test_lookahead_comes_from_the_merges(v):
+    assert v.lookahead == max(len(v.token[r]) for r in v.built) - 1
+    tiny = bpe.Vocabulary(b"\n".join(__import__("base64").b64encode(t) + b" %d" % i for i, t in enumerate([b"a", b"b", b"c", b"ab", b"abcabc"])))
+    assert tiny.lookahead == 1 and 4 not in tiny.built  # nothing merges into the longest token
+
+
+@has_vocab
+def test_neighbouring_tokens_against_plain_merging(v):
+    r = random.Random(8)
+    built = list(v.built)
+    common = [v.run(w)[0] for w in "a b aa ab the then ing in n ' ! !! 0 00 000 é 日".split()]
+    for _ in range(20_000):
+        a, b = (r.choice(common if r.random() < 0.3 else built[: r.choice([300, 3000, 50_000])]) for _ in range(2))
+        assert v.may_follow(a, b) == (v.merged(v.token[a] + v.token[b]) == [a, b])
+
+
 @has_vocab
 def test_constant_memory_in_an_unbroken_run(v):
     e, most, n = bpe.StreamingEncoder(v), 0, 0
@@ -77,7 +105,7 @@ def test_pieces(spark, v):
     for t in texts:
         if not t:
             continue
-        ids, places, kinds = split.cut_points(v, t, 56)
+        _, ids, places, kinds = split.cut_points(v, t, 56)
         cuts = [8] if len(ids) > 64 else [len(ids)]
         starts = [] if len(ids) > 64 else [(0, len(ids))]
         while len(ids) > 64 and cuts[-1] < len(ids):
@@ -115,11 +143,22 @@ def test_leaks(spark):
                 if d is not None and i is not None and any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1)):
                     want.add((d, i))
     D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, prompt string, answer string")
-    for size in (50, 100_000):
-        found = leak.leaks(D, I, shard_words=size)
+    for size, chars in ((50, 10**7), (100_000, 10**7), (100_000, 700)):
+        found = leak.leaks(D, I, shard_words=size, block_chars=chars)
         assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == want
+    texts = {d: leak.words_of(t) for d, t in docs}
+    by_item = {i: [leak.words_of(p), leak.words_of(a)] for i, p, a in items}
+    for x in found.collect():
+        grams = {tuple(texts[x["doc_id"]][k : k + x["matched_words"]]) for k in range(len(texts[x["doc_id"]]))}
+        longer = {tuple(texts[x["doc_id"]][k : k + x["matched_words"] + 1]) for k in range(len(texts[x["doc_id"]]))}
+        parts = [(s, k) for s in by_item[x["item_id"]] for k in range(len(s))]
+        assert any(tuple(s[k : k + x["matched_words"]]) in grams for s, k in parts)
+        assert not any(tuple(s[k : k + x["matched_words"] + 1]) in longer for s, k in parts if k + x["matched_words"] < len(s) and len(s) >= 12)
+    named = leak.leaks(D.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), I)
+    assert {(x["doc_id"], x["item_id"]) for x in named.collect()} == {(f"d{d}", i) for d, i in want}
     assert leak.leaks(D.limit(0), I).count() == leak.leaks(D, I.limit(0)).count() == 0
-    assert leak.without_leaks(D, found).count() == len(docs) - len({d for d, _ in want})
+    # the one without an id leaks its own item too
+    assert leak.without_leaks(D, I).count() == len(docs) - len({d for d, _ in want}) - 1
 
 
 def test_components(spark):
@@ -225,18 +264,37 @@ def test_components_are_checked_without_a_graph_of_pairs(monkeypatch):
     want = {(k // 12 * 12, k) for k in range(n)}
 
     def listed(*_):
-        raise AssertionError("pairs were listed")
+        raise AssertionError("points were compared one by one")
 
-    near = mixture._near
-    monkeypatch.setattr(mixture, "_near", listed)
+    cut = mixture.cut_sets
+    monkeypatch.setattr(mixture, "cut_sets", listed)
     found, _ = mixture.find_groups(*args)
     assert set(zip(found["group_id"], found["row"])) == want
-    # the same where no mixture helps: one component for everything
-    monkeypatch.setattr(mixture, "_near", near)
-    fit = mixture.fit_mixtures
-    monkeypatch.setattr(mixture, "fit_mixtures", lambda seg, x, w: (np.zeros(len(seg), np.int64), fit(seg, x, w)[1]))
+    # where the information criterion finds one component only, the check has it fitted again
+    fit, calls = mixture.fit_mixtures, []
+
+    def one_at_first(seg, x, w, fewest=1):
+        calls.append(fewest)
+        comp, dens = fit(seg, x, w, fewest)
+        return (comp, dens) if fewest > 1 else (np.zeros(len(seg), np.int64), dens)
+
+    monkeypatch.setattr(mixture, "fit_mixtures", one_at_first)
     found, _ = mixture.find_groups(*args)
-    assert set(zip(found["group_id"], found["row"])) == want
+    assert set(zip(found["group_id"], found["row"])) == want and 2 in calls
+    monkeypatch.setattr(mixture, "cut_sets", cut)
+
+
+def test_a_dense_spot_is_cut_into_groups_that_hold():
+    """50,000 distinct points in a spot of 30 radii: every group is mutually similar, no point is in two, none is left that
+    could make another."""
+    r = np.random.default_rng(11)
+    p = r.normal(size=(50_000, 3)) * [8, 8, 1e-3]
+    started = time.time()
+    found = mixture.cut_neighbourhood(p, np.arange(len(p)), np.ones(len(p)), 1.0, 4)
+    assert found["row"].is_unique and len(found) > 40_000 and time.time() - started < 300
+    for _, g in found.groupby("group_id"):
+        q = p[g["row"].to_numpy()]
+        assert np.linalg.norm(q[:, None] - q[None], axis=2).max() <= 1.0
 
 
 def test_a_long_chain_is_cut_alike_whatever_the_blocks(spark, monkeypatch):

@@ -14,21 +14,43 @@ def extents(points: DataFrame, keys: list[str], u: str, v: str) -> DataFrame:
     return points.groupBy(*keys).agg(F.min(u).alias("u_min"), F.max(u).alias("u_max"), F.min(v).alias("v_min"), F.max(v).alias("v_max"))
 
 
-def grid(points: DataFrame, keys: list[str], u: str, v: str, scale: float) -> DataFrame:
-    """(keys, i, j, n): index of cells of side `scale` from the smallest coordinates of each key; points at the very end of
-    an exact multiple go to the last cell."""
+def placed(points: DataFrame, keys: list[str], u: str, v: str, scale: float, bounds: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(keys, keep, i, j): index of each point's cell of side `scale`, from the smallest coordinates of each key; points at the
+    very end of an exact multiple go to the last cell. `bounds`: the extents, if they are known without the points."""
     points = points.filter(F.col(u).isNotNull() & F.col(v).isNotNull() & ~F.isnan(u) & ~F.isnan(v))
-    bounds = extents(points, keys, u, v)
+    keep = keep or []
+    bounds = extents(points, keys, u, v) if bounds is None else bounds
     # one row per key (an orbit or an image): few next to the points, and left to the optimiser's size check
-    df = points.select(*keys, u, v).join(bounds, keys) if keys else points.select(u, v).crossJoin(bounds)
+    df = points.select(*keys, *keep, u, v).join(bounds, keys) if keys else points.select(*keep, u, v).crossJoin(bounds)
 
     def index(c: str, low: str, high: str) -> Column:
         bins = F.greatest(F.ceil((F.col(high) - F.col(low)) * (1.0 / scale)), F.lit(1))
         # declared free of nulls, else a join on the cells would push null checks into the points' expressions
         return F.coalesce(F.least(F.floor((F.col(c) - F.col(low)) * (1.0 / scale)), bins - 1).cast("long"), F.lit(-1))
 
-    cells = df.select(*keys, index(u, "u_min", "u_max").alias("i"), index(v, "v_min", "v_max").alias("j"))
-    return cells.groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
+    return df.select(*keys, *keep, index(u, "u_min", "u_max").alias("i"), index(v, "v_min", "v_max").alias("j"))
+
+
+def grid(points: DataFrame, keys: list[str], u: str, v: str, scale: float, bounds: DataFrame | None = None) -> DataFrame:
+    """(keys, i, j, n): points per cell."""
+    return placed(points, keys, u, v, scale, bounds).groupBy(*keys, "i", "j").agg(F.count("*").alias("n"))
+
+
+def cell_members(points: DataFrame, keys: list[str], u: str, v: str, scale: float, min_count: int = 1, member: str = "intid") -> DataFrame:
+    """(keys, i, j, n, member): one row per point of the cells with at least `min_count` points; a cell that holds most points
+    is never one row."""
+    at = placed(points, keys, u, v, scale, keep=[member])
+    full = at.groupBy(*keys, "i", "j").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    return at.join(full, [*keys, "i", "j"]).select(*keys, "i", "j", "n", member)
+
+
+def cells_holding(cells: DataFrame, frame: DataFrame, places: DataFrame, scale: float) -> DataFrame:
+    """places (ra, dec in radians) with the image cell ix, iy they fall into and its count n, 0 for an empty cell; places
+    outside of the image are dropped."""
+    df = places.crossJoin(F.broadcast(frame))
+    df = df.withColumns({"ix": F.floor((wrap_pi(F.col("ra") - F.col("ra_centre")) - F.col("dx_min")) / scale).cast("long"), "iy": F.floor((F.col("dec") - F.col("dec_min")) / scale).cast("long")})
+    df = df.filter("ix >= 0 and iy >= 0 and ix < nx and iy < ny").select(*places.columns, "ix", "iy")
+    return df.join(cells.select("ix", "iy", "n"), ["ix", "iy"], "left").select(*places.columns, "ix", "iy", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def sky_grid(points: DataFrame, keys: list[str], scale: float, prefix: str = "s") -> DataFrame:

@@ -1,6 +1,7 @@
 """Synced points gathered around peaks, screened and freed of duplicates.
 
-The range search is an equi-join on 3-D buckets of the search radius: centres look into their 27 buckets, points lie in one.
+The range search is an equi-join on 3-D buckets of a few search radii: a point lies in one, a centre looks into those that its
+ball touches (about 3 on average, 8 at most).
 Clusters stay member rows with a key; sets are compared by their size, extremes and three independent 64-bit digests instead
 of collected arrays, so a large cluster never becomes one row.
 """
@@ -12,31 +13,42 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ARCSEC, CLUSTER_ARCSEC, MAX_DT, MIN_NIGHTS, MIN_UNIQUE_TIMES
 from ..functions.geometry import Vec, chord2_of, chord2_to_angle, local_axes, night, project
+from ..staging import small
 
 
 def _buckets(side: float, prefix: str) -> list[Column]:
     return [F.floor(F.col(f"{prefix}_{c}") / side).cast("long").alias(f"b{c}") for c in "xyz"]
 
 
-def within(centres: DataFrame, points: DataFrame, keys: list[str], arcsec: float = CLUSTER_ARCSEC) -> DataFrame:
-    """points joined to the centres (c_x, c_y, c_z) of the same keys no farther than `arcsec` (border included), with d2."""
+CELLS = 4.0  # side of a bucket in search radii
+
+
+def within(centres: DataFrame, points: DataFrame, keys: list[str], arcsec: float = CLUSTER_ARCSEC, n_centres: int | None = None) -> DataFrame:
+    """points joined to the centres (c_x, c_y, c_z) of the same keys no farther than `arcsec` (border included), with d2. The
+    centres are broadcast if their number is given and small."""
     limit = chord2_of(arcsec * ARCSEC)
-    side = limit**0.5 * (1 + 1e-9)
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "xyz")]) for o in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]])
-    probes = centres.select("*", *_buckets(side, "c")).select("*", F.explode(offsets).alias("o"))
-    probes = probes.select(*centres.columns, *[(F.col(f"b{c}") + F.col(f"o.{c}")).alias(f"b{c}") for c in "xyz"])
+    reach = limit**0.5 * (1 + 1e-9)
+    side = reach * CELLS
+    probes = centres
+    for c in "xyz":  # the few buckets that the ball around a centre touches
+        span = F.sequence(F.floor((F.col(f"c_{c}") - reach) / side).cast("long"), F.floor((F.col(f"c_{c}") + reach) / side).cast("long"))
+        probes = probes.select("*", F.explode(span).alias(f"b{c}"))
     rest = [c for c in points.columns if c not in keys and c not in centres.columns]
     placed = points.select(*keys, *rest, *_buckets(side, "s"))
     d = [F.col(f"s_{c}") - F.col(f"c_{c}") for c in "xyz"]
-    met = probes.join(placed, [*keys, "bx", "by", "bz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    if n_centres is not None:
+        probes = small(probes, 8 * n_centres)
+    met = placed.join(probes, [*keys, "bx", "by", "bz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     return met.filter(F.col("d2") <= limit).drop("bx", "by", "bz")
 
 
-def neighbours_of_points(points: DataFrame, keys: list[str], arcsec: float = CLUSTER_ARCSEC, max_days: float = 15.0) -> DataFrame:
+def neighbours_of_points(points: DataFrame, keys: list[str], arcsec: float = CLUSTER_ARCSEC, max_days: float = 15.0, only: DataFrame | None = None, n_centres: int | None = None) -> DataFrame:
     """(keys, centre_intid, intid, angle, dt): each point's neighbours within `arcsec`, itself included, whose angle fits their
-    time: dt <= max_days and angle <= dt / max_days * arcsec + 1 arcsec."""
+    time: dt <= max_days and angle <= dt / max_days * arcsec + 1 arcsec. `only`: the (keys, centre_intid) to be searched."""
     centres = points.select(*keys, F.col("intid").alias("centre_intid"), F.col("epoch").alias("centre_epoch"), *[F.col(f"s_{c}").alias(f"c_{c}") for c in "xyz"])
-    met = within(centres, points.select(*keys, "intid", "epoch", "s_x", "s_y", "s_z"), keys, arcsec)
+    if only is not None:
+        centres = centres.join(only, [*keys, "centre_intid"], "left_semi")
+    met = within(centres, points.select(*keys, "intid", "epoch", "s_x", "s_y", "s_z"), keys, arcsec, n_centres)
     out = met.select(*keys, "centre_intid", "intid", chord2_to_angle(F.col("d2")).alias("angle"), F.abs(F.col("epoch") - F.col("centre_epoch")).alias("dt"), "epoch")
     return out.filter((F.col("dt") <= max_days) & (F.col("angle") <= F.col("dt") / max_days * (arcsec * ARCSEC) + ARCSEC))
 

@@ -8,6 +8,8 @@ keep_all); nulls in a position or direction give the same.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions.constants import LIGHT_AU_PER_DAY
 from ..functions.geometry import Vec
 from ..staging import BROADCAST_ROWS
 
-STEPS = 6
+STEPS = 6  # unrolled; what is not settled by then goes on in a loop
+MOST_STEPS = 100
 TOLERANCE = 1e-6
 
 
@@ -53,27 +56,53 @@ def _series(name: str, x: Column) -> Column:
 
 
 def each_orbit(detections: DataFrame, orbits: DataFrame) -> DataFrame:
-    """The stated product; orbits are counted first and refused beyond a bound, so the broadcast has a known size."""
+    """The stated product; orbits are counted first, so the broadcasts have a known size. Beyond it orbits go in blocks, each
+    a product of its own."""
     n = orbits.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} orbits at once: give them in blocks of at most {BROADCAST_ROWS}")
-    return detections.crossJoin(F.broadcast(orbits))
+    if n <= BROADCAST_ROWS:
+        return detections.crossJoin(F.broadcast(orbits))
+    blocks = -(-2 * n // BROADCAST_ROWS)
+    return reduce(DataFrame.unionByName, [detections.crossJoin(F.broadcast(orbits.filter(F.pmod(F.xxhash64("ic_id"), F.lit(blocks)) == k))) for k in range(blocks)])
+
+
+def _loop(start: Column, going: Column, step, steps: int) -> Column:
+    """start where it is settled; else the end of up to `steps` further steps of a struct (v, gap). The loop is worked out for
+    the rows that need it only."""
+    def more(acc: Column, _: Column) -> Column:
+        return F.when(acc["gap"] < TOLERANCE, acc).otherwise(step(acc))
+
+    first = F.struct(start.alias("v"), F.lit(1.0).alias("gap"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, more)
+    return F.when(going, F.when(last["gap"] < TOLERANCE, last["v"]).otherwise(nan())).otherwise(start)
 
 
-def solve_range(pairs: DataFrame, sign: float = 1.0, steps: int = STEPS) -> DataFrame:
+def solve_range(pairs: DataFrame, sign: float = 1.0, steps: int = STEPS, most: int = MOST_STEPS) -> DataFrame:
     """rho and r_at: the range at which the line of sight meets the orbit's distance, light time included; NaN where the
-    line misses it or the fixed point does not settle. The steps are unrolled, since lambdas are not code-generated; a step
-    after the first settled one changes nothing."""
+    line misses it or the fixed point does not settle within `most` steps. The first steps are unrolled, since lambdas are
+    not code-generated; the step after the first settled one changes nothing."""
     keep = pairs.columns
     df = pairs.select(*keep, (F.col("o_r") - 1.0).alias("rho"), F.lit(1.0).alias("gap"), (F.col("rho_dot_obs") * F.col("rho_dot_obs") - F.col("obs2")).alias("miss2"))
+
+    def at(rho: Column) -> Column:
+        return (F.col("epoch") - rho / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
+
+    def met(rt: Column) -> Column:
+        return sign * F.sqrt(rt * rt + F.col("miss2")) - F.col("rho_dot_obs")
+
     for _ in range(steps):
-        x = (F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
-        df = df.select(*keep, "rho", "gap", "miss2", x.alias("x"))
+        df = df.select(*keep, "rho", "gap", "miss2", at(F.col("rho")).alias("x"))
         df = df.select(*keep, "rho", "gap", "miss2", _series("r", F.col("x")).alias("rt"))
-        new = F.when(F.col("gap") < TOLERANCE, F.col("rho")).otherwise(sign * F.sqrt(F.col("rt") * F.col("rt") + F.col("miss2")) - F.col("rho_dot_obs"))
+        new = F.when(F.col("gap") < TOLERANCE, F.col("rho")).otherwise(met(F.col("rt")))
         df = df.select(*keep, F.col("rho").alias("old"), "gap", "miss2", new.alias("rho"))
         df = df.select(*keep, "rho", F.when(F.col("gap") < TOLERANCE, F.col("gap")).otherwise(F.abs(F.col("rho") - F.col("old"))).alias("gap"), "miss2")
-    df = df.select(*keep, F.when(F.col("gap") < TOLERANCE, F.col("rho")).otherwise(nan()).alias("rho"))
+
+    def step(acc: Column) -> Column:
+        rho = met(_series("r", at(acc["v"])))
+        return F.struct(rho.alias("v"), F.abs(rho - acc["v"]).alias("gap"))
+
+    # NaN is settled: it stays what it is
+    open_ = (F.col("gap") >= TOLERANCE) & ~F.isnan("rho")
+    df = df.select(*keep, (_loop(F.col("rho"), open_, step, most - steps) if most > steps else F.when(open_, nan()).otherwise(F.col("rho"))).alias("rho"))
     return df.select(*keep, "rho", F.sqrt(F.col("rho") * F.col("rho") + 2.0 * F.col("rho") * F.col("rho_dot_obs") + F.col("obs2")).alias("r_at"))
 
 
@@ -150,24 +179,37 @@ def inclination_sweep(detections: DataFrame, orbits: DataFrame, steps: int = 100
     return out.select(*own, "ic_id", "inc_no", *[(F.col(f"q_{c}") / n).alias(f"s_{c}") for c in "xyz"])
 
 
-def newton_range(pairs: DataFrame, steps: int = 12) -> DataFrame:
+def newton_range(pairs: DataFrame, steps: int = 12, most: int = MOST_STEPS) -> DataFrame:
     """rho by Newton's method on |R + rho rho_hat|^2 = r(t)^2, the light time's own slope left out; NaN where the cost does
-    not fall below 1e-8."""
+    not fall below 1e-8 within `most` steps, the first of which are unrolled."""
     keep = pairs.columns
     df = pairs.select(*keep, (F.col("o_r") - 1.0).alias("rho"), F.lit(1.0).alias("cost"))
+
+    def at(rho: Column) -> Column:
+        return (F.col("epoch") - rho / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
+
+    def cost(rho: Column, rt: Column) -> Column:
+        return F.col("obs2") + 2.0 * rho * F.col("rho_dot_obs") + rho * rho - rt * rt
+
+    def down(rho: Column, c: Column) -> Column:
+        return F.try_divide(c, 2.0 * (rho + F.col("rho_dot_obs")))
+
     for _ in range(steps):
-        x = (F.col("epoch") - F.col("rho") / LIGHT_AU_PER_DAY - F.col("o_orbit_epoch")) / F.col("o_bounds")
-        df = df.select(*keep, "rho", _series("r", x).alias("rt"))
-        df = df.select(*keep, "rho", (F.col("obs2") + 2.0 * F.col("rho") * F.col("rho_dot_obs") + F.col("rho") * F.col("rho") - F.col("rt") * F.col("rt")).alias("cost"))
-        df = df.select(*keep, (F.col("rho") - F.when(F.abs("cost") < 1e-8, F.lit(0.0)).otherwise(F.try_divide(F.col("cost"), 2.0 * (F.col("rho") + F.col("rho_dot_obs"))))).alias("rho"), "cost")
-    return df.select(*keep, F.when(F.abs("cost") < 1e-8, F.col("rho")).otherwise(nan()).alias("rho"))
+        df = df.select(*keep, "rho", _series("r", at(F.col("rho"))).alias("rt"))
+        df = df.select(*keep, "rho", cost(F.col("rho"), F.col("rt")).alias("cost"))
+        df = df.select(*keep, (F.col("rho") - F.when(F.abs("cost") < 1e-8, F.lit(0.0)).otherwise(down(F.col("rho"), F.col("cost")))).alias("rho"), "cost")
 
+    def step(acc: Column) -> Column:
+        c = cost(acc["v"], _series("r", at(acc["v"])))
+        # settled costs are told by a gap below the tolerance of the loop
+        return F.struct(F.when(F.abs(c) < 1e-8, acc["v"]).otherwise(F.coalesce(acc["v"] - down(acc["v"], c), nan())).alias("v"), F.when(F.abs(c) < 1e-8, F.lit(0.0)).otherwise(F.lit(1.0)).alias("gap"))
 
-def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch: float) -> DataFrame:
-    """alpha and beta of each detection on the tangent plane for each rate orbit (r, vr, adot, bdot, id).
+    open_ = (F.abs("cost") >= 1e-8) & ~F.isnan("rho")
+    return df.select(*keep, F.when(F.col("rho").isNull(), nan()).otherwise(_loop(F.col("rho"), open_, step, most - steps)).alias("rho"))
 
-    points: tangent-plane rows (exposure_id, epoch, xe, ye, ze, theta_x, theta_y, mean_x, mean_y); one light time per exposure.
-    """
+
+def _tangent_terms(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch: float) -> DataFrame:
+    """Points or exposures x rate orbits with what moves theta to alpha and beta: theta * fac + on - off, for x and y."""
     rates = rate_orbits.select(F.col("id").alias("ic_id"), (1.0 / F.col("r")).alias("gamma"), (F.col("vr") / F.col("r")).alias("gdot"), "adot", "bdot")
     df = each_orbit(points, rates)
     gamma = F.col("gamma")
@@ -176,8 +218,34 @@ def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch
     df = df.withColumn("tp", F.col("epoch") - ref_epoch - F.col("rho") / LIGHT_AU_PER_DAY)
     df = df.withColumn("f", 1.0 - 0.5 * mu * gamma * gamma * gamma * F.col("tp") * F.col("tp"))
     gf, yf = F.col("tp") / F.col("f"), gamma / F.col("f")
-    df = df.withColumn("fac", 1.0 + gf * F.col("gdot") - yf * F.col("ze"))
-    alpha = F.coalesce(F.col("theta_x") * F.col("fac") + yf * F.col("xe") - gf * F.col("adot"), nan())
-    beta = F.coalesce(F.col("theta_y") * F.col("fac") + yf * F.col("ye") - gf * F.col("bdot"), nan())
+    return df.withColumns({"fac": 1.0 + gf * F.col("gdot") - yf * F.col("ze"), "on_x": yf * F.col("xe"), "on_y": yf * F.col("ye"), "off_x": gf * F.col("adot"), "off_y": gf * F.col("bdot")})
+
+
+def _moved(theta: str, c: str) -> Column:
+    return F.col(theta) * F.col("fac") + F.col(f"on_{c}") - F.col(f"off_{c}")
+
+
+def tangent_sync(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch: float) -> DataFrame:
+    """alpha and beta of each detection on the tangent plane for each rate orbit (r, vr, adot, bdot, id).
+
+    points: tangent-plane rows (exposure_id, epoch, xe, ye, ze, theta_x, theta_y, mean_x, mean_y); one light time per exposure.
+    """
+    df = _tangent_terms(points, rate_orbits, mu, ref_epoch)
+    alpha = F.coalesce(_moved("theta_x", "x"), nan())
+    beta = F.coalesce(_moved("theta_y", "y"), nan())
     df = df.select(*points.columns, "ic_id", alpha.alias("alpha"), beta.alias("beta"))
     return _generated(df, [*points.columns, "ic_id"], ~F.isnan(F.col("alpha") + F.col("beta")), [F.col("alpha"), F.col("beta")])
+
+
+def tangent_extents(points: DataFrame, rate_orbits: DataFrame, mu: float, ref_epoch: float) -> DataFrame:
+    """(ic_id, u_min, u_max, v_min, v_max) of what tangent_sync gives, without its product: an exposure and epoch's map is
+    affine in theta and keeps the order, so its ends come from the ends of theta."""
+    same = ["epoch", "xe", "ye", "ze", "mean_x", "mean_y"]
+    whole = points.filter(~F.isnan(F.col("theta_x") + F.col("theta_y")))
+    ends = whole.groupBy(*same).agg(*[f(f"theta_{c}").alias(f"{n}_{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    # few rows that make many: spread them out again before the product
+    ends = ends.repartition(points.sparkSession.sparkContext.defaultParallelism, *same)
+    image = {f"{n}_{c}": F.coalesce(_moved(f"{n}_{c}", c), nan()) for c in "xy" for n in ("lo", "hi")}
+    df = _tangent_terms(ends, rate_orbits, mu, ref_epoch).select("ic_id", *[v.alias(k) for k, v in image.items()])
+    df = _generated(df, ["ic_id"], ~F.isnan(F.col("lo_x") + F.col("hi_x") + F.col("lo_y") + F.col("hi_y")), [F.col(k) for k in image])
+    return df.groupBy("ic_id").agg(*[f(g(f"lo_{c}", f"hi_{c}")).alias(f"{u}_{n}") for c, u in (("x", "u"), ("y", "v")) for n, f, g in (("min", F.min, F.least), ("max", F.max, F.greatest))])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import healpix
 from ..functions.constants import ARCSEC, CLUSTER_ARCSEC, HPIX_DEPTH, MAX_DT, MIN_CELL, MIN_NIGHTS, MIN_UNIQUE_TIMES, MU_BARY
 from ..operators import exposures, fits, grids, linking, peaks, sync
-from ..staging import Stage
+from ..staging import Stage, small
 
 
 def candidates(detections: DataFrame, orbits: DataFrame, depth: int = HPIX_DEPTH, min_points: int = MIN_UNIQUE_TIMES) -> DataFrame:
@@ -27,11 +27,11 @@ def clusters(
 ) -> DataFrame:
     """Members of the clusters around the peaks, each distinct set once (the one of the fuller, then lower pixel), screened, in
     tangent-plane coordinates."""
-    found = candidates(detections, orbits, depth, min_points)
+    found, n = Stage(detections.sparkSession, "candidates").write_counted(candidates(detections, orbits, depth, min_points))
     centres = found.withColumn("c", healpix.centre(depth)("hpix")).select("ic_id", "hpix", "total", *[F.col(f"c.{c}").alias(f"c_{c}") for c in "xyz"])
     keep = ["intid", "epoch", "ic_id", "s_x", "s_y", "s_z", "obs_x", "obs_y", "obs_z"] + [c for c in ("ast_ucty", "detid", "obscode", "mag") if c in detections.columns]
     points = sync.sync(detections, orbits).select(*keep)
-    members = linking.within(centres, points, ["ic_id"], arcsec)
+    members = linking.within(centres, points, ["ic_id"], arcsec, n)
     kept = linking.unique_sets(members, ["ic_id"], "hpix", [F.col("total") * -1])
     members = members.join(kept, ["ic_id", "hpix"], "left_semi")
     return linking.cluster_plane(linking.cull(members, ["ic_id", "hpix"], ref_epoch, max_dt, min_times, min_nights, min_points))
@@ -51,18 +51,25 @@ def tangent_points(detections: DataFrame, min_depth: float = 0.0) -> DataFrame:
     return Stage(detections.sparkSession, "tangent").write(exposures.tangent_plane(exposed, exposures.mean_pointing(detections), min_depth))
 
 
+def tangent_cells(points: DataFrame, rate_orbits: DataFrame, ref_epoch: float, pixel: float, mu: float = MU_BARY) -> tuple[DataFrame, DataFrame]:
+    """(counts of each rate orbit's grid, its extents). The product of points and orbits is worked out once: the extents come
+    from one row per exposure."""
+    low = Stage(points.sparkSession, "extents").write(sync.tangent_extents(points, rate_orbits, mu, ref_epoch))
+    moved = sync.tangent_sync(points, rate_orbits, mu, ref_epoch)
+    return grids.grid(moved, ["ic_id"], "alpha", "beta", pixel, low), low
+
+
 def tangent_peaks(points: DataFrame, rate_orbits: DataFrame, ref_epoch: float, pixel: float, mu: float = MU_BARY, min_count: int = MIN_CELL) -> DataFrame:
     """(ic_id, i, j, n, total): peaks of each rate orbit's grid."""
-    moved = sync.tangent_sync(points, rate_orbits, mu, ref_epoch)
-    return peaks.grid_peaks(grids.grid(moved, ["ic_id"], "alpha", "beta", pixel), ["ic_id"], min_count)
+    return peaks.grid_peaks(tangent_cells(points, rate_orbits, ref_epoch, pixel, mu)[0], ["ic_id"], min_count)
 
 
 def tangent_search(points: DataFrame, rate_orbits: DataFrame, ref_epoch: float, pixel: float, mu: float = MU_BARY, threshold: int = MIN_UNIQUE_TIMES) -> DataFrame:
     """(ic_id, peaks, i, j, n, total, alpha, beta): number of significant peaks of each orbit that has one, and its best."""
-    moved = sync.tangent_sync(points, rate_orbits, mu, ref_epoch)
-    found = peaks.grid_peaks(grids.grid(moved, ["ic_id"], "alpha", "beta", pixel), ["ic_id"], MIN_CELL).filter(F.col("total") >= threshold)
+    cells, low = tangent_cells(points, rate_orbits, ref_epoch, pixel, mu)
+    # few rows, used twice
+    found = Stage(points.sparkSession, "peaks").write(peaks.grid_peaks(cells, ["ic_id"], MIN_CELL).filter(F.col("total") >= threshold))
     best = peaks.top_peak(found, ["ic_id"]).join(found.groupBy("ic_id").agg(F.count("*").alias("peaks")), "ic_id")
-    low = grids.extents(moved, ["ic_id"], "alpha", "beta")
     return best.join(low, "ic_id").select("ic_id", "peaks", "i", "j", "n", "total", ((F.col("i") + 0.5) * pixel + F.col("u_min")).alias("alpha"), ((F.col("j") + 0.5) * pixel + F.col("v_min")).alias("beta"))
 
 
@@ -71,7 +78,8 @@ def dense_search(detections: DataFrame, orbits: DataFrame, epsilon_arcsec: float
     epsilon."""
     points = sync.sync(detections, orbits)
     cells = (grids.centred_grid if centred else grids.sky_grid)(points, ["ic_id"], epsilon_arcsec * ARCSEC / 3.0)
-    return peaks.grid_peaks(cells, ["ic_id"]).filter(F.col("total") >= threshold)
+    # no neighbour of a peak exceeds it, so its sum is at most nine times its own count
+    return peaks.grid_peaks(cells, ["ic_id"], max(1, -(-threshold // 9))).filter(F.col("total") >= threshold)
 
 
 def synced_counts(detections: DataFrame, orbits: DataFrame) -> DataFrame:
@@ -81,9 +89,11 @@ def synced_counts(detections: DataFrame, orbits: DataFrame) -> DataFrame:
 
 def point_linker(detections: DataFrame, orbits: DataFrame, arcsec: float = CLUSTER_ARCSEC, min_detections: int = 8, min_duration: float = 20.0, min_nights: int = 6) -> DataFrame:
     """Members (ic_id, centre_intid, intid) of the distinct neighbourhoods of points that last long enough."""
+    stage = Stage(detections.sparkSession, "point-linker")
     points = sync.sync(detections, orbits).select("ic_id", "intid", "epoch", "s_x", "s_y", "s_z")
-    near = linking.neighbours_of_points(points, ["ic_id"], arcsec)
-    enough = linking.duration_screen(near, ["ic_id", "centre_intid"], min_detections, min_duration, min_nights)
-    near = near.join(enough, ["ic_id", "centre_intid"], "left_semi")
+    screened = linking.duration_screen(linking.neighbours_of_points(points, ["ic_id"], arcsec), ["ic_id", "centre_intid"], min_detections, min_duration, min_nights)
+    enough, n = stage.write_counted(screened.select("ic_id", "centre_intid"))
+    # only centres that passed are searched again
+    near = stage.write(linking.neighbours_of_points(points, ["ic_id"], arcsec, only=small(enough, n), n_centres=n))
     first = linking.unique_sets(near, ["ic_id"], "centre_intid", [F.lit(0)])
     return near.join(first, ["ic_id", "centre_intid"], "left_semi").select("ic_id", "centre_intid", "intid", "angle", "dt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import COS_OBLIQUITY, MU_BARY, SIN_OBLIQUITY
@@ -18,17 +18,21 @@ from ..tables import finite, table, valid_positions
 REF_EPOCH = 2460960.5
 
 
+def earth(epoch: Column) -> Vec:
+    """The stand-in for an ephemeris: a circular orbit of the Earth."""
+    angle = (2 * math.pi / 365.25) * (epoch - 2451545.0)
+    return Vec(F.cos(angle), F.sin(angle) * COS_OBLIQUITY, F.sin(angle) * SIN_OBLIQUITY)
+
+
 def observer(spark: SparkSession, d: str) -> DataFrame:
-    """Valid catalog rows with an observer: the row's own position if all of it is there, else that of an ephemeris, here a
-    circular orbit of the Earth."""
-    rows = table(spark, d, "detection_catalog")
-    extra = rows.select("intid", F.nullif(F.upper(F.trim("obscode")), F.lit("")).alias("obscode"), "obs_x", "obs_y", "obs_z", "ast_ucty", "mag", "detid")
-    points = valid_positions(rows).join(extra, "intid")
-    own = finite(F.col("obs_x")) & finite(F.col("obs_y")) & finite(F.col("obs_z"))
-    angle = (2 * math.pi / 365.25) * (F.col("epoch") - 2451545.0)
-    earth = (F.cos(angle), F.sin(angle) * COS_OBLIQUITY, F.sin(angle) * SIN_OBLIQUITY)
-    place = {f"obs_{c}": F.when(own, F.col(f"obs_{c}")).otherwise(e) for c, e in zip("xyz", earth)}
-    return points.withColumns({**place, "own_position": own})
+    """Valid catalog rows with an observer, by the reader's rule: the ephemeris where there is an obscode, else the row's own
+    position if all of it is there; where there is neither, which the reader refuses, the ephemeris."""
+    code = F.nullif(F.upper(F.trim("obscode")), F.lit("")).alias("obscode")
+    rows = valid_positions(table(spark, d, "detection_catalog"), keep=[code, *[F.col(c) for c in ("obs_x", "obs_y", "obs_z", "ast_ucty", "mag", "detid")]])
+    own = F.col("obscode").isNull() & finite(F.col("obs_x")) & finite(F.col("obs_y")) & finite(F.col("obs_z"))
+    at = earth(F.col("epoch"))
+    place = {f"obs_{c}": F.when(own, F.col(f"obs_{c}")).otherwise(e) for c, e in zip("xyz", (at.x, at.y, at.z))}
+    return rows.withColumns({**place, "own_position": own})
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +66,7 @@ PI2 = repr(2 * math.pi)
 VALID = """SELECT intid, CASE WHEN ra >= 0 AND ra < 360 THEN ra ELSE ((ra % 360) + 360) % 360 END AS ra, dec, epoch, nullif(upper(trim(obscode)), '') AS obscode,
     obs_x, obs_y, obs_z, ast_ucty, mag, detid FROM detection_catalog
   WHERE ra IS NOT NULL AND NOT isnan(ra) AND dec IS NOT NULL AND NOT isnan(dec) AND abs(dec) <= 90 AND epoch > 0 AND NOT isnan(epoch)"""
-_OWN = "(obs_x IS NOT NULL AND obs_y IS NOT NULL AND obs_z IS NOT NULL AND NOT isnan(obs_x) AND NOT isnan(obs_y) AND NOT isnan(obs_z))"
+_OWN = "(obscode IS NULL AND obs_x IS NOT NULL AND obs_y IS NOT NULL AND obs_z IS NOT NULL AND NOT isnan(obs_x) AND NOT isnan(obs_y) AND NOT isnan(obs_z))"
 _ANGLE = f"({PI2} / 365.25e0 * (epoch - 2451545e0))"
 OBSERVER = f"""SELECT * REPLACE (
     CASE WHEN {_OWN} THEN obs_x ELSE cos({_ANGLE}) END AS obs_x,
@@ -86,10 +90,10 @@ DETECTIONS = f"""SELECT intid, {TDB} AS epoch, obscode, detid, ast_ucty, mag,
 RATES = "SELECT id AS ic_id, 1e0 / r AS gamma, vr / r AS gdot, vo / r * cos(inc) AS adot, kappa * (vo / r) * sin(inc) AS bdot FROM trial_orbits"
 
 
-def orbit_sql(steps: int = 12) -> str:
+def orbit_sql(steps: int = 12, source: str = "trial_orbits") -> str:
     """Bound orbits by Kepler's equation in the eccentric anomaly's change since the epoch, and their least-squares series."""
     mu = f"{MU_BARY!r}"
-    base = f"""SELECT id, r, vr, vo, inc, kappa, r * vo AS h, (vr * vr + vo * vo) / 2 - {mu} / r AS energy, cos(inc) AS cos_inc, sin(least(inc, {math.pi!r} - inc)) AS sin_lat FROM trial_orbits"""
+    base = f"""SELECT id, r, vr, vo, inc, kappa, r * vo AS h, (vr * vr + vo * vo) / 2 - {mu} / r AS energy, cos(inc) AS cos_inc, sin(least(inc, {math.pi!r} - inc)) AS sin_lat FROM {source}"""
     q = f"""SELECT *, -{mu} / (2 * energy) AS a FROM ({base})"""
     q = f"""SELECT *, 1 - r / a AS ec, r * vr / sqrt({mu} * a) AS es, sqrt({mu} / (a * a * a)) AS n FROM ({q})"""
     q = f"""SELECT q.*, k, k * 7e0 - 365e0 AS dt, n * (k * 7e0 - 365e0) AS u FROM ({q}) q, (SELECT unnest(range({len(NODES)})) AS k)"""
@@ -107,7 +111,7 @@ def cheb_sql(c: str, x: str) -> str:
     return f"({c}0 + {c}1 * {x} + {c}2 * (2e0 * {x} * {x} - 1e0) + {c}3 * (4e0 * {x} * {x} * {x} - 3e0 * {x}))"
 
 
-def sync_sql(steps: int = 6) -> str:
+def sync_sql(steps: int = 30) -> str:
     """(all of the pair, s_x, s_y, s_z) of every detection and orbit that meet."""
     mu, c = f"{MU_BARY!r}", "173.14463267424034e0"
     q = f"""SELECT d.*, o.*, rho_x * obs_x + rho_y * obs_y + rho_z * obs_z AS dot, obs_x * obs_x + obs_y * obs_y + obs_z * obs_z AS obs2

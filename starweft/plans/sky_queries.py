@@ -193,7 +193,7 @@ _GRID = f"{base.tangent_sync_sql()}, {base.grid_sql('moved', 'ic_id', 'alpha', '
 def sparse_grid(spark: SparkSession, d: str) -> DataFrame:
     """Cells, points and fullest cell of each rate orbit's grid."""
     points, rates = _tangent(spark, d)
-    cells = grids.grid(sync.tangent_sync(points, rates, MU_BARY, REF_EPOCH), ["ic_id"], "alpha", "beta", PIXEL)
+    cells, _ = linker.tangent_cells(points, rates, REF_EPOCH, PIXEL)
     return cells.groupBy("ic_id").agg(F.count("*").alias("cells"), F.sum("n").alias("points"), F.max("n").alias("fullest"))
 
 

@@ -7,11 +7,11 @@ fits that drop outliers step by step work on one group at a time in Python; a gr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import ARCSEC, DEFAULT_UCTY_ARCSEC, MIN_NIGHTS, MIN_UNIQUE_TIMES
@@ -26,7 +26,8 @@ def fit_rows(members: DataFrame, ucty_arcsec: str = "ast_ucty") -> DataFrame:
 
 
 def coupled_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, a, b, c, d, e, chi2, dof, r2) of each group; groups that are too small or singular have no row."""
+    """(keys, n, a, b, c, d, e, chi2, dof, r2, covariance) of each group; groups that are too small or singular have no row.
+    covariance: the 25 numbers of (X'WX)^-1 chi2 / dof, row by row."""
     w = 1.0 / (F.col("sigma") * F.col("sigma"))
     # offsets make the sums well conditioned
     low = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m_{v}") for v in "tfgxy"])
@@ -66,17 +67,40 @@ def coupled_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
             "a": F.col("a0") + F.col("m_x") - F.col("b") * F.col("m_t") - F.col("c") * F.col("m_f"),
             "d": F.col("d0") + F.col("m_y") - F.col("e") * F.col("m_t") - F.col("c") * F.col("m_g"),
         }
-    ).select(*keys, "n", *PARAMS)
+    )
+    covariance = _covariance(c_, F.col("det"), lines, F.col("den"))
+    fits = fits.select(*keys, "n", *PARAMS, F.array(*covariance).alias("cov"))
     left = rows.select(*keys, "t", "f", "g", "x", "y", w.alias("w")).join(fits, keys)
     rx = F.col("x") - F.col("a") - F.col("b") * F.col("t") - F.col("c") * F.col("f")
     ry = F.col("y") - F.col("d") - F.col("e") * F.col("t") - F.col("c") * F.col("g")
-    stats = left.groupBy(*keys, "n", *PARAMS).agg(
+    stats = left.groupBy(*keys, "n", *PARAMS, "cov").agg(
         F.sum(F.col("w") * (rx * rx + ry * ry)).alias("chi2"),
         F.sum(2.0 * F.col("w")).alias("sw"), F.sum(F.col("w") * (F.col("x") + F.col("y"))).alias("sy"),
         F.sum(F.col("w") * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("syy"),
     )
     total = F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")
-    return stats.select(*keys, "n", *PARAMS, "chi2", (2 * F.col("n") - 5).alias("dof"), (1.0 - F.col("chi2") / F.nullif(total, F.lit(0.0))).alias("r2"))
+    return stats.select(*keys, "n", *PARAMS, "chi2", (2 * F.col("n") - 5).alias("dof"), (1.0 - F.col("chi2") / F.nullif(total, F.lit(0.0))).alias("r2"), F.transform("cov", lambda v: v * F.col("chi2") / (2 * F.col("n") - 5)).alias("covariance"))
+
+
+def _covariance(sums: dict[str, Column], det: Column, lines: dict[str, tuple[Column, Column]], den: Column) -> list[Column]:
+    """(X'WX)^-1 of a, b, c, d, e, row by row. With c taken out, (a, b) and (d, e) each have the inverse of the sums over 1
+    and t; c, whose variance is 1 / den, adds its slopes on them. Last, from centred to given times and observers."""
+    line = [[sums["tt"] / det, -sums["t"] / det], [-sums["t"] / det, sums[""] / det]]
+    slope = [-lines["f"][0], -lines["f"][1], F.lit(1.0), -lines["g"][0], -lines["g"][1]]
+    block = {0: (0, 0), 1: (0, 1), 3: (1, 0), 4: (1, 1)}
+
+    def centred(i: int, j: int) -> Column:
+        joint = slope[i] * slope[j] / den
+        if i in block and j in block and block[i][0] == block[j][0]:
+            return joint + line[block[i][1]][block[j][1]]
+        return joint
+
+    one, zero = F.lit(1.0), None
+    back = [[one, -F.col("m_t"), -F.col("m_f"), zero, zero], [zero, one, zero, zero, zero], [zero, zero, one, zero, zero], [zero, zero, -F.col("m_g"), one, -F.col("m_t")], [zero, zero, zero, zero, one]]
+    return [
+        sum((back[i][k] * back[j][m] * centred(k, m) for k in range(5) if back[i][k] is not None for m in range(5) if back[j][m] is not None), F.lit(0.0))
+        for i in range(5) for j in range(5)
+    ]
 
 
 def _design(t, f, g):
@@ -170,43 +194,28 @@ def line_fit(rows: DataFrame, keys: list[str], t: str, values: list[str], weight
     return sums.select(*keys, "n", *out, (1.0 / F.col("w0") + m * m / F.col("w2")).alias("var_0"), (-m / F.col("w2")).alias("var_01"), (1.0 / F.col("w2")).alias("var_1"))
 
 
-def predict_line(fits: DataFrame, times: DataFrame, keys: list[str], t: str, values: list[str]) -> DataFrame:
-    """Values of fitted lines at given times, with the variance of unit weight."""
+def predict_line(fits: DataFrame, times: DataFrame, keys: list[str], t: str, values: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Values of fitted lines at given times, with the variance of unit weight and the columns `keep` of the times."""
     df = times.join(fits, keys)
     u = F.col(t)
-    return df.select(*keys, t, *[(F.col(f"{v}_0") + F.col(f"{v}_1") * u).alias(v) for v in values], (F.col("var_0") + 2.0 * u * F.col("var_01") + u * u * F.col("var_1")).alias("variance"))
+    return df.select(*keys, *(keep or []), t, *[(F.col(f"{v}_0") + F.col(f"{v}_1") * u).alias(v) for v in values], (F.col("var_0") + 2.0 * u * F.col("var_01") + u * u * F.col("var_1")).alias("variance"))
 
 
 def robust_cost(points: DataFrame, keys: list[str], min_points: int = 10, rounds: int = 10, clip: float = 5.0, sigma: float = 0.3 * ARCSEC) -> DataFrame:
     """(keys, n, clipped, cost): minus the log likelihood of the angles to the median centre, after upper clipping; infinite
-    for groups of fewer than min_points. Every round is two aggregates over all groups at once."""
+    for groups of fewer than min_points. The rounds are windows over the same keys: one shuffle, no group in one row."""
     centre = points.groupBy(*keys).agg(F.count("*").alias("n"), *[F.median(f"s_{c}").alias(f"m_{c}") for c in "xyz"])
     norm = F.sqrt(sum((F.col(f"m_{c}") * F.col(f"m_{c}") for c in "xyz"), F.lit(0.0)))
     df = points.join(centre, keys).withColumn("__k", norm)
     d2 = sum(((F.col(f"s_{c}") - F.col(f"m_{c}") / F.col("__k")) * (F.col(f"s_{c}") - F.col(f"m_{c}") / F.col("__k")) for c in "xyz"), F.lit(0.0))
-    angle = F.acos(F.least(F.greatest(1.0 - d2 / 2.0, F.lit(-1.0)), F.lit(1.0)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            costs, kept = [], []
-            for a in b["angles"]:
-                a = np.sort(np.asarray(a, float))
-                if len(a) < min_points:
-                    costs.append(np.inf)
-                    kept.append(len(a))
-                    continue
-                for _ in range(rounds):
-                    a = a[a <= a.mean() + clip * a.std()]
-                dev = a - a.mean()
-                costs.append(float((0.5 * dev**2 / sigma**2 + 0.5 * np.log(2 * np.pi * sigma**2)).sum()))
-                kept.append(len(a))
-            out = b.drop(columns="angles")
-            out["clipped"], out["cost"] = np.array(kept, np.int64), costs
-            yield out
-
-    grouped = df.select(*keys, "n", angle.alias("a")).groupBy(*keys, "n").agg(F.collect_list("a").alias("angles"))
-    schema = ", ".join(f.simpleString().replace(":", " ") for f in grouped.drop("angles").schema.fields) + ", clipped bigint, cost double"
-    return grouped.mapInPandas(run, schema)
+    df = df.select(*keys, "n", F.acos(F.least(F.greatest(1.0 - d2 / 2.0, F.lit(-1.0)), F.lit(1.0))).alias("a"))
+    group = Window.partitionBy(*keys)
+    for _ in range(rounds):  # what is clipped becomes null
+        df = df.select(*keys, "n", "a", F.avg("a").over(group).alias("mean"), F.stddev_pop("a").over(group).alias("sd"))
+        df = df.select(*keys, "n", F.when((F.col("a") <= F.col("mean") + clip * F.col("sd")) | (F.col("n") < min_points), F.col("a")).alias("a"))
+    out = df.groupBy(*keys, "n").agg(F.count("a").alias("clipped"), F.var_pop("a").alias("v"))
+    likelihood = F.col("clipped") * (0.5 * F.col("v") / sigma**2 + 0.5 * math.log(2 * math.pi * sigma**2))
+    return out.select(*keys, "n", "clipped", F.when(F.col("n") < min_points, F.lit(float("inf"))).otherwise(likelihood).alias("cost"))
 
 
 def nelder_mead(cost, p0, step, tol: float = 1e-12, most: int = 10_000) -> tuple[np.ndarray, float, bool]:

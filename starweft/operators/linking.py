@@ -91,6 +91,28 @@ def equal_sets(groups: DataFrame, group: str = "group_id", member: str = "member
     return sets.select(group, F.min(group).over(Window.partitionBy(*DIGEST)).alias("same_as"))
 
 
+def sets_holding(groups: DataFrame, given: DataFrame, group: str = "group_id", member: str = "member") -> DataFrame:
+    """(given_id, group): the groups of which each given set (given_id, member) is a proper subset; none for a set without
+    members."""
+    g = groups.filter(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("h"), F.col(member).alias("m")).distinct()
+    a = given.filter("given_id is not null and member is not null").select("given_id", F.col("member").alias("m")).distinct()
+    sizes = g.groupBy("h").agg(F.count("*").alias("hn"))
+    own = a.groupBy("given_id").agg(F.count("*").alias("n"))
+    shared = a.join(g, "m").groupBy("given_id", "h").agg(F.count("*").alias("both"))
+    return shared.join(own, "given_id").join(sizes, "h").filter("both = n and n < hn").select("given_id", F.col("h").alias(group))
+
+
+def given_sets(groups: DataFrame, given: DataFrame, group: str = "group_id", member: str = "member") -> DataFrame:
+    """(given_id, is_group, in_larger) of each given set: whether some group has just its members, and whether one has more
+    than these."""
+    larger = sets_holding(groups, given, group, member).select("given_id").distinct().withColumn("in_larger", F.lit(True))
+    mine = given.filter("given_id is not null and member is not null").select("given_id", "member").distinct().groupBy("given_id").agg(*set_digest("member"))
+    theirs = groups.filter(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct().groupBy(group).agg(*set_digest(member)).select(*DIGEST).distinct()
+    same = mine.join(theirs, DIGEST, "left_semi").select("given_id").withColumn("is_group", F.lit(True))
+    all_ids = given.filter("given_id is not null").select("given_id").distinct()
+    return all_ids.join(same, "given_id", "left").join(larger, "given_id", "left").select("given_id", F.coalesce("is_group", F.lit(False)).alias("is_group"), F.coalesce("in_larger", F.lit(False)).alias("in_larger"))
+
+
 def insert_members(groups: DataFrame, more: DataFrame) -> DataFrame:
     return groups.unionByName(more).distinct()
 

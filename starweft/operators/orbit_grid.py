@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,5 +138,3 @@ def parallel_rates(orbits: DataFrame) -> DataFrame:
     rate = F.col("vo") / F.col("r")
     return orbits.select("r", "vr", (rate * F.cos("inc")).alias("adot"), (F.col("kappa") * rate * F.sin("inc")).alias("bdot"), "id")
 
-
-HALF_DEGREE = math.radians(0.5)

@@ -71,6 +71,11 @@ def keplerian(table: DataFrame, epoch: float, mu: float = MU_BARY, m0_is_true_an
     return spherical(table.select(*cols).mapInPandas(run, schema), epoch, mu)
 
 
+def first_orbits(table: DataFrame, n: int, order: str = "id") -> DataFrame:
+    """The first n orbits in a stated order (a slice is the feature here), all of them if there are fewer."""
+    return table.orderBy(order).limit(n)
+
+
 def at_epoch(poly: str, epoch: Column) -> Column:
     """r, vr, f or g of an orbit at an epoch, from its polynomial; not limited to the fitted interval."""
     return chebyshev(F.col(poly), (epoch - F.col("orbit_epoch")) / F.col("bounds"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries, sky_queries
+from . import data_queries, more_queries, sky_queries  # noqa: F401  (more_queries adds to the queries of sky_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import COS_OBLIQUITY, MU_BARY, SIN_OBLIQUITY
@@ -56,9 +56,10 @@ def members(spark: SparkSession, d: str) -> DataFrame:
     # by place, so that a cluster without points keeps its members
     m = clusters.select("cluster_id", "ref_epoch", "ref_x", "ref_y", "ref_z", "local_points", F.posexplode("local_intids").alias("at", "intid")).filter("intid >= 0")
     point = F.get("local_points", F.col("at"))
-    m = m.select("cluster_id", "ref_epoch", *[F.col(f"ref_{c}").alias(f"c_{c}") for c in "xyz"], "intid", *[F.get(point, F.lit(k)).alias(f"s_{c}") for k, c in enumerate("xyz")])
+    m = m.select("cluster_id", "ref_epoch", *[F.col(f"ref_{c}").alias(f"c_{c}") for c in "xyz"], "intid", "at", *[F.get(point, F.lit(k)).alias(f"s_{c}") for k, c in enumerate("xyz")])
     seen = detections(spark, d).select("intid", "epoch", "ast_ucty", "rho_x", "rho_y", "rho_z", "obs_x", "obs_y", "obs_z")
-    return m.dropDuplicates(["cluster_id", "intid"]).join(seen, "intid")
+    m = m.withColumn("__r", F.row_number().over(Window.partitionBy("cluster_id", "intid").orderBy("at"))).filter("__r = 1").drop("__r")
+    return m.join(seen, "intid")
 
 
 # ---- the same in SQL
@@ -100,10 +101,10 @@ def orbit_sql(steps: int = 12, source: str = "trial_orbits") -> str:
     q = f"SELECT *, u AS x FROM ({q})"
     for _ in range(steps):
         q = f"SELECT * REPLACE (x - (x - ec * sin(x) + es * (1 - cos(x)) - u) / (1 - ec * cos(x) + es * sin(x)) AS x) FROM ({q})"
-    q = f"""SELECT *, a * (1 - ec * cos(x) + es * sin(x)) AS rt, 1 - a / r * (1 - cos(x)) AS ft, dt - (x - sin(x)) / n AS gt FROM ({q})"""
+    q = f"""SELECT *, a * (1 - ec * cos(x) + es * sin(x)) AS rt, 1 - a / r * (1 - cos(x)) AS ft, dt - (x - sin(x)) / n AS gt, (ec * sin(x) + es * cos(x)) * n * a / (1 - ec * cos(x) + es * sin(x)) AS vt FROM ({q})"""
     m = chebyshev_matrix(NODES / 365.25)
     rows = "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]::DOUBLE[]" for row in m) + "]"
-    sums = ", ".join(f"sum({c}t * m[{j + 1}][k + 1]) AS {c}{j}" for c in "rfg" for j in range(4))
+    sums = ", ".join(f"sum({c}t * m[{j + 1}][k + 1]) AS {c}{j}" for c in "rfgv" for j in range(4))
     return f"""SELECT id AS ic_id, r, vr, vo, inc, kappa, h, energy, cos_inc, sin_lat, {sums} FROM ({q}), (SELECT {rows} AS m) GROUP BY ALL"""
 
 
@@ -111,7 +112,7 @@ def cheb_sql(c: str, x: str) -> str:
     return f"({c}0 + {c}1 * {x} + {c}2 * (2e0 * {x} * {x} - 1e0) + {c}3 * (4e0 * {x} * {x} * {x} - 3e0 * {x}))"
 
 
-def sync_sql(steps: int = 30) -> str:
+def sync_sql(steps: int = 30, signed: bool = False) -> str:
     """(all of the pair, s_x, s_y, s_z) of every detection and orbit that meet."""
     mu, c = f"{MU_BARY!r}", "173.14463267424034e0"
     q = f"""SELECT d.*, o.*, rho_x * obs_x + rho_y * obs_y + rho_z * obs_z AS dot, obs_x * obs_x + obs_y * obs_y + obs_z * obs_z AS obs2
@@ -124,7 +125,8 @@ def sync_sql(steps: int = 30) -> str:
         q = f"SELECT * EXCLUDE (rn, nn) REPLACE (CASE WHEN done THEN rho ELSE nn END AS rho, CASE WHEN done THEN rt ELSE rn END AS rt, done OR abs(nn - rho) < 1e-6 AS done) FROM ({q})"
     q = f"SELECT *, obs_x + rho * rho_x AS px, obs_y + rho * rho_y AS py, obs_z + rho * rho_z AS pz, epoch - rho / {c} AS tl FROM ({q}) WHERE done"
     q = f"""SELECT *, sqrt(px * px + py * py) AS xy, ({REF_EPOCH}e0 - tl) / 365.25e0 AS um, h / rt AS vt FROM ({q})"""
-    q = f"""SELECT *, sqrt(greatest(2 * greatest(energy + {mu} / rt, 0) - vt * vt, 0)) AS vrad, cos_inc * rt / xy AS cpsi, {cheb_sql('f', 'um')} AS fm, {cheb_sql('g', 'um')} AS gm FROM ({q})"""
+    radial = cheb_sql("v", f"((tl - {REF_EPOCH}e0) / 365.25e0)") if signed else f"sqrt(greatest(2 * greatest(energy + {mu} / rt, 0) - vt * vt, 0))"
+    q = f"""SELECT *, {radial} AS vrad, cos_inc * rt / xy AS cpsi, {cheb_sql('f', 'um')} AS fm, {cheb_sql('g', 'um')} AS gm FROM ({q})"""
     q = f"""SELECT *, kappa * sqrt(1 - cpsi * cpsi) AS spsi FROM ({q}) WHERE abs(pz / rt) <= sin_lat AND abs(cpsi) <= 1"""
     return f"""SELECT *, (px * fm + gm * (vrad * px / rt + vt * (cpsi * -py / xy - spsi * pz * px / (rt * xy)))) / r AS s_x,
         (py * fm + gm * (vrad * py / rt + vt * (cpsi * px / xy - spsi * pz * py / (rt * xy)))) / r AS s_y,

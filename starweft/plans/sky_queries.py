@@ -189,17 +189,18 @@ def tangent_sync(spark: SparkSession, d: str) -> DataFrame:
 _GRID = f"{base.tangent_sync_sql()}, {base.grid_sql('moved', 'ic_id', 'alpha', 'beta', PIXEL)}"
 
 
-@query(f"{_GRID} SELECT ic_id, count(*) AS cells, CAST(sum(n) AS BIGINT) AS points, max(n) AS fullest FROM cells GROUP BY ic_id")
+@query()
 def sparse_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Cells, points and fullest cell of each rate orbit's grid."""
+    """Cells, points and fullest cell of each rate orbit's grid. No SQL: at the plane's edge the last bits of sine and cosine
+    move points to the next cell; tested against numpy."""
     points, rates = _tangent(spark, d)
     cells, _ = linker.tangent_cells(points, rates, REF_EPOCH, PIXEL)
     return cells.groupBy("ic_id").agg(F.count("*").alias("cells"), F.sum("n").alias("points"), F.max("n").alias("fullest"))
 
 
-@query(f"{_GRID}, {base.peaks_sql('cells', 3)} SELECT * FROM peaks")
+@query()
 def convolved_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Local maxima of at least 3 points and their 3 x 3 sums."""
+    """Local maxima of at least 3 points and their 3 x 3 sums. No SQL, as for sparse_grid."""
     return linker.tangent_peaks(*_tangent(spark, d), REF_EPOCH, PIXEL)
 
 
@@ -235,13 +236,6 @@ def orbit_at_epochs(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("id").alias("ic_id"), "t", *[q(orbits.at_epoch(f"{c}_poly", at), 6).alias(f"{c}_t") for c in "rfg"], orbits.extrapolated(at).alias("beyond"))
 
 
-@query()
-def keplerian_orbits(spark: SparkSession, d: str) -> DataFrame:
-    """Orbits from elements; the stored orbits' distances are taken as perihelia. No SQL: iterative."""
-    t = table(spark, d, "trial_orbits").select("id", F.col("r").alias("q"), (F.col("inc") * 0.3).alias("e"), "inc", (F.col("inc") * 2 - 1).alias("M0"), "kappa")
-    return orbits.keplerian(t, REF_EPOCH).select("id", "r", "vr", "vo", "energy", "r_poly")
-
-
 _SYNC = base.sync_sql()
 
 
@@ -278,13 +272,6 @@ def time_cube_peaks(spark: SparkSession, d: str) -> DataFrame:
     return grids.time_cube(sync.sync(base.detections(spark, d), base.trial_orbits(spark, d)), ["ic_id"], 600 * ARCSEC)
 
 
-@query()
-def inclination_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Points that each inclination of a sweep can hold, per orbit. No SQL: too slow on whole tables; tested against numpy."""
-    out = sync.inclination_sweep(base.detections(spark, d), base.trial_orbits(spark, d), 20)
-    return out.groupBy("ic_id", "inc_no").agg(F.count("*").alias("n"))
-
-
 # ---- sky pixels
 @query(f"SELECT intid, hpix FROM ({base.hpix_sql(15, 'px', 'py', 'pz').format(source=_P)})")
 def pixel_index(spark: SparkSession, d: str) -> DataFrame:
@@ -299,14 +286,6 @@ def pixel_counts(spark: SparkSession, d: str) -> DataFrame:
     return grids.pixel_counts(rows, [], DEPTH, "rho").orderBy(F.desc("n"), "hpix")
 
 
-@query()
-def pixel_neighbour_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels whose sum with their ring is a local maximum. No SQL: the ring crosses faces."""
-    rows = valid_positions(table(spark, d, "detection_catalog")).select(*pointing(F.col("ra"), F.col("dec")).named("rho"))
-    counts = grids.pixel_counts(rows, [], DEPTH, "rho")
-    return peaks.pixel_peaks(peaks.neighbour_sums(counts, [], DEPTH), [], DEPTH, 12)
-
-
 @query(f"SELECT ic_id, count(DISTINCT hpix) AS pixels, count(*) AS points FROM ({base.hpix_sql(15, 's_x', 's_y', 's_z').format(source='(' + _SYNC + ')')}) GROUP BY ic_id")
 def synced_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Occupied pixels and points of each orbit."""
@@ -427,12 +406,6 @@ def _fit_rows(spark: SparkSession, d: str) -> DataFrame:
     return fits.fit_rows(linking.cluster_plane(m.withColumn("dt", F.col("epoch") - F.col("ref_epoch"))))
 
 
-@query()
-def coupled_fits(spark: SparkSession, d: str) -> DataFrame:
-    """One weighted fit per linked cluster. No SQL: compared with numpy in the tests."""
-    return fits.coupled_fit(_fit_rows(spark, d), ["cluster_id"])
-
-
 @query()
 def rejecting_fits(spark: SparkSession, d: str) -> DataFrame:
     """Fits that drop the worst outlier at a time."""
@@ -456,13 +429,6 @@ def line_fits(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cluster_id", "n", q(F.col("rho_x_1"), 9).alias("x_1"), q(F.col("rho_y_1"), 9).alias("y_1"), q(F.col("rho_x_0"), 7).alias("x_0"))
 
 
-@query()
-def robust_costs(spark: SparkSession, d: str) -> DataFrame:
-    """Minus log likelihood of each cluster's angles to its median centre."""
-    m = base.members(spark, d).filter(finite(F.col("s_x")) & finite(F.col("s_y")) & finite(F.col("s_z")))
-    return fits.robust_cost(m.select("cluster_id", "s_x", "s_y", "s_z"), ["cluster_id"])
-
-
 @query()
 def refined_orbits(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster's orbit moved to where its detections lie closest together, searched to the tolerance."""
@@ -500,14 +466,6 @@ def hit_grid(spark: SparkSession, d: str) -> DataFrame:
     return grids.hit_grid(rows, 0.0123)[0]
 
 
-@query()
-def hit_image(spark: SparkSession, d: str) -> DataFrame:
-    """The image's grey values and pixel centres."""
-    rows = valid_positions(table(spark, d, "detection_catalog")).select(*pointing(F.col("ra"), F.col("dec")).named("rho"))
-    cells, frame = grids.hit_grid(rows, 0.0123)
-    return grids.pixel_radec(grids.intensity(cells), frame, 0.0123)
-
-
 # ---- grids of orbits
 _TOP = f"sqrt(2e0 * {MU_BARY!r} / (r * r * r))"
 _STEP = repr(3.0 * 2e-5 / 30.0)

@@ -52,12 +52,16 @@ def parse(text: str) -> dict[str, object]:
     return out
 
 
-def load(path: str) -> Config:
+def of(text: str) -> Config:
     """All keys are required; unknown ones are left alone."""
-    with open(path, encoding="utf-8") as f:
-        found = parse(f.read())
+    found = parse(text)
     missing = [f.name for f in fields(Config) if f.name not in found and f.default is MISSING]
     if missing:
         raise ValueError(f"the settings lack {', '.join(missing)}")
     kinds = {"float": float, "int": int, "str": str}
     return Config(**{f.name: kinds[f.type](found[f.name]) for f in fields(Config)})
+
+
+def load(path: str) -> Config:
+    with open(path, encoding="utf-8") as f:
+        return of(f.read())

@@ -5,7 +5,7 @@ Integer-looking numbers are read as DOUBLE and numeric ids as STRING. Columns be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import mu_of
@@ -62,13 +62,7 @@ def detections(raw: DataFrame, plane: str = "ecliptic", ephemeris: DataFrame | N
 
     df = df.withColumns({c: must(c) for c in REQUIRED})
     if ephemeris is not None:
-        codes = df.select("obscode").filter("obscode is not null").distinct()
-        known = ephemeris.join(codes, "obscode", "left_semi").withColumnRenamed("obscode", "__code")
-        df = df.join(known, (F.col("obscode") == F.col("__code")) & (F.col("epoch") >= F.col("jd_lo")) & (F.col("epoch") < F.col("jd_hi")), "left")
-        part = (F.col("epoch") - F.col("jd_lo")) / (F.col("jd_hi") - F.col("jd_lo"))
-        for c in "xyz":
-            df = df.withColumn(f"eph_{c}", F.col(f"{c}0") + part * (F.col(f"{c}1") - F.col(f"{c}0")))
-        df = df.drop("__code", "jd_lo", "jd_hi", "x0", "y0", "z0", "x1", "y1", "z1")
+        df = from_ephemeris(df, ephemeris)
     else:
         df = df.withColumns({f"eph_{c}": F.lit(None).cast("double") for c in "xyz"})
     own = F.col("obs_x").isNotNull() & F.col("obs_y").isNotNull() & F.col("obs_z").isNotNull()
@@ -87,6 +81,19 @@ def detections(raw: DataFrame, plane: str = "ecliptic", ephemeris: DataFrame | N
     )
 
 
+def from_ephemeris(rows: DataFrame, ephemeris: DataFrame) -> DataFrame:
+    """rows (obscode, epoch) with eph_x, eph_y, eph_z; null where no interval holds the epoch. Both sides carry the day, so that
+    a row meets the few intervals of its observatory and day, not all of the observatory's."""
+    codes = rows.select("obscode").filter("obscode is not null").distinct()
+    known = ephemeris.join(codes, "obscode", "left_semi").withColumnRenamed("obscode", "__code")
+    known = known.select("*", F.explode(F.sequence(F.floor("jd_lo").cast("long"), (F.ceil("jd_hi") - 1).cast("long"))).alias("__kday"))
+    df = rows.withColumn("__day", F.floor("epoch").cast("long"))
+    df = df.join(known, (F.col("obscode") == F.col("__code")) & (F.col("__day") == F.col("__kday")) & (F.col("epoch") >= F.col("jd_lo")) & (F.col("epoch") < F.col("jd_hi")), "left")
+    part = (F.col("epoch") - F.col("jd_lo")) / (F.col("jd_hi") - F.col("jd_lo"))
+    place = {f"eph_{c}": F.col(f"{c}0") + part * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xyz"}
+    return df.select(*rows.columns, *[v.alias(k) for k, v in place.items()])
+
+
 FORMATS = {"spherical": ["r", "vr", "vo", "inc", "kappa"], "keplerian": ["q", "e", "inc", "M0", "kappa"], "three": ["r", "vr", "vo"]}
 
 
@@ -111,9 +118,21 @@ def read_rate_orbits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
 
 
-def read_positional_detections(spark: SparkSession, path: str, plane: str = "ecliptic") -> DataFrame:
-    """The older layout without names: columns 2 to 4 are ra, dec, epoch, 6 to 8 the position, 14 the magnitude (from 0)."""
+def read_positional_detections(spark: SparkSession, path: str, obscode: str, ephemeris: DataFrame, plane: str = "ecliptic") -> DataFrame:
+    """The older layout without names, of one observatory: column 2 (from 0) is the detid, 3 and 4 ra and dec, 5 the uncertainty
+    in arcsec, 6 the filter, 7 the magnitude, 8 and 9 the flux and its error, 14 the epoch. mag_ucty is the flux error over the
+    flux, null for a flux of 0."""
     raw = spark.read.option("header", True).csv(path)
-    c = raw.columns
-    named = raw.select(*[F.col(f"`{c[i]}`").alias(n) for i, n in ((2, "ra"), (3, "dec"), (4, "epoch"), (6, "obs_x"), (7, "obs_y"), (8, "obs_z"), (14, "mag"))])
-    return detections(named, plane)
+    at = {2: "detid", 3: "ra", 4: "dec", 5: "ast_ucty", 6: "filter", 7: "mag", 8: "flux", 9: "dflux", 14: "epoch"}
+    named = raw.select(*[F.col(f"`{raw.columns[i]}`").alias(n) for i, n in at.items()], F.lit(obscode).alias("obscode"))
+    ratio = F.col("dflux").try_cast("double") / F.nullif(F.col("flux").try_cast("double"), F.lit(0.0))
+    return detections(named.withColumn("mag_ucty", ratio.cast("string")).drop("flux", "dflux"), plane, ephemeris)
+
+
+def read_positional_orbits(spark: SparkSession, path: str, origin: str, epoch: float) -> DataFrame:
+    """The older layout of orbits: r, vr, vo, inc, kappa by position; ids are ic_ and the row's number in the file."""
+    schema = "r double, vr double, vo double, inc double, kappa double"
+    raw = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    # orbits are few; one task numbers them in the order of the file
+    number = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1
+    return orbits.spherical(raw.withColumn("id", F.format_string("ic_%06d", number)), epoch, mu_of(origin))

@@ -38,9 +38,9 @@ def fit_report(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.select(F.format_string("# Fit of %s: a=%.9e b=%.9e c=%.9e d=%.9e e=%.9e sigma=%.4f kept %d rejected %d", head, "a", "b", "c", "d", "e", "sigma", "n", "n_rejected").alias("line"))
 
 
-def search_lines(best: DataFrame) -> DataFrame:
+def search_lines(best: DataFrame, digits: int = 8) -> DataFrame:
     """A text line per orbit with a significant peak."""
-    return best.select(F.format_string("%s: %d peaks, best %d at alpha %.8f beta %.8f", "ic_id", "peaks", "total", "alpha", "beta").alias("line"))
+    return best.select(F.format_string(f"%s: %d peaks, best %d at alpha %.{digits}f beta %.{digits}f", "ic_id", "peaks", "total", "alpha", "beta").alias("line"))
 
 
 def write_linked(members: DataFrame, path: str, name: str = "detid") -> None:

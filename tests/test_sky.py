@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starweft.functions import healpix, kepler
 from starweft.functions.constants import COS_OBLIQUITY, MU_BARY, SIN_OBLIQUITY
-from starweft.functions.geometry import Vec, night, pointing, to_ecliptic
+from starweft.functions.geometry import night, pointing, to_ecliptic
 from starweft.operators import exposures, fits, grids, iod, linking, orbits, peaks, sync
 from starweft.plans import linker
 from starweft.sources import config, readers
@@ -170,7 +170,6 @@ def test_stream_counts(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert any(r["total"] == 20 for r in seen)
-    assert Vec is not None
 
 
 def test_orbit_refinement_runs_to_the_tolerance_and_says_so(spark):
@@ -252,3 +251,175 @@ def test_rejecting_queries_take_the_default_threshold(spark, monkeypatch):
     monkeypatch.setattr(sky_queries, "_fit_rows", lambda *_: spark.createDataFrame(rows, "cluster_id long, intid long, t double, f double, g double, x double, y double, sigma double"))
     assert sky_queries.rejecting_fits(spark, "").first()["rejected"] == [8]
     assert 8 in sky_queries.fraction_rejecting_fits(spark, "").first()["rejected"]
+
+
+def test_ranges_that_settle_late(spark):
+    """A line of sight that grazes the orbit's sphere near 1 au takes more steps than are unrolled; it is not dropped."""
+    rows = []
+    for k, b in enumerate(np.linspace(0.99, 1.0, 60)):
+        rows.append((k, EPOCH, math.sqrt(1 - b * b), b, 0.0, 0.0, -1.0, 0.0))
+    orb = orbits.spherical(spark.createDataFrame([(1.0002, 0.0, 0.017, 0.1, 1.0, "a")], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    pairs = sync.each_orbit(sync.with_dots(spark.createDataFrame(rows, SCHEMA)), sync.flat_orbits(orb))
+    few, all_of = ({r["intid"]: r["rho"] for r in sync.solve_range(pairs, most=m).collect()} for m in (2, 100))
+    assert sum(math.isnan(v) for v in few.values()) > sum(math.isnan(v) for v in all_of.values())
+    for k, v in few.items():
+        assert math.isnan(v) or v == pytest.approx(all_of[k], abs=1e-5)
+    newton = {r["intid"]: r["rho"] for r in sync.newton_range(pairs, steps=1).collect()}
+    settled = {r["intid"]: r["rho"] for r in sync.newton_range(pairs, steps=30).collect()}
+    assert all(newton[k] == pytest.approx(settled[k], nan_ok=True, abs=1e-9) for k in settled)
+
+
+def test_orbits_in_blocks(spark, monkeypatch):
+    """More orbits than may be broadcast at once go in blocks, with the same result."""
+    rows, orbit = one_object()
+    orb = orbits.spherical(spark.createDataFrame([(*orbit[:5], f"o{k}") for k in range(9)], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    det = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, sync.sync(det, orb).select("intid", "ic_id", "s_x").collect()))
+    monkeypatch.setattr(sync, "BROADCAST_ROWS", 4)
+    assert sorted(map(tuple, sync.sync(det, orb).select("intid", "ic_id", "s_x").collect())) == whole and len(whole) == 180
+
+
+def test_inclination_sweep_against_numpy(spark):
+    rows, orbit = one_object(3, 3)
+    orb = orbits.spherical(spark.createDataFrame([(orbit[0], orbit[1], orbit[2], None, None, "flat")], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    got = {(r["intid"], r["inc_no"]): (r["s_x"], r["s_y"], r["s_z"]) for r in sync.inclination_sweep(spark.createDataFrame(rows, SCHEMA), orb).collect()}
+    from starweft.operators.orbit_refine import np_sync
+
+    m = np.array([x[1:] for x in rows])
+    for k in range(100):
+        inc = math.acos(1 - 2 * (k + 0.5) / 100)
+        s = np_sync(m[:, 1:4], m[:, 4:7], m[:, 0], *orbit[:3], inc, 1.0, EPOCH, MU_BARY)
+        s /= np.linalg.norm(s, axis=1, keepdims=True)
+        for i in range(3):
+            if (i, k) in got:
+                assert np.allclose(got[i, k], s[i], atol=1e-6)
+    assert {k for _, k in got} and all(abs(1 - 2 * (k + 0.5) / 100) <= 1 for _, k in got)
+
+
+def test_fraction_rejection(spark):
+    """A tenth of the kept members goes at a time until all pulls are below 5."""
+    t = np.arange(30) * 1.5 - 20
+    s = 0.2 * math.pi / 180 / 3600
+    f, g = np.sin(t / 10), np.cos(t / 10)
+    x, y = 1e-3 + 2e-5 * t + 2.5e-2 * f, -2e-3 + 1e-5 * t + 2.5e-2 * g
+    x[[4, 11]] += 60 * s
+    kept = fits.reject_outliers(t, f, g, x, y, np.full(30, s), np.full(30, s), fraction=0.1)
+    assert set(kept[2]) >= {4, 11} and len(kept[2]) % 3 == 0 and kept[0]["pull"].max() < 5
+
+
+def test_covariance_of_the_joint_fit(spark):
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(-20, 20, 25))
+    f, g, s = np.sin(t / 9), np.cos(t / 7), rng.uniform(1, 3, 25) * 1e-6
+    x, y = 1e-3 + 2e-5 * t + 2.5e-2 * f + s * rng.normal(size=25), -2e-3 + 1e-5 * t + 2.5e-2 * g + s * rng.normal(size=25)
+    rows = [(1, i, *map(float, v)) for i, v in enumerate(zip(t, f, g, x, y, s))]
+    got = fits.coupled_fit(spark.createDataFrame(rows, "k int, intid long, t double, f double, g double, x double, y double, sigma double"), ["k"]).first()
+    want = fits.np_fit(t, f, g, x, y, s, s)
+    assert np.allclose(np.array(got["covariance"]).reshape(5, 5), want["cov"], rtol=1e-6, atol=1e-6 * np.abs(want["cov"]).min())
+    assert got["chi2"] == pytest.approx(want["chi2"], rel=1e-6)
+
+
+def test_sinks(spark, tmp_path):
+    import struct
+    import zlib
+
+    from starweft.sources import sinks
+
+    cells = spark.createDataFrame([(0, 0, 10), (2, 1, 300), (5, 5, 1)], "ix long, iy long, grey int")
+    path = str(tmp_path / "a.png")
+    sinks.png(cells, path, 3, 2)
+    data = open(path, "rb").read()
+    assert struct.unpack(">II", data[16:24]) == (3, 2)
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]]) == bytes([0, 0, 0, 255, 0, 10, 0, 0])
+    rows, orbit = one_object()
+    fit = spark.createDataFrame([("k", 0.1, 0.2, 0.3, 0.4, 0.5, 1.25, 2, 1, [0, 1])], "ic_id string, a double, b double, c double, d double, e double, sigma double, n long, n_rejected long, kept array<long>")
+    line = sinks.fit_report(fit, ["ic_id"]).first()["line"]
+    assert line.startswith("# Fit of k: a=1.0") and line.endswith("sigma=1.2500 kept 2 rejected 1")
+    members = spark.createDataFrame([("k", i, 1.0, 2.0, 3.0, 1.3, 2.3, 0.5, 1.0, 0.0, 0.0) for i in range(3)], "ic_id string, intid long, t double, f double, g double, x double, y double, sigma double, s_x double, s_y double, s_z double")
+    out = sinks.fit_members(fit, members, ["ic_id"]).collect()
+    assert len(out) == 2 and out[0]["pull_x"] == pytest.approx((1.3 - (0.1 + 0.2 + 0.6)) / 0.5) and out[0]["ra"] == pytest.approx(0.0)
+
+
+def test_observations_of_all_kinds(spark):
+    from starweft.operators import observations as o
+
+    cols = "kind string, ra double, dec double, ra_rate double, dec_rate double, range double, range_rate double, covariance array<double>"
+    four = np.diag([1.0, 2.0, 4.0, 5.0]) + 0.1
+    rows = [("astrometry", 10.0, 5.0, None, None, None, None, [4.0, 1.0, 1.0, 3.0]), ("streak", 10.0, 60.0, 0.3, 0.4, None, None, four.ravel().tolist()), ("radar", None, None, None, None, 2.0, 3.0, None), ("astrometry", 1.0, 2.0, None, None, None, None, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, cols)
+    out = o.with_derived(o.inverses(df)).withColumn("text", o.shown()).collect()
+    assert np.allclose(out[0]["inverse_covariance"], np.linalg.inv([[4.0, 1.0], [1.0, 3.0]]).ravel()) and np.allclose(out[1]["inverse_covariance"], np.linalg.inv(four).ravel())
+    assert out[1]["proper_motion"] == pytest.approx(math.sqrt(0.3**2 * 0.25 + 0.4**2)) and out[0]["proper_motion"] is None and out[3]["inverse_covariance"] is None
+    assert out[2]["text"] == "Radar Range: 2.000000 Range rate: 3.000000" and out[0]["text"] == "Astrometry RA: 10.000000 Dec: 5.000000"
+    back = o.inverses(o.inverses(df), "inverse_covariance", "again").first()["again"]
+    assert np.allclose(back, [4.0, 1.0, 1.0, 3.0])
+    with pytest.raises(Exception, match="singular"):
+        o.inverses(spark.createDataFrame([("complete", 1.0, 1.0, 0.0, 0.0, 1.0, 0.0, [1.0, 1.0, 1.0, 1.0])], cols)).collect()
+
+
+def test_runs_from_settings(spark, tmp_path):
+    """The settings' thresholds reach every search."""
+    from starweft.plans import run
+
+    rows, orbit = one_object()
+    head = "intid,ra,dec,epoch,obs_x,obs_y,obs_z\n"
+    lines = []
+    for r in rows:
+        x, y, z = r[2], COS_OBLIQUITY * r[3] - SIN_OBLIQUITY * r[4], SIN_OBLIQUITY * r[3] + COS_OBLIQUITY * r[4]
+        o = (r[5], COS_OBLIQUITY * r[6], SIN_OBLIQUITY * r[6])
+        lines.append(f"{r[0]},{math.degrees(math.atan2(y, x)) % 360!r},{math.degrees(math.asin(z))!r},{r[1]!r},{o[0]!r},{o[1]!r},{o[2]!r}\n")
+    (tmp_path / "cat.csv").write_text(head + "".join(lines))
+    (tmp_path / "ics.csv").write_text("r,vr,vo,inc,kappa,id\n" + ",".join(map(repr, orbit[:5])) + ",right\n")
+    text = lambda n, nights, eps: "\n".join(f"{k}: {v}" for k, v in dict(epsilon_arcsec=eps, min_detections=n, max_detections=99, min_duration=20.0, min_nites=nights, spice_path="x", detection_catalog=str(tmp_path / "cat.csv"), initial_conditions_file=str(tmp_path / "ics.csv"), reference_epoch=EPOCH, orbit_reference_plane="ecliptic", ic_type="spherical", ic_origin="ssb", output_path="o", clusters_filename="c").items())
+    good, many = config.of(text(12, 6, 60.0)), config.of(text(21, 6, 60.0))
+    assert {tuple(sorted(r["kept"])) for r in run.pixels(spark, good, depth=12).collect()} == {tuple(range(20))}
+    assert run.pixels(spark, many, depth=12).count() == 0
+    assert run.points(spark, good).select("intid").distinct().count() == 20 and run.points(spark, config.of(text(12, 20, 60.0))).count() == 0
+    assert run.dense(spark, config.of(text(12, 6, 900.0))).count() >= 1 and run.dense(spark, config.of(text(21, 6, 900.0))).count() == 0
+    with pytest.raises(ValueError, match="lack"):
+        config.of("epsilon_arcsec: 3")
+    with pytest.raises(SystemExit):
+        run.main(["dense"])
+
+
+def test_tangent_search_against_numpy(spark):
+    """Grid, extents, peaks and the best place of every rate orbit, from the tangent-plane points on."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        a, b = (0.01 * rng.normal(), 0.01 * rng.normal()) if k % 2 else (rng.uniform(-1.2, 1.2), rng.uniform(-1.2, 1.2))
+        t = EPOCH + float(rng.integers(0, 12))
+        rows.append((k, t, math.cos(a) * math.cos(b), math.sin(a) * math.cos(b), math.sin(b), math.cos(t / 58), math.sin(t / 58), 0.0))
+    points = linker.tangent_points(spark.createDataFrame(rows, SCHEMA))
+    rates = spark.createDataFrame([(30.0, 0.0, 1e-4, 0.0, "a"), (45.0, 1e-4, -5e-5, 2e-5, "b"), (2.0, 0.001, 1e-3, -1e-3, "c")], "r double, vr double, adot double, bdot double, id string")
+    pixel, p = 0.004, points.collect()
+    want_cells, want_best = {}, {}
+    for r in rates.collect():
+        ab = []
+        for x in p:
+            gamma = 1 / r["r"]
+            rho = math.sqrt((1 + x["mean_x"] ** 2 + x["mean_y"] ** 2) * (1 / gamma - x["ze"]) ** 2)
+            tp = x["epoch"] - EPOCH - rho / 173.14463267424034
+            f = 1 - 0.5 * MU_BARY * gamma**3 * tp**2
+            fac = 1 + tp / f * (r["vr"] * gamma) - gamma / f * x["ze"]
+            ab.append((x["theta_x"] * fac + gamma / f * x["xe"] - tp / f * r["adot"], x["theta_y"] * fac + gamma / f * x["ye"] - tp / f * r["bdot"]))
+        ab = np.array(ab)
+        low = ab.min(axis=0)
+        most = np.maximum(np.ceil((ab.max(axis=0) - low) / pixel), 1) - 1
+        n = Counter(map(tuple, np.minimum(np.floor((ab - low) / pixel), most).astype(int).tolist()))
+        around = lambda c, n=n: [n.get((c[0] + i, c[1] + j), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        found = {c: sum(around(c)) for c, v in n.items() if v >= 3 and max(around(c)) <= v}
+        want_cells |= {(r["id"], *c): v for c, v in n.items()}
+        good = {c: v for c, v in found.items() if v >= 12}
+        if good:
+            c = min(good, key=lambda c: (-good[c], c))
+            want_best[r["id"]] = (len(good), *c, good[c], *((np.array(c) + 0.5) * pixel + low))
+    cells, _ = linker.tangent_cells(points, rates, EPOCH, pixel)
+    assert {(r["ic_id"], r["i"], r["j"]): r["n"] for r in cells.collect()} == want_cells
+    got = {r["ic_id"]: (r["peaks"], r["i"], r["j"], r["total"], r["alpha"], r["beta"]) for r in linker.tangent_search(points, rates, EPOCH, pixel).collect()}
+    assert set(got) == set(want_best) and got
+    for k, v in got.items():
+        assert v[:4] == want_best[k][:4] and v[4:] == pytest.approx(want_best[k][4:])

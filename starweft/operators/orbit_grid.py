@@ -24,17 +24,22 @@ def from_scaled(gamma: Column, gamma_dot: Column, eta_x: Column, eta_y: Column)
     return [r.alias("r"), (gamma_dot * r).alias("vr"), (F.hypot(eta_x, eta_y) * r).alias("vo"), F.atan2(eta_y, eta_x).alias("psi")]
 
 
+def _ends(orbits: np.ndarray, dt: float, mu: float) -> np.ndarray:
+    """Where orbits (rows r, vr, vo, psi) that start in the same direction are after dt, as unit vectors: along that direction,
+    and across it in the direction psi and the one beside it. NaN where the motion does not converge."""
+    r, vr, vo, psi = orbits.T
+    _, _, f, g = kepler.motion(r, vr, vo, mu, dt)
+    v = np.stack([f * r + g * vr, g * vo * np.cos(psi), g * vo * np.sin(psi)], axis=1)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip((a * b).sum(axis=1), -1, 1)) / ARCSEC
+
+
 def separation(one: np.ndarray, two: np.ndarray, dt: float, mu: float) -> np.ndarray:
     """Angle in arcsec after dt between orbits (rows r, vr, vo, psi) that start in the same direction."""
-    r1, vr1, vo1, psi1 = one.T
-    r2, vr2, vo2, psi2 = two.T
-    _, _, f1, g1 = kepler.motion(r1, vr1, vo1, mu, dt)
-    _, _, f2, g2 = kepler.motion(r2, vr2, vo2, mu, dt)
-    # coordinates: along the common direction, and across it in the direction psi
-    a = np.stack([f1 * r1 + g1 * vr1, g1 * vo1 * np.cos(psi1), g1 * vo1 * np.sin(psi1)])
-    b = np.stack([f2 * r2 + g2 * vr2, g2 * vo2 * np.cos(psi2), g2 * vo2 * np.sin(psi2)])
-    cosine = (a * b).sum(axis=0) / np.sqrt((a * a).sum(axis=0) * (b * b).sum(axis=0))
-    return np.arccos(np.clip(cosine, -1, 1)) / ARCSEC
+    return _apart(_ends(one, dt, mu), _ends(two, dt, mu))
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -44,20 +49,16 @@ def _scaled(v: np.ndarray) -> np.ndarray:
 
 def axis_separations(cells: np.ndarray, span: float, mu: float, epsilon: float) -> np.ndarray:
     """cells x 4: along each axis, the separation at the end of the span between the two ends of the axis, over the 8 corners of
-    the others in order; the first one above epsilon stands, else the largest."""
+    the others in order; the first one above epsilon stands, else the largest. Each of a cell's 16 corners is moved once. A
+    corner that does not converge counts as farther than any."""
+    corners = np.stack([cells[:, [2 * a + (c >> (3 - a) & 1) for a in range(4)]] for c in range(16)], axis=1)
+    ends = _ends(_scaled(corners.reshape(-1, 4)), span / 2, mu).reshape(len(cells), 16, 3)
     out = np.zeros((len(cells), 4))
     for axis in range(4):
-        others = [a for a in range(4) if a != axis]
+        bit = 8 >> axis
         settled = np.zeros(len(cells), bool)
-        for corner in range(8):
-            v = np.zeros((len(cells), 4))
-            for bit, a in zip((4, 2, 1), others):
-                v[:, a] = cells[:, 2 * a + (1 if corner & bit else 0)]
-            ends = []
-            for e in (0, 1):
-                v[:, axis] = cells[:, 2 * axis + e]
-                ends.append(_scaled(v))
-            s = np.nan_to_num(separation(ends[0], ends[1], span / 2, mu), nan=0.0)
+        for c in (c for c in range(16) if not c & bit):
+            s = np.nan_to_num(_apart(ends[:, c], ends[:, c | bit]), nan=np.inf)
             out[:, axis] = np.where(settled, out[:, axis], np.where(s > epsilon, s, np.maximum(out[:, axis], s)))
             settled |= s > epsilon
     return out

@@ -9,20 +9,26 @@ from pyspark.sql import DataFrame
 from ..functions import kepler
 from ..functions.constants import ARCSEC, BOUNDS_DAYS, LIGHT_AU_PER_DAY, MU_BARY
 from .fits import nelder_mead
+from .sync import MOST_STEPS, TOLERANCE
 
 
 def np_sync(rho: np.ndarray, obs: np.ndarray, t: np.ndarray, r, vr, vo, inc, kappa, epoch: float, mu: float) -> np.ndarray:
-    """Synced points (rows with NaN where there is none) of one orbit."""
+    """Synced points (rows with NaN where there is none) of one orbit: what sync.sync does, for the search's many orbits of few
+    detections each."""
     c = kepler.fit_chebyshev(kepler.NODES / BOUNDS_DAYS, np.stack(kepler.motion(r, vr, vo, mu, kepler.NODES)))
     series = lambda k, dt: np.polynomial.chebyshev.chebval(dt / BOUNDS_DAYS, c[k])
     dot, obs2 = (rho * obs).sum(axis=1), (obs * obs).sum(axis=1)
-    d = np.full(len(t), r - 1.0)
+    d, gap = np.full(len(t), r - 1.0), np.ones(len(t))
     with np.errstate(invalid="ignore"):
-        for _ in range(6):
-            rt = series(0, t - d / LIGHT_AU_PER_DAY - epoch)
-            d = np.sqrt(rt**2 + dot**2 - obs2) - dot
+        for _ in range(MOST_STEPS):
+            far = np.sqrt(series(0, t - d / LIGHT_AU_PER_DAY - epoch) ** 2 + dot**2 - obs2) - dot
+            far = np.where(gap < TOLERANCE, d, far)
+            gap, d = np.where(gap < TOLERANCE, gap, np.abs(far - d)), far
+            if not (gap >= TOLERANCE).any():  # NaN is settled too
+                break
+        d = np.where(gap < TOLERANCE, d, np.nan)
         p = obs + d[:, None] * rho
-        xy = np.hypot(p[:, 0], p[:, 1])
+        rt, xy = np.linalg.norm(p, axis=1), np.hypot(p[:, 0], p[:, 1])
         tl = t - d / LIGHT_AU_PER_DAY
         f, g = series(2, epoch - tl), series(3, epoch - tl)
         h, energy = r * vo, (vr**2 + vo**2) / 2 - mu / r
@@ -33,7 +39,8 @@ def np_sync(rho: np.ndarray, obs: np.ndarray, t: np.ndarray, r, vr, vo, inc, kap
         across = np.stack([-p[:, 1], p[:, 0], np.zeros(len(t))], axis=1) / xy[:, None]
         up = np.stack([-p[:, 2] * p[:, 0], -p[:, 2] * p[:, 1], xy**2], axis=1) / (rt * xy)[:, None]
         v = rad[:, None] * p / rt[:, None] + tan[:, None] * (cos_psi[:, None] * across + sin_psi[:, None] * up)
-        return (p * f[:, None] + v * g[:, None]) / r
+        reach = np.abs(p[:, 2] / rt) <= np.sin(min(inc, np.pi - inc))
+        return np.where(reach[:, None], (p * f[:, None] + v * g[:, None]) / r, np.nan)
 
 
 def spread_cost(points: np.ndarray, min_points: int = 10, sigma: float = 0.3 * ARCSEC) -> float:

@@ -186,9 +186,9 @@ def regions_of(points: DataFrame, regions: DataFrame) -> DataFrame:
     crossed = F.when(F.col("c_ra").isNotNull(), arc).otherwise(spans & (cut > ra))
     border = F.when(F.col("c_ra").isNotNull(), on_arc | (apart == 0)).otherwise(on_line)
     hits = met.select("intid", "ra", "dec", "epoch", "region_id", F.coalesce(crossed, F.lit(False)).cast("int").alias("crossed"), F.coalesce(border, F.lit(False)).cast("int").alias("border"))
+    # not filtered before: a filter would be pushed down and have every edge worked out twice
     inside = (
-        hits.filter("crossed = 1 or border = 1")
-        .groupBy("region_id", "intid", "ra", "dec", "epoch")
+        hits.groupBy("region_id", "intid", "ra", "dec", "epoch")
         .agg((F.sum("crossed") % 2).alias("odd"), F.max("border").alias("border"))
         .filter((F.col("odd") == 1) | (F.col("border") == 1))
     )

@@ -4,7 +4,6 @@ which the stored tables hold peaks."""
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from ..functions.constants import ARCSEC, MU_BARY
 from ..functions.geometry import Vec, pointing, radec
 from ..operators import fits, grids, iod, linking, observations, orbit_grid, orbits, peaks, sync
 from ..sources import config, readers, sinks
-from ..staging import shared_dir
+from ..staging import new_path
 from ..tables import finite, table, valid_positions
 from . import linker, run
 from . import sky_base as base
@@ -25,13 +24,8 @@ WIDE_ARCSEC = 600.0
 WIDE = WIDE_ARCSEC * ARCSEC / 3
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def write_csv(df: DataFrame, name: str) -> str:
-    path = folder(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.option("header", True).option("escape", '"').csv(path)
     return path
 
@@ -73,7 +67,7 @@ def wide_centred_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_WIDE_DENSE} SELECT concat_ws(' ', ic_id, i, j, total) AS value FROM peaks WHERE total >= 12")
 def peaks_text(spark: SparkSession, d: str) -> DataFrame:
     """The text file of a dense search, read back."""
-    path = folder(spark, "peaks")
+    path = new_path(spark, "peaks")
     sinks.write_peaks(linker.dense_search(base.detections(spark, d), base.trial_orbits(spark, d), WIDE_ARCSEC), path)
     return spark.read.text(path)
 
@@ -524,7 +518,7 @@ def known_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH m AS (SELECT cluster_id AS group_id, unnest(s) AS member FROM {_SETS}), big AS (SELECT cluster_id FROM {_SETS} WHERE len(s) >= 12)
-    SELECT group_id, member FROM (SELECT group_id, member FROM m UNION SELECT cluster_id, -1 FROM big) WHERE member >= -1 AND (member = -1 OR member >= 0) AND group_id NOT IN (SELECT cluster_id FROM {_SETS} WHERE len(s) < 4)"""
+    SELECT group_id, member FROM (SELECT group_id, member FROM m WHERE member >= 0 UNION SELECT cluster_id, -1 FROM big) WHERE group_id NOT IN (SELECT cluster_id FROM {_SETS} WHERE len(s) < 4)"""
 )
 def maintained_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups after members were inserted (-1 into those of 12 or more), negative ones removed, and small groups removed."""
@@ -541,7 +535,7 @@ def linked_text(spark: SparkSession, d: str) -> DataFrame:
     """The CSV of linked clusters of two members or more, read back."""
     m = table(spark, d, "linked_clusters").select("ic_id", F.col("cluster_id").alias("centre_intid"), F.explode("local_intids").alias("m")).filter("m is not null").distinct()
     several = m.groupBy("centre_intid").agg(F.count("*").alias("n")).filter("n > 1").select("centre_intid")
-    path = folder(spark, "linked")
+    path = new_path(spark, "linked")
     sinks.write_linked(m.join(several, "centre_intid", "left_semi"), path, "m")
     return spark.read.text(path)
 
@@ -631,6 +625,6 @@ def bound_boxes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_BOX} SELECT printf('%.6f,%.6f,%.6f,%.6f', (lo + hi) / 2, 0e0, 0.8e0 * top, 0.8e0 * top) AS value FROM kept UNION ALL SELECT 'gamma,gamma_dot,eta_x,eta_y'")
 def boxes_text(spark: SparkSession, d: str) -> DataFrame:
     """The CSV of these middles, read back."""
-    path = folder(spark, "boxes")
+    path = new_path(spark, "boxes")
     sinks.write_orbit_cells(orbit_grid.midpoints(orbit_grid.bound_cells(_boxes(spark, d))).coalesce(1), path)
     return spark.read.text(path)

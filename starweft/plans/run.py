@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.constants import mu_of
 from ..sources import config, readers
 from ..sources.config import Config
+from ..staging import kept_for
 from . import linker
 
 
@@ -51,7 +52,8 @@ def main(arguments: list[str]) -> None:
     if len(arguments) != 3 or arguments[0] not in SEARCHES:
         raise SystemExit(__doc__)
     spark = SparkSession.builder.getOrCreate()
-    SEARCHES[arguments[0]](spark, config.load(arguments[1])).write.mode("overwrite").parquet(arguments[2])
+    with kept_for(spark):
+        SEARCHES[arguments[0]](spark, config.load(arguments[1])).write.mode("overwrite").parquet(arguments[2])
 
 
 if __name__ == "__main__":

@@ -484,11 +484,13 @@ def rate_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def orbit_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of orbit space, bisected until neighbours move alike; the range follows the trial orbits' distances."""
+    """Cells of orbit space, bisected until neighbours move alike within 60 arcsec (25 million of them), counted by octave of
+    gamma with the mean of their middles; the range follows the trial orbits' distances."""
     edge = table(spark, d, "trial_orbits").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).first()
     g = orbit_grid.halve_gamma(spark, edge["lo"], edge["hi"])
     top = F.sqrt(2 * MU_BARY * F.pow("gamma_hi", 3))
     cells = g.select("gamma_lo", "gamma_hi", (-top * 0.5).alias("gamma_dot_lo"), (top * 0.5).alias("gamma_dot_hi"), (-top).alias("eta_x_lo"), top.alias("eta_x_hi"), (-top).alias("eta_y_lo"), top.alias("eta_y_hi"))
-    return orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 60.0)))
+    middles = orbit_grid.midpoints(orbit_grid.bound_cells(orbit_grid.refine(cells, 13.0, 60.0)))
+    return middles.groupBy(F.floor(F.log2("gamma")).cast("int").alias("octave")).agg(F.count("*").alias("cells"), *[F.avg(c).alias(f"mean_{c}") for c in orbit_grid.AXES])
 
 

@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +36,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_roots: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, remembered for `kept_for` and `clean`."""
+    _roots.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _roots[-1]
+
+
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what operators of this process have staged, from the `since`-th folder on. Results read it until then."""
+    while len(_roots) > since:
+        delete(spark, _roots.pop())
+
+
+@contextmanager
+def kept_for(spark: SparkSession) -> Iterator[None]:
+    """with kept_for(spark): the tables staged within are deleted at its end, so results are to be written within."""
+    since = len(_roots)
+    try:
+        yield
+    finally:
+        clean(spark, since)
+
+
 class Stage:
-    """Staged tables of one run of an operator. drop() removes one that nothing reads any more; the rest go with the
-    session's folder, because the result that was handed out still reads them."""
+    """Staged tables of one run of an operator. drop() removes one that nothing reads any more; the rest stay for the result
+    that was handed out, until `clean` or the end of `kept_for`."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made: dict[int, str] = {}
+        self.spark, self.root = spark, new_path(spark, name)
         self.n = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -48,7 +79,6 @@ class Stage:
         path = f"{self.root}/{self.n:03d}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.made[id(back)] = path
         back._stage_path = path
         return back
 
@@ -59,9 +89,7 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

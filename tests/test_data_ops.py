@@ -213,3 +213,14 @@ def test_values_are_checked_once_each(spark):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
     checks = [p for p in plans if bad_rows.NUMBER in p]
     assert len(checks) == 1 and "Aggregate" not in checks[0] and "Generate" not in checks[0]
+
+
+def test_staged_tables_go_at_the_end_of_their_scope(spark):
+    import os
+
+    with staging.kept_for(spark):
+        s = staging.Stage(spark, "scope")
+        assert s.write(spark.range(5)).count() == 5
+        path = s.root.removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)

@@ -7,7 +7,8 @@ number of thresholds between them. A code is split into `PARTS` substrings, of w
 from the j-th on; each is indexed by its value. Shorter codes use every 2nd, 4th, ... threshold.
 
 Search in three passes over the indexed rows. (1) For each query the longest code is found whose first substring has at least
-k + 1 equal rows. (2) Those rows are reranked by their floats; their k-th distance bounds the true one. (3) At the code length at which the ball of that radius crosses fewer than
+k + 1 equal rows. (2) Rows that equal the query in any substring at that length are reranked by their floats; their k-th
+distance bounds the true one. (3) At the code length at which the ball of that radius crosses fewer than
 2 * PARTS thresholds, pigeonhole probing looks up all codes within that Hamming radius: they differ in at most one bit from the
 query in some substring. What it returns is reranked by floats. As the rotation keeps distances and the radius is that of the
 ball, no neighbour is lost: the result is exact where all axes are kept, and approximate only with fewer axes than dimensions.
@@ -36,7 +37,7 @@ from ..tables import finite
 PARTS = 4
 SAMPLE_ROWS = 50_000  # the rotation and thresholds are learned from about so many rows, taken by a hash of their id
 MAX_AXES = 8
-PROBE_ROWS = 1_000_000  # probes beyond this many are joined by shuffle instead of broadcast
+PROBE_ROWS = 1_000_000  # lookups up to this many (some 30 MB) go to every task; more are joined by shuffle
 
 
 @dataclass
@@ -112,6 +113,81 @@ def _key(axes: int, level: int, j: int) -> Column:
     return F.xxhash64(F.lit(level), F.lit(j), *[_value(F.col(f"o{a}"), level, j) for a in range(axes)])
 
 
+def _np_key(level: int, j: int, values: np.ndarray) -> np.ndarray:
+    """One number per row of substring values. Different values may share one by chance, which only adds candidates."""
+    h = np.full(len(values), level * PARTS + j + 1, np.int64)
+    with np.errstate(over="ignore"):
+        for a in range(values.shape[1]):
+            h = (h ^ values[:, a]) * np.int64(-7046029254386353131)
+            h ^= h >> np.int64(31)
+    return h
+
+
+def _np_values(ordinals: np.ndarray, level: int, j: int) -> np.ndarray:
+    return (ordinals.astype(np.int64) - (j << level)) >> (level + PARTS.bit_length() - 1)
+
+
+class Lookups:
+    """Keys to be looked up and the queries that ask for each, for a task that holds all of them."""
+
+    def __init__(self, keys: np.ndarray, query: np.ndarray, combos: list[tuple[int, int]]):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.query, self.combos = query[order], combos
+
+    def found(self, ordinals: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, places of their keys), one pair of arrays per code length and substring."""
+        for level, j in self.combos:
+            key = _np_key(level, j, _np_values(ordinals, level, j))
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rows = np.flatnonzero(self.keys[at] == key)
+            yield rows, at[rows]
+
+    def pairs(self, ordinals: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, queries) that share a key."""
+        for rows, at in self.found(ordinals):
+            n = self.count[at]
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(rows, n), self.query[np.repeat(self.first[at], n) + k]
+
+
+class Best:
+    """The k nearest rows of each query so far."""
+
+    def __init__(self, vectors: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int):
+        self.vectors, self.own, self.bound, self.k = vectors, own, bound, k
+        self.held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        self.n = 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        square = np.zeros(len(query))
+        for a in range(x.shape[1]):
+            d = x[:, a] - self.vectors[query, a]
+            square = square + d * d
+        distance = np.sqrt(square)
+        ok = (ids != self.own[query]) & (distance <= self.bound[query])
+        if ok.any():
+            self.held.append((query[ok], distance[ok], ids[ok]))
+            self.n += int(ok.sum())
+            if self.n > 500_000 + 2 * self.k * len(self.own):
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, i = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((i, d, q))
+        q, d, i = q[order], d[order], i[order]
+        fresh = np.ones(len(q), bool)
+        fresh[1:] = (q[1:] != q[:-1]) | (d[1:] != d[:-1]) | (i[1:] != i[:-1])
+        q, d, i = q[fresh], d[fresh], i[fresh]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        q, d, i = q[keep], d[keep], i[keep]
+        full = rank[keep] == self.k - 1
+        self.bound[q[full]] = np.minimum(self.bound[q[full]], d[full])
+        self.held, self.n = [(q, d, i)], len(q)
+        return q, d, i
+
+
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query q; a pair found in several substrings counts once."""
     order = Window.partitionBy("q").orderBy("distance", "id")
@@ -178,20 +254,27 @@ def most_similar(
     def named(nearest: DataFrame) -> DataFrame:
         return nearest.join(probes.select("q", "probe_id"), "q").select("probe_id", "id", "distance", "rank")
 
+    if n_probes * (top + 1) * PARTS <= PROBE_ROWS:
+        return named(_by_tasks(stage, indexed, probes, codes, shared, names, axes, k))
+
     # (1) how many rows equal each query in the first substring, by code length
     levels = range(top + 1)
     wanted = probes.select("q", F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), _key(axes, lv, 0).alias("key")) for lv in levels])).alias("w")).select("q", "w.level", "w.key")
     keys, n_keys = stage.write_counted(wanted.select("key").distinct())
     all_keys = indexed.select(F.explode(F.array(*[_key(axes, lv, 0) for lv in levels])).alias("key"))
     counts = all_keys.join(F.broadcast(keys) if n_keys <= PROBE_ROWS else keys, "key").groupBy("key").agg(F.count("*").alias("n"))
-    level = wanted.join(counts, "key").filter((F.col("n") > k) | (F.col("level") == top)).groupBy("q").agg(F.min(F.struct("level", "key")).alias("l"))
+    level = wanted.join(counts, "key").filter((F.col("n") > k) | (F.col("level") == top)).groupBy("q").agg(F.min("level").alias("level"))
 
     # (2) a bound on the k-th distance
-    chosen = stage.write(probes.join(level, "q").select("q", "own_id", *as_query, F.col("l.key").alias("key"), F.col("l.level").alias("level")))
+    chosen = stage.write(probes.join(level, "q"))
     used = sorted(r[0] for r in chosen.select("level").distinct().collect())
     if not used:
         return named(_nearest(probes.select("q", "own_id").join(rows, F.lit(False)).select("q", "id", F.lit(0.0).alias("distance")), k))
-    near = _nearest(met(chosen.drop("level"), n_probes, [(lv, 0) for lv in used]), k)
+    by_level = F.lit(None).cast("array<bigint>")
+    for lv in used:
+        by_level = F.when(F.col("level") == lv, F.array(*[_key(axes, lv, j) for j in range(PARTS)])).otherwise(by_level)
+    first = chosen.select("q", "own_id", *as_query, F.explode(by_level).alias("key"))
+    near = _nearest(met(first, n_probes * PARTS, [(lv, j) for lv in used for j in range(PARTS)]), k)
     bound = near.groupBy("q").agg(F.when(F.countDistinct("id") >= k, F.max("distance")).alias("radius"))
 
     # (3) pigeonhole probing of that radius
@@ -219,6 +302,83 @@ def most_similar(
     return named(_nearest(met(lookups.drop("level", "part"), n_lookups, combos), k))
 
 
+def _by_tasks(stage: Stage, indexed: DataFrame, probes: DataFrame, codes: Codes, shared, names: list[str], axes: int, k: int) -> DataFrame:
+    """(q, id, distance, rank) of queries few enough for their lookups to go to every task. A task goes over its rows of the
+    index once per pass, holds no more than the k nearest so far of each query, and hands on these."""
+    spark, top = indexed.sparkSession, codes.top
+    asked = probes.toPandas()  # at most PROBE_ROWS / PARTS rows
+    ordinal = [f"o{a}" for a in range(axes)]
+    vectors, own, o = asked[names].to_numpy(float), asked["own_id"].to_numpy(), asked[ordinal].to_numpy(np.int64)
+    each = np.arange(len(asked))
+
+    def gather(lookups: Lookups, bound: np.ndarray) -> pd.DataFrame | DataFrame:
+        sent = spark.sparkContext.broadcast((lookups, vectors, own, bound))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            some, v, mine, most = sent.value
+            best = Best(v, mine, most.copy(), k)
+            for b in batches:
+                x, ids = b[names].to_numpy(float), b["id"].to_numpy()
+                for rows, query in some.pairs(b[ordinal].to_numpy()):
+                    for lo in range(0, len(rows), 1_000_000):
+                        r = rows[lo : lo + 1_000_000]
+                        best.add(query[lo : lo + 1_000_000], ids[r], x[r])
+            q, d, i = best.cut()
+            yield pd.DataFrame({"at": q, "id": i, "distance": d})
+
+        return indexed.mapInPandas(run, T.StructType([T.StructField("at", T.LongType()), indexed.schema["id"], T.StructField("distance", T.DoubleType())]))
+
+    def numbered(found: DataFrame) -> DataFrame:
+        names_of = spark.createDataFrame(pd.DataFrame({"at": each, "q": asked["q"].to_numpy(np.int64)}), "at long, q long")
+        return _nearest(found.join(F.broadcast(names_of), "at").drop("at"), k)
+
+    if not len(asked):
+        return _nearest(probes.select("q", F.col("own_id").alias("id"), F.lit(0.0).alias("distance")), k)
+    # (1) how many rows equal each query in the first substring, by code length
+    levels = range(top + 1)
+    keys = np.stack([_np_key(lv, 0, _np_values(o, lv, 0)) for lv in levels])
+    first = Lookups(keys.ravel(), np.tile(each, len(keys)), [(lv, 0) for lv in levels])
+    sent = spark.sparkContext.broadcast(first)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(sent.value.keys), np.int64)
+        for b in batches:
+            for _, at in sent.value.found(b[ordinal].to_numpy()):
+                n += np.bincount(at, minlength=len(n))
+        yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
+
+    counted = indexed.select(*ordinal).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(len(first.keys), np.int64)
+    n[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    enough = n[np.searchsorted(first.keys, keys)] > k
+    enough[top] = True
+    level = enough.argmax(axis=0)
+    # (2) a bound on the k-th distance
+    used = [(int(lv), j) for lv in np.unique(level) for j in range(PARTS)]
+    at_level = [(np.flatnonzero(level == lv), lv, j) for lv, j in used]
+    keys = np.concatenate([_np_key(lv, j, _np_values(o[rows], lv, j)) for rows, lv, j in at_level])
+    near = gather(Lookups(keys, np.concatenate([rows for rows, _, _ in at_level]), used), np.full(len(asked), np.inf))
+    near = near.groupBy("at").agg(F.slice(F.array_sort(F.array_distinct(F.array_agg(F.struct("distance", "id")))), 1, k).alias("n"))
+    radii = near.filter(F.size("n") >= k).select("at", F.get("n", F.lit(k - 1))["distance"].alias("r")).toPandas()
+    radius = np.full(len(asked), np.inf)
+    radius[radii["at"].to_numpy()] = radii["r"].to_numpy()
+    # (3) pigeonhole probing of that radius
+    spread = spark.createDataFrame(pd.DataFrame({"at": each, "radius": radius}).join(pd.DataFrame(vectors, columns=names)), "at long, radius double, " + ", ".join(f"{c} double" for c in names))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for b in batches:
+            hits = [c.probes(y, r) for y, r in zip(c.project(b[names].to_numpy(float)), b["radius"])]
+            flat = [x for h in hits for x in h]
+            keys = [int(_np_key(lv, j, np.array([value]))[0]) for lv, j, value in flat]
+            yield pd.DataFrame({"at": b["at"].repeat([len(h) for h in hits]).to_numpy(), "level": [x[0] for x in flat], "part": [x[1] for x in flat], "key": keys})
+
+    looked = spread.repartition(spark.sparkContext.defaultParallelism, "at").mapInPandas(probe, "at long, level int, part int, key long").toPandas()
+    combos = sorted(set(zip(looked["level"].tolist(), looked["part"].tolist())))
+    found = gather(Lookups(looked["key"].to_numpy(), looked["at"].to_numpy(), combos), radius)
+    return numbered(stage.write(found))
+
+
 def detection_vectors(detections: DataFrame) -> DataFrame:
     """(intid, x, y, z, t) of the valid vectors of detections, with the epoch scaled to their range."""
     x, y, z = (F.col(f"rho_{c}") for c in "xyz")

@@ -185,7 +185,9 @@ def test_components(spark):
     assert components.groups(spark.createDataFrame([(None, "a"), ("b", "b")], "a string, b string")).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("lookups", [neighbours.PROBE_ROWS, 0])
+def test_neighbours(spark, monkeypatch, lookups):
+    monkeypatch.setattr(neighbours, "PROBE_ROWS", lookups)  # by tasks, by joins
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(600, 3)), 0.001 * rng.normal(size=(600, 3)) + 1, np.repeat(rng.normal(size=(1, 3)), 60, axis=0)])
     rows = [(i, *map(float, p), 1) for i, p in enumerate(x)] + [(5000, None, 0.0, 0.0, 1), (5001, float("nan"), 0.0, 0.0, 1), (None, 0.0, 0.0, 0.0, 1)]
@@ -202,7 +204,10 @@ def test_neighbours(spark):
     few = df.filter("vid < 3")
     asked = spark.createDataFrame([(7, 1), (8, 999), (None, 1)], "probe_id long, id long")
     assert sorted((r["probe_id"], r["id"]) for r in neighbours.most_similar(few, "vid", ["a", "b", "c"], 5, asked).collect()) == [(7, 0), (7, 2)]
+    twice = asked.filter("probe_id = 7").unionByName(asked.filter("probe_id = 7")).unionByName(spark.createDataFrame([(7, 2)], "probe_id long, id long"))
+    assert sorted(r["id"] for r in neighbours.most_similar(few, "vid", ["a", "b", "c"], 5, twice).collect()) == [0, 0, 0, 1, 2, 2]
     assert neighbours.most_similar(df.limit(0), "vid", ["a", "b", "c"], 5, asked).count() == 0
+    assert neighbours.most_similar(df, "vid", ["a", "b", "c"], 5, asked.limit(0)).count() == 0
 
 
 def test_approximate_neighbours_have_high_recall(spark):

@@ -353,12 +353,17 @@ def pixel_rings(spark: SparkSession, d: str) -> DataFrame:
     return seen.unionByName(whole)
 
 
-def _centre_sql(depth: int, source: str) -> str:
+def _middle_sql(depth: int, source: str) -> str:
+    """(hpix, z, phi) of pixels' centres."""
     n = 1 << depth
     s = f"SELECT *, [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4][face + 1] * {n} - ix - iy - 1 AS jr FROM ({_split_sql(depth, source)})"
     s = f"SELECT *, CASE WHEN jr < {n} THEN jr WHEN jr > {3 * n} THEN {4 * n} - jr ELSE {n} END AS nr, CASE WHEN jr < {n} OR jr > {3 * n} THEN 0 ELSE (jr - {n}) % 2 END AS shift FROM ({s})"
     s = f"SELECT *, CASE WHEN jr < {n} THEN 1 - nr * nr / (3e0 * {n} * {n}) WHEN jr > {3 * n} THEN nr * nr / (3e0 * {n} * {n}) - 1 ELSE ({2 * n} - jr) * 2e0 / (3e0 * {n}) END AS z, ([1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7][face + 1] * nr + ix - iy + 1 + shift) // 2 AS jp FROM ({s})"
-    s = f"SELECT hpix, z, (jp - (shift + 1) * 0.5e0) * ({math.pi / 2!r} / nr) AS phi FROM ({s})"
+    return f"SELECT hpix, z, (jp - (shift + 1) * 0.5e0) * ({math.pi / 2!r} / nr) AS phi FROM ({s})"
+
+
+def _centre_sql(depth: int, source: str) -> str:
+    s = _middle_sql(depth, source)
     return f"SELECT hpix, {Q('sqrt(1 - z * z) * cos(phi)', 7)} AS x, {Q('sqrt(1 - z * z) * sin(phi)', 7)} AS y, {Q('z', 7)} AS z FROM ({s})"
 
 
@@ -377,6 +382,45 @@ def pixel_neighbour_peaks(spark: SparkSession, d: str) -> DataFrame:
     return peaks.pixel_peaks(peaks.neighbour_sums(_pixels(spark, d), [], DEPTH), [], DEPTH, 12)
 
 
+# ---- whole searches on the sphere, at pixels of 412 and distances of 600 arcsec
+_CHORD2 = 4 * math.sin(WIDE_ARCSEC * ARCSEC / 2) ** 2
+_SYNCED = f"SELECT ic_id, intid, epoch, s_x, s_y, s_z FROM ({base.sync_sql()})"
+
+
+@query(
+    f"""WITH pts AS MATERIALIZED ({base.hpix_sql(DEPTH, 's_x', 's_y', 's_z').format(source='(' + _SYNCED + ')')}), cells AS MATERIALIZED (SELECT ic_id, hpix, count(*) AS n FROM pts GROUP BY ALL),
+    ring AS MATERIALIZED ({_ring_sql(DEPTH, 'SELECT DISTINCT hpix FROM cells WHERE n >= 2')}),
+    sums AS MATERIALIZED (SELECT c.ic_id, c.hpix, CAST(c.n + coalesce(sum(o.n), 0) AS BIGINT) AS total FROM cells c JOIN ring USING (hpix) LEFT JOIN cells o ON o.hpix = ring.neighbour AND o.ic_id = c.ic_id WHERE c.n >= 2 GROUP BY c.ic_id, c.hpix, c.n),
+    higher AS (SELECT DISTINCT s.ic_id, s.hpix FROM sums s JOIN ring USING (hpix) JOIN sums o ON o.hpix = ring.neighbour AND o.ic_id = s.ic_id WHERE s.total >= 12 AND o.total > s.total),
+    peaks AS (SELECT * FROM sums WHERE total >= 12 AND (ic_id, hpix) NOT IN (SELECT (ic_id, hpix) FROM higher)),
+    centres AS MATERIALIZED (SELECT ic_id, hpix, total, sqrt(1 - z * z) * cos(phi) AS cx, sqrt(1 - z * z) * sin(phi) AS cy, z AS cz FROM peaks JOIN ({_middle_sql(DEPTH, 'SELECT DISTINCT hpix FROM peaks')}) USING (hpix)),
+    bins AS (SELECT *, CAST(floor(s_x * 200) AS BIGINT) AS bx, CAST(floor(s_y * 200) AS BIGINT) AS byy FROM pts),
+    met AS MATERIALIZED (SELECT c.ic_id, c.hpix, c.total, b.intid, b.epoch FROM centres c, (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), bins b WHERE b.ic_id = c.ic_id AND b.bx = CAST(floor(cx * 200) AS BIGINT) + dx AND b.byy = CAST(floor(cy * 200) AS BIGINT) + dy
+      AND (b.s_x - cx) * (b.s_x - cx) + (b.s_y - cy) * (b.s_y - cy) + (b.s_z - cz) * (b.s_z - cz) <= {_CHORD2!r}),
+    sets AS (SELECT ic_id, hpix, total, list_sort(list(intid)) AS s FROM met GROUP BY ALL), first AS (SELECT ic_id, hpix FROM sets QUALIFY row_number() OVER (PARTITION BY ic_id, s ORDER BY total DESC, hpix) = 1)
+    SELECT ic_id, hpix, count(*) AS n, CAST(sum(intid) AS BIGINT) AS members FROM met JOIN first USING (ic_id, hpix) WHERE abs(epoch - {REF_EPOCH}e0) <= 4000 GROUP BY ic_id, hpix
+    HAVING count(*) >= 12 AND count(DISTINCT epoch - {REF_EPOCH}e0) >= 12 AND count(DISTINCT sign(epoch - {REF_EPOCH}e0) * floor(abs(epoch - {REF_EPOCH}e0) + 0.5e0)) >= 6"""
+)
+def wide_linked_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel peaks of every orbit, range search around them, distinct member sets, screening: the linker up to its fits."""
+    found = linker.clusters(base.detections(spark, d), base.trial_orbits(spark, d), REF_EPOCH, DEPTH, WIDE_ARCSEC)
+    return found.groupBy("ic_id", "hpix").agg(F.count("*").alias("n"), F.sum("intid").alias("members"))
+
+
+@query(
+    f"""WITH pts AS MATERIALIZED (SELECT *, CAST(floor(s_x * 300) AS BIGINT) AS bx, CAST(floor(s_y * 300) AS BIGINT) AS byy FROM ({_SYNCED})),
+    near AS MATERIALIZED (SELECT a.ic_id, a.intid AS centre_intid, b.intid, b.epoch FROM pts a, (VALUES (-1), (0), (1)) i(dx), (VALUES (-1), (0), (1)) j(dy), pts b WHERE b.ic_id = a.ic_id AND b.bx = a.bx + dx AND b.byy = a.byy + dy AND abs(a.epoch - b.epoch) <= 15
+      AND power(a.s_x - b.s_x, 2) + power(a.s_y - b.s_y, 2) + power(a.s_z - b.s_z, 2) <= {_CHORD2!r}
+      AND acos(greatest(least(1 - (power(a.s_x - b.s_x, 2) + power(a.s_y - b.s_y, 2) + power(a.s_z - b.s_z, 2)) / 2, 1e0), -1e0)) <= abs(a.epoch - b.epoch) / 15e0 * {WIDE_ARCSEC * ARCSEC!r} + {ARCSEC!r}),
+    sets AS (SELECT ic_id, centre_intid, list_sort(list(intid)) AS s FROM near GROUP BY ALL HAVING count(*) >= 8 AND max(epoch) - min(epoch) >= 10 AND count(DISTINCT round(epoch)) >= 4)
+    SELECT ic_id, centre_intid, len(s) AS n, CAST(list_sum(s) AS BIGINT) AS members FROM sets QUALIFY row_number() OVER (PARTITION BY ic_id, s ORDER BY centre_intid) = 1"""
+)
+def wide_point_linker(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct neighbourhoods of synced points that hold 8 detections of 4 nights in 10 days."""
+    found = linker.point_linker(base.detections(spark, d), base.trial_orbits(spark, d), WIDE_ARCSEC, 8, 10.0, 4)
+    return found.groupBy("ic_id", "centre_intid").agg(F.count("*").alias("n"), F.sum("intid").alias("members"))
+
+
 # ---- images
 _FRAME = f"""{_HIT}, w AS (SELECT ((ra - c) - {_2PI} * floor((ra - c) / {_2PI})) AS w, dec FROM v, c), x AS (SELECT {_DX} AS dx, dec FROM w),
     f AS (SELECT min(dx) AS d0, min(dec) AS e0, greatest(ceil((max(dx) - min(dx)) / 0.0123e0), 1) AS nx, greatest(ceil((max(dec) - min(dec)) / 0.0123e0), 1) AS ny FROM x),
@@ -540,6 +584,21 @@ def linked_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path)
 
 
+_TURNED = f"SELECT x, y, 128 AS grey FROM ({_FIT_ROWS}) UNION ALL SELECT x - c * f, y - c * g, 255 FROM ({_FIT_ROWS}) JOIN p USING (cluster_id)"
+
+
+@query(
+    f"""{_COUPLED.replace('b.by', '"by"').replace('AS by', 'AS "by"').replace('(by)', '("by")')}, both_sets AS (SELECT * FROM ({_TURNED})), fr AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM both_sets)
+    SELECT CAST(least(floor((x - x0) / (x1 - x0) * 64), 63) AS BIGINT) AS ix, CAST(least(floor((y - y0) / (y1 - y0) * 64), 63) AS BIGINT) AS iy, max(grey) AS grey FROM both_sets, fr GROUP BY ALL"""
+)
+def cluster_scatter(spark: SparkSession, d: str) -> DataFrame:
+    """The picture of the clusters' members on their tangent planes, before and after the fitted parallax is taken out."""
+    rows = _fit_rows(spark, d)
+    fit = fits.coupled_fit(rows, ["cluster_id"]).select("cluster_id", "c")
+    after = rows.join(fit, "cluster_id").select((F.col("x") - F.col("c") * F.col("f")).alias("x"), (F.col("y") - F.col("c") * F.col("g")).alias("y"))
+    return sinks.scatter(rows, after, "x", "y", 64)
+
+
 # ---- observations
 @query(
     f"""SELECT intid, 'Astrometry RA: ' || round(CAST(ra AS DECIMAL(18, 12)), 6) || ' Dec: ' || round(CAST(dec AS DECIMAL(18, 12)), 6) AS text, {Q('ln(1 / (ra_ucty * ra_ucty) / (1 - 0.25e0))', 6)} AS i00, {Q('ln(1 / (dec_ucty * dec_ucty) / (1 - 0.25e0))', 6)} AS i11, {Q('px', 8)} AS x

@@ -6,7 +6,7 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import equatorial_radec
@@ -69,3 +69,22 @@ def png(cells: DataFrame, path: str, nx: int, ny: int, flip: bool = True, most:
     raw = b"".join(b"\0" + bytes(r) for r in rows)
     with open(path, "wb") as f:
         f.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", nx, ny, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def scatter(before: DataFrame, after: DataFrame, x: str, y: str, pixels: int) -> DataFrame:
+    """(ix, iy, grey) of a picture of two sets of points in one frame: grey 255 where there are points after a refinement, 128
+    where only before it. A frame without extent is one pixel wide."""
+    both = before.select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(128).alias("grey")).unionByName(after.select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(255).alias("grey")))
+    both = both.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    frame = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at = both.crossJoin(F.broadcast(frame))
+
+    def pixel(c: str) -> Column:
+        width = F.nullif(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(0.0))
+        return F.coalesce(F.least(F.floor((F.col(c) - F.col(f"{c}0")) / width * pixels), F.lit(pixels - 1)), F.lit(0)).cast("long")
+
+    return at.select(pixel("x").alias("ix"), pixel("y").alias("iy"), "grey").groupBy("ix", "iy").agg(F.max("grey").alias("grey"))
+
+
+def scatter_png(before: DataFrame, after: DataFrame, path: str, x: str = "theta_x", y: str = "theta_y", pixels: int = 512) -> None:
+    png(scatter(before, after, x, y, pixels), path, pixels, pixels)

@@ -472,14 +472,14 @@ _STEP = repr(3.0 * 2e-5 / 30.0)
 
 
 @query(
-    f"""SELECT id, count(*) AS n, {Q('sum(adot * adot)', 9)} AS spread FROM (SELECT id, top, i * {_STEP} - top AS adot, j * {_STEP} - top AS bdot FROM
+    f"""SELECT id, count(*) AS n, {Q('sum(adot * adot)', 6)} AS spread FROM (SELECT id, top, i * {_STEP} - top AS adot, j * {_STEP} - top AS bdot FROM
       (SELECT id, top, unnest(range(0, CAST(2 * ceil(top / {_STEP}) AS BIGINT) + 1)) AS i, steps FROM (SELECT id, {_TOP} AS top, CAST(2 * ceil({_TOP} / {_STEP}) AS BIGINT) AS steps FROM trial_orbits)) a,
       LATERAL (SELECT unnest(range(0, a.steps + 1)) AS j)) WHERE sqrt(adot * adot + bdot * bdot) <= top GROUP BY id"""
 )
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
     """Number and spread of the rates of bound motion at each trial orbit's distance."""
     g = orbit_grid.rate_grid(table(spark, d, "trial_orbits"), 2e-5, 30.0)
-    return g.groupBy("id").agg(F.count("*").alias("n"), q(F.sum(F.col("adot") * F.col("adot")), 9).alias("spread"))
+    return g.groupBy("id").agg(F.count("*").alias("n"), q(F.sum(F.col("adot") * F.col("adot")), 6).alias("spread"))
 
 
 @query()

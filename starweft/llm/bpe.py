@@ -18,7 +18,10 @@ its end is known; within a longer one the last two words are held back, since on
 from __future__ import annotations
 
 import base64
+import gc
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import ahocorasick
@@ -107,9 +110,7 @@ class Vocabulary:
             if one is not None and one in self.built:
                 ids = [one]
             else:
-                t = Transducer(self)
-                ids = t.feed(raw)
-                ids += t.finish()
+                ids = Transducer.of_word(self, raw)
             if len(w) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo.clear()
@@ -145,6 +146,31 @@ class Transducer:
         self.last: list[int] = []  # token that ends after byte i of the tail, in the encoding of that prefix
         self.before: int | None = None  # the last token emitted
 
+    @classmethod
+    def of_word(cls, v: Vocabulary, data: bytes) -> list[int]:
+        """Token ids of a whole word. One within the lookahead has nothing stable before its end, so no state is kept."""
+        if len(data) > v.lookahead:
+            t = cls(v)
+            return t.feed(data) + t.finish()
+        last = [-1] * len(data)
+        fits, may_follow = v.fits.get, v.may_follow
+        for end, (size, token) in v.automaton.iter(data.decode("latin-1")):
+            if last[end] < 0:
+                if size > end:
+                    last[end] = token
+                else:
+                    left = last[end - size]
+                    if left >= 0:
+                        ok = fits((left, token))
+                        if ok or (ok is None and may_follow(left, token)):
+                            last[end] = token
+        out, end, token = [], len(data), v.token
+        while end:
+            out.append(last[end - 1])
+            end -= len(token[out[-1]])
+        out.reverse()
+        return out
+
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
         for at in range(0, len(data), SETTLE_BYTES):
@@ -306,6 +332,18 @@ class Decoder:
         return rest
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector, which would go over the memos again and again; nothing here makes cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _LOADED: dict[int, Vocabulary] = {}
 
 

@@ -7,6 +7,7 @@ included; texts are encoded whole, however long; an empty table gives an empty r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Decoder, StreamingEncoder, Vocabulary, loaded
+from .bpe import Decoder, StreamingEncoder, Vocabulary, loaded, uncollected
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_CHARS = 1 << 16  # characters that go to the streaming encoder at a time
@@ -45,7 +46,7 @@ def encode_text(v: Vocabulary, text: str | None) -> list[int]:
 def list_array(lists: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -58,7 +59,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
         for b in batches:
             for at in range(0, b.num_rows, 1000):  # keeps the lists of one output batch small
                 part = b.slice(at, 1000)
-                ids = [encode_text(v, t) for t in part.column(1).to_pylist()]
+                with uncollected():
+                    ids = [encode_text(v, t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

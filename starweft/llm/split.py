@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import Stage, lookup
-from .bpe import MEMO_CHARS, MEMO_SEGMENTS, SEGMENT, Decoder, Vocabulary, loaded
+from .bpe import MEMO_CHARS, MEMO_SEGMENTS, SEGMENT, Decoder, Vocabulary, loaded, uncollected
 from .encode import VOCABULARY, list_array, shared_vocabulary
 
 WORD, SENTENCE = 1, 2
@@ -34,16 +34,16 @@ def _segment_cuts(v: Vocabulary, text: str) -> tuple[int, list[int], list[tuple[
     inner: list[tuple[int, int]] = []
     before = ""
     for w in v.words.findall(text):
-        at = len(ids)
-        if at:
-            if w.isspace() and not before.isspace():
+        at, blank = len(ids), w[0].isspace()
+        if at and (blank or before[-1].isspace() or before[-1] in "。！？"):
+            if blank and w.isspace() and not before.isspace():
                 pass  # blanks stay with what they follow
-            elif (w[0].isspace() or before[-1] in "\n\r。！？" or before.isspace()) and _SENTENCE_END.search(before):
+            elif (blank or before[-1] in "\n\r。！？" or before.isspace()) and _SENTENCE_END.search(before):
                 inner.append((at, SENTENCE))
             elif w[0] == " " or before.isspace():
                 inner.append((at, WORD))
         ids.extend(v.memo.get(w) or v.word(w))
-        before = before + w if w.isspace() and not before.isspace() else w
+        before = before + w if blank and w.isspace() and not before.isspace() else w
     return len(ids), ids, inner, not before[-1:].isalnum() and bool(_SENTENCE_END.search(before))
 
 
@@ -109,9 +109,10 @@ def tokens_with_cuts(docs: DataFrame, doc_id: str, text: str, limit: int, overla
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 counts, ids, places, kinds = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    for column, value in zip((counts, ids, places, kinds), cut_points(v, t, step, limit, with_ids) if t else (0, [], [], [])):
-                        column.append(value)
+                with uncollected():
+                    for t in part.column(1).to_pylist():
+                        for column, value in zip((counts, ids, places, kinds), cut_points(v, t, step, limit, with_ids) if t else (0, [], [], [])):
+                            column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int32()), list_array(ids), list_array(places), list_array(kinds)],
                     ["doc_id", "n_tokens", "ids", "places", "kinds"],

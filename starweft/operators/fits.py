@@ -249,3 +249,57 @@ def nelder_mead(cost, p0, step, tol: float = 1e-12, most: int = 10_000) -> tuple
         pts[-1], val[-1] = p, v
     i = int(np.argmin(val))
     return pts[i], float(val[i]), converged
+
+
+def nelder_meads(cost, p0: np.ndarray, step, tol: float = 1e-12, most: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nelder_mead from each row of p0, side by side: the same moves, of all searches that go on at once. cost(p, at): the costs
+    of places p for the searches `at`. A simplex that comes back to where it was goes round for ever; its rounds up to `most` are
+    not made, only the rest of the last one."""
+    m, n = p0.shape
+    at = np.arange(m)
+    pts = p0[:, None, :] + np.vstack([np.zeros(n), np.diag(step)])
+    val = np.stack([cost(pts[:, k], at) for k in range(n + 1)], axis=1)
+    best, least, converged = p0.copy(), np.empty(m), np.zeros(m, bool)
+    until, mark, since = np.full(m, most), np.full_like(pts, np.nan), 0
+
+    def leave(which: np.ndarray) -> None:
+        i = np.argmin(val[which], axis=1)
+        best[at[which]], least[at[which]] = pts[which, i], val[which, i]
+
+    for now in range(most):
+        o = np.argsort(val, axis=1, kind="stable")
+        pts, val = np.take_along_axis(pts, o[..., None], 1), np.take_along_axis(val, o, 1)
+        with np.errstate(invalid="ignore"):
+            done = np.isfinite(val).all(axis=1) & (val.std(axis=1) < tol)
+        same = (until == most) & (pts == mark).all(axis=(1, 2))
+        until[same] = now + (most - now) % max(1, now - since)
+        if now & (now - 1) == 0:
+            mark, since = pts.copy(), now
+        converged[at[done]] = True
+        done |= until <= now
+        if done.any():
+            leave(np.flatnonzero(done))
+            at, pts, val, until, mark = (x[~done] for x in (at, pts, val, until, mark))
+            if not len(at):
+                return best, least, converged
+        mid = pts[:, :-1].mean(axis=1)
+        away = pts[:, -1] - mid
+        p = mid - away
+        v = cost(p, at)
+        far, poor = v < val[:, 0], ~(v < val[:, 0]) & (v >= val[:, -2])
+        k = np.where(far, -2.0, np.where(v < val[:, -1], -0.5, 0.5))
+        again = np.flatnonzero(far | poor)
+        if len(again):
+            q = mid[again] + k[again, None] * away[again]
+            u = cost(q, at[again])
+            take = poor[again] | (u < v[again])
+            p[again[take]], v[again[take]] = q[take], u[take]
+        shrunk = poor & (v >= val[:, -1])
+        w = np.flatnonzero(~shrunk)
+        pts[w, -1], val[w, -1] = p[w], v[w]
+        w = np.flatnonzero(shrunk)
+        if len(w):
+            pts[w, 1:] = pts[w, :1] + 0.5 * (pts[w, 1:] - pts[w, :1])
+            val[w, 1:] = cost(pts[w, 1:].reshape(-1, n), np.repeat(at[w], n)).reshape(-1, n)
+    leave(np.arange(len(at)))
+    return best, least, converged

@@ -451,3 +451,17 @@ def test_axis_separations_against_pairs_of_corners():
                         best = s
                         break
                 assert got[n, axis] == pytest.approx(best, rel=1e-6, abs=1e-3)
+
+
+def test_searches_side_by_side_make_the_moves_of_single_ones():
+    starts, calls = np.random.default_rng(5).normal(size=(200, 3)), []
+
+    def cost(p, at):
+        calls.append(len(p))
+        return ((p - np.array([1.0, 2.0, 3.0])) ** 2).sum(axis=1) + p[:, 0] * p[:, 1]
+
+    best, least, converged = fits.nelder_meads(cost, starts, (0.1, 0.1, 0.1))
+    for k in (0, 77, 199):
+        p, v, done = fits.nelder_mead(lambda q: float(cost(q[None], None)[0]), starts[k], (0.1, 0.1, 0.1))
+        assert np.array_equal(p, best[k]) and v == least[k] and done == converged[k]
+    assert sum(calls) > 30 * len(calls[:1000]) and len([c for c in calls if c > 1]) < 2000

@@ -385,3 +385,271 @@ def clusters(path: str, n_rows: int, orbits: DataFrame, ref_epoch: float, depth:
 
     doubles = ", ".join(f"{c} double" for c in ("s_x", "s_y", "s_z", "d2", "dt"))
     return over_orbits(orbits, f"ic_id string, hpix bigint, total bigint, c_x double, c_y double, c_z double, row bigint, {doubles}" if rows_of else "ic_id string, hpix bigint, n bigint, members bigint", run)
+
+
+BLOCK = 65_536  # pairs of a block of centres and the points near them: its arrays stay in a core's cache
+DENSE = 4_096  # from so many pairs on, a cell's centres meet the points near them as a block
+FINE = 2  # buckets to a search radius where many points share one
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of size[k] numbers each, one after another."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class _Cells:
+    """An orbit's points in the order of buckets of space and, within them, of bins of time. A bucket's side is a `parts`-th of
+    the search radius and a bin's length that of max_days, or more where the keys would not fit 62 bits."""
+
+    def __init__(self, s: np.ndarray, epoch: np.ndarray, intid: np.ndarray, reach: float, max_days: float, angle: float, parts: int):
+        self.reach, self.max_days, self.angle, self.parts = reach, max_days, angle, parts
+        self.side = reach / parts * (1 + 1e-9)
+        low, high, begin, end = s.min(axis=1), s.max(axis=1), epoch.min(), epoch.max()
+        self.bin = max(max_days / parts * (1 + 1e-9), (end - begin) / 16_000)
+        self.bins = int((end - begin) / self.bin) + 1
+        while True:
+            dims = [int(d) + 2 * parts + 2 for d in (high - low) / self.side]
+            if dims[0] * dims[1] * dims[2] * self.bins < 1 << 62:
+                break
+            self.side *= 2
+        self.strides = (dims[1] * dims[2], dims[2])
+        key = np.zeros(s.shape[1], np.int64)
+        for x, d in zip(range(3), dims):
+            key *= d
+            key += ((s[x] - low[x]) / self.side).astype(np.int64) + parts
+        key *= self.bins
+        key += np.minimum(((epoch - begin) / self.bin).astype(np.int64), self.bins - 1)
+        order = np.argsort(key)
+        key = key[order]
+        for x in range(3):
+            s[x] = s[x, order]
+        self.s, self.epoch, self.intid = s, epoch[order], intid[order]
+        self.at = np.r_[np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key)]  # of cells among the points
+        key, self.time = np.divmod(key[self.at[:-1]], self.bins)
+        self.first = np.r_[np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key)]  # of buckets among the cells
+        self.key = key[self.first[:-1]]
+        self.ranked = np.repeat(np.arange(len(self.key)), np.diff(self.first)) * self.bins + self.time
+
+    def load(self) -> float:
+        """Points in the cell of a point, on an average."""
+        return float((np.diff(self.at).astype(float) ** 2).sum() / len(self.epoch))
+
+    def _columns(self, buckets: np.ndarray):
+        """(dx, dy, key of the middle, first, last) of the buckets around the given ones that share an x and a y."""
+        q = self.parts
+        for dx in range(-q, q + 1):
+            for dy in range(-q, q + 1):
+                if self._gap2(dx, dy, 0) <= self.reach**2:
+                    middle = self.key[buckets] + (dx * self.strides[0] + dy * self.strides[1])
+                    yield dx, dy, middle, np.searchsorted(self.key, middle - q), np.searchsorted(self.key, middle + q, "right")
+
+    def _gap2(self, *by):
+        """The square of the least distance of points of buckets so many apart."""
+        return sum((np.maximum(np.abs(d) - 1, 0) * (self.side * (1 - 1e-9))) ** 2 for d in by)
+
+    def near(self, least: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(cells, of, first, last), many cells at a time: ranges first to last of all points that may be near those of
+        cells[of]. Cells with fewer than `least` such points are left out, and those not wanted."""
+        place = self.at[self.first]
+        buckets = np.arange(len(self.key)) if wanted is None else np.unique(np.searchsorted(self.first, np.flatnonzero(wanted), "right") - 1)
+        total = np.zeros(len(buckets), np.int64)
+        for *_, low, high in self._columns(buckets):
+            total += place[high] - place[low]
+        buckets = buckets[total >= least]
+        for k in range(0, len(buckets), 8192):
+            yield from self._near(buckets[k : k + 8192], least, wanted)
+
+    def _near(self, buckets: np.ndarray, least: int, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        found = []
+        for dx, dy, middle, low, high in self._columns(buckets):
+            a, b = np.repeat(np.arange(len(buckets)), high - low), _spread(low, high - low)
+            gap2 = self._gap2(dx, dy, self.key[b] - middle[a])
+            # the time by which the angle may have grown to the gap, in bins
+            wait = np.ceil((np.sqrt(gap2) - ARCSEC) / self.angle * self.max_days / self.bin - 1 - 1e-6)
+            ok = (gap2 <= self.reach**2) & (wait <= self.parts)
+            a, b, wait = buckets[a[ok]], b[ok], np.maximum(wait[ok], 0).astype(np.int64)
+            size = self.first[a + 1] - self.first[a]
+            cell, b, wait = _spread(self.first[a], size), np.repeat(b, size), np.repeat(wait, size)
+            if wanted is not None:
+                ok = wanted[cell]
+                cell, b, wait = cell[ok], b[ok], wait[ok]
+            whole = wait == 0
+            for c, r, by, to in ((cell[whole], b[whole], -self.parts, self.parts), (cell[~whole], b[~whole], -self.parts, -wait[~whole]), (cell[~whole], b[~whole], wait[~whole], self.parts)):
+                t, r = self.time[c], r * self.bins
+                begin, end = np.maximum(t + by, 0), np.minimum(t + to, self.bins - 1)
+                first, last = np.searchsorted(self.ranked, r + begin), np.searchsorted(self.ranked, r + end, "right")
+                ok = (begin <= end) & (first < last)
+                found.append((c[ok], self.at[first[ok]], self.at[last[ok]]))
+        cell, first, last = (np.concatenate(x) for x in zip(*found))
+        cells, of = np.unique(cell, return_inverse=True)
+        ok = np.bincount(of, last - first, minlength=len(cells))[of] >= least
+        order = np.flatnonzero(ok)[np.argsort(of[ok], kind="stable")]
+        cells, of = np.unique(cell[order], return_inverse=True)
+        if len(cells):
+            yield cells, of, first[order], last[order]
+
+
+def neighbourhoods(path: str, n_rows: int, orbits: DataFrame, arcsec: float, max_days: float, min_detections: int, min_duration: float, min_nights: int, rows_of: bool) -> DataFrame:
+    """The distinct neighbourhoods of linking.neighbours_of_points that pass linking.duration_screen, of equal ones that of the
+    lowest centre, one orbit in a task; ids occur once: (ic_id, centre_intid, n, members), number and sum of the ids; or with
+    rows_of its members (ic_id, centre_intid, intid, angle, dt)."""
+    limit, angle = chord2_of(arcsec * ARCSEC), arcsec * ARCSEC
+    reach = limit**0.5 * (1 + 1e-9)
+    least = max(min_detections, 1)
+
+    def fits(d2: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = np.arccos(np.clip(1.0 - d2 / 2.0, -1.0, 1.0))
+        return (d2 <= limit) & (dt <= max_days) & (wide <= dt / max_days * angle + ARCSEC), wide
+
+    def night_of(epoch: np.ndarray) -> np.ndarray:
+        whole = np.floor(np.abs(epoch))
+        return np.copysign(whole + (np.abs(epoch) - whole >= 0.5), epoch)
+
+    def parts_of(ids: np.ndarray) -> list[np.ndarray]:
+        mixed = _mixed(ids, 1)
+        return [ids & 0x3FFFFFF, (ids >> 26) & 0x3FFFFFF, ids >> 52, (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64), (mixed >> np.uint64(32)).astype(np.int64)]
+
+    def block(c: _Cells, centres: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
+        """Of the centres that pass: (centre, n, sums of parts_of). With lengths in search radii and times in max_days, and for
+        one order in time, d2 - (dt * slope + rest)^2 is a product of matrices; single precision tells all pairs but those at
+        the border, which are looked at again."""
+        slope, rest = angle / reach, ARCSEC / reach
+        ends = [f(c.s[:, centres], axis=1) for f in (np.min, np.max)]
+        origin, start = ((ends[0] + ends[1]) / 2)[:, None], c.epoch[centres[0]]
+        a, ta = (c.s[:, centres] - origin) / reach, (c.epoch[centres] - start) / max_days
+        b, tb = (c.s[:, p] - origin) / reach, (c.epoch[p] - start) / max_days
+        a2, b2, early, late = (a * a).sum(axis=0), (b * b).sum(axis=0), ta.min(), ta.max()
+        most = np.minimum(np.minimum(np.maximum(np.abs(tb - early), np.abs(tb - late)), 1.0) * slope + rest, 1.0)
+        p_ = np.flatnonzero((np.sqrt(b2) <= most + np.sqrt(a2.max()) + 1e-6) & (tb >= early - 1.0 - 1e-6) & (tb <= late + 1.0 + 1e-6))
+        if len(p_) < least:
+            return
+        p_ = p_[np.argsort(tb[p_])]
+        p, b, tb, b2 = p[p_], b[:, p_], tb[p_], b2[p_]
+        epoch, ids = c.epoch[p], c.intid[p]
+        mid = slice(np.searchsorted(tb, early), np.searchsorted(tb, late, "right"))  # points before some centres and after others
+        sense = np.ones(len(p))
+        sense[: mid.start] = -1.0
+
+        def right(sense: np.ndarray | float, k: slice = slice(None)) -> np.ndarray:
+            turn = 2.0 * slope * rest * sense
+            return np.stack([*(-2.0 * b[:, k]), 2.0 * slope**2 * tb[k] + turn, np.ones_like(tb[k]), b2[k] - slope**2 * tb[k] ** 2 - turn * tb[k]]).astype(np.float32)
+
+        left = np.stack([*a, ta, a2 - slope**2 * ta**2 - rest**2, np.ones(len(ta))], axis=1).astype(np.float32)
+        ahead, behind = right(sense), right(-1.0, mid)
+        eps = np.float32(4e-6 * (1.0 + b2.max() + (tb * tb).max()) + limit + 1e-15 / limit)
+        sure = (1.0 - rest) / slope - 1e-6  # until then the angle's limit is below the search radius
+        cuts = [np.searchsorted(tb, ta - 1.0 - 1e-6), np.searchsorted(tb, ta - sure), np.searchsorted(tb, ta + sure, "right"), np.searchsorted(tb, ta + 1.0 + 1e-6, "right")]
+        sums = np.stack([np.ones(len(p)), *parts_of(ids)], axis=1).astype(float)
+        nights = np.flatnonzero(np.diff(night_of(epoch), prepend=np.nan) != 0)
+        step = max(1, BLOCK // len(p))
+        for k in range(0, len(centres), step):
+            w = centres[k : k + step]
+            over = left[k : k + step] @ ahead
+            np.minimum(over[:, mid], left[k : k + step] @ behind, out=over[:, mid])
+            met, maybe = over <= -eps, over <= eps
+            for m, y, l0, l1, r1, r0 in zip(met, maybe, *(x[k : k + step].tolist() for x in cuts)):
+                m[:l1] = m[r1:] = y[:l0] = y[r0:] = False
+            i, j = np.nonzero(maybe ^ met)
+            d = c.s[:, w[i]] - c.s[:, p[j]]
+            met[i, j] = fits(d[0] * d[0] + d[1] * d[1] + d[2] * d[2], np.abs(c.epoch[w[i]] - epoch[j]))[0]
+            total = np.zeros((len(w), sums.shape[1]), np.int64)
+            for m in range(0, len(p), 1 << 20):  # exact up to 2^53
+                total += (met[:, m : m + (1 << 20)].astype(float) @ sums[m : m + (1 << 20)]).astype(np.int64)
+            ok = total[:, 0] >= least
+            ok &= epoch[len(p) - 1 - met[:, ::-1].argmax(axis=1)] - epoch[met.argmax(axis=1)] >= min_duration
+            ok = np.flatnonzero(ok)
+            if len(ok):
+                ok = ok[np.logical_or.reduceat(met[ok], nights, axis=1).sum(axis=1) >= min_nights]
+                yield w[ok], *total[ok].T
+
+    def listed(c: _Cells, found: tuple, use: np.ndarray | None = None) -> Iterator[tuple]:
+        """(centre, point, angle, dt) of the pairs that fit, whole centres at a time in their order; `use`: of these centres."""
+        cells, of, first, last = found
+        size = last - first
+        begin = np.searchsorted(of, np.arange(len(cells) + 1))
+        load = np.add.reduceat(size, begin[:-1])
+        many = np.diff(c.at)[cells]
+        centre, cell = _spread(c.at[cells], many), np.repeat(np.arange(len(cells)), many)
+        if use is not None:
+            centre, cell = centre[use[centre]], cell[use[centre]]
+        batch = np.cumsum(load[cell]) // (2 * BLOCK)
+        for k in np.split(np.arange(len(centre)), np.flatnonzero(np.diff(batch)) + 1):
+            runs = begin[cell[k] + 1] - begin[cell[k]]
+            r = _spread(begin[cell[k]], runs)
+            w, p = np.repeat(np.repeat(centre[k], runs), size[r]), _spread(first[r], size[r])
+            dt = np.abs(c.epoch[p] - c.epoch[w])
+            ok = dt <= max_days
+            w, p, dt = w[ok], p[ok], dt[ok]
+            d = [c.s[x, p] - c.s[x, w] for x in range(3)]
+            d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            ok = d2 <= limit
+            w, p, dt = w[ok], p[ok], dt[ok]
+            ok, wide = fits(d2[ok], dt)
+            yield w[ok], p[ok], wide[ok], dt[ok]
+
+    def sparse(c: _Cells, found: tuple) -> Iterator[tuple]:
+        """What block gives, from lists of pairs."""
+        for w, p, *_ in listed(c, found):
+            size = np.diff(np.flatnonzero(np.diff(w, prepend=-1)), append=len(w))
+            ok = np.repeat(size >= least, size)
+            w, p = w[ok], p[ok]
+            if not len(w):
+                continue
+            cut = np.flatnonzero(np.diff(w, prepend=-1))
+            size = np.diff(cut, append=len(w))
+            epoch = c.epoch[p]
+            night = night_of(epoch)
+            night = night[np.lexsort((night, w))]  # w is in order already
+            fresh = (np.diff(w, prepend=-1) != 0) | (np.diff(night, prepend=0) != 0)
+            ok = (np.maximum.reduceat(epoch, cut) - np.minimum.reduceat(epoch, cut) >= min_duration) & (np.add.reduceat(fresh.astype(np.int64), cut) >= min_nights)
+            if ok.any():
+                yield w[cut[ok]], size[ok], *(np.add.reduceat(x, cut)[ok] for x in parts_of(c.intid[p]))
+
+    def passing(c: _Cells, found: tuple) -> Iterator[tuple]:
+        cells, of, first, last = found
+        begin = np.searchsorted(of, np.arange(len(cells) + 1))
+        dense = np.add.reduceat(last - first, begin[:-1]) * np.diff(c.at)[cells] >= DENSE
+        for k in np.flatnonzero(dense):
+            r = slice(begin[k], begin[k + 1])
+            yield from block(c, np.arange(c.at[cells[k]], c.at[cells[k] + 1]), _spread(first[r], last[r] - first[r]))
+        rest = ~dense[of]
+        if rest.any():
+            cells, of = np.unique(cells[of[rest]], return_inverse=True)
+            yield from sparse(c, (cells, of, first[rest], last[rest]))
+
+    def of_orbit(o: dict) -> Iterator[pd.DataFrame]:
+        s, epoch, intid, n = np.empty((3, n_rows)), np.empty(n_rows), np.empty(n_rows, np.int64), 0
+        for b in batches(path):
+            good, *v = points(o, b)
+            end = n + len(good)
+            s[:, n:end], epoch[n:end], intid[n:end] = v, b["epoch"][good], b["intid"][good]
+            n = end
+        if n < least:
+            return
+        c = _Cells(s[:, :n], epoch[:n], intid[:n], reach, max_days, angle, 1)
+        if c.load() > 16:
+            c = _Cells(c.s, c.epoch, c.intid, reach, max_days, angle, FINE)
+        del s, epoch, intid
+        passed = [x for found in c.near(least) for x in passing(c, found)]
+        if not passed:
+            return
+        centre, size, *sums = (np.concatenate(x) for x in zip(*passed))
+        order = np.lexsort((c.intid[centre], size, *sums))
+        key = np.stack([size, *sums])[:, order]
+        kept = order[np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]]
+        if not rows_of:
+            members = sums[0][kept] + (sums[1][kept] << 26) + (sums[2][kept] << 52)
+            yield pd.DataFrame({"ic_id": o["ic_id"], "centre_intid": c.intid[centre[kept]], "n": size[kept], "members": members})
+            return
+        use = np.zeros(n, bool)
+        use[centre[kept]] = True
+        for found in c.near(least, np.logical_or.reduceat(use, c.at[:-1])):
+            for w, p, wide, dt in listed(c, found, use):
+                yield pd.DataFrame({"ic_id": o["ic_id"], "centre_intid": c.intid[w], "intid": c.intid[p], "angle": wide, "dt": dt})
+
+    def run(rows: list[dict]) -> Iterator[pd.DataFrame]:
+        for o in rows:
+            with np.errstate(all="ignore"):
+                yield from of_orbit(o)
+
+    return over_orbits(orbits, "ic_id string, centre_intid bigint, intid bigint, angle double, dt double" if rows_of else "ic_id string, centre_intid bigint, n bigint, members bigint", run)

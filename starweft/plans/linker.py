@@ -104,7 +104,11 @@ def synced_counts(detections: DataFrame, orbits: DataFrame) -> DataFrame:
 
 
 def point_linker(detections: DataFrame, orbits: DataFrame, arcsec: float = CLUSTER_ARCSEC, min_detections: int = 8, min_duration: float = 20.0, min_nights: int = 6) -> DataFrame:
-    """Members (ic_id, centre_intid, intid) of the distinct neighbourhoods of points that last long enough."""
+    """Members (ic_id, centre_intid, intid) of the distinct neighbourhoods of points that last long enough. Up to half of
+    passes.PASS_ROWS detections with an id each an orbit's points are searched in a task, without a shuffle."""
+    path, n = numbered(detections)
+    if path:
+        return passes.neighbourhoods(path, n, orbits, arcsec, 15.0, min_detections, min_duration, min_nights, True)
     stage = Stage(detections.sparkSession, "point-linker")
     points = sync.sync(detections, orbits).select("ic_id", "intid", "epoch", "s_x", "s_y", "s_z")
     screened = linking.duration_screen(linking.neighbours_of_points(points, ["ic_id"], arcsec), ["ic_id", "centre_intid"], min_detections, min_duration, min_nights)
@@ -113,3 +117,10 @@ def point_linker(detections: DataFrame, orbits: DataFrame, arcsec: float = CLUST
     near = stage.write(linking.neighbours_of_points(points, ["ic_id"], arcsec, only=small(enough, n), n_centres=n))
     first = linking.unique_sets(near, ["ic_id"], "centre_intid", [F.lit(0)])
     return near.join(first, ["ic_id", "centre_intid"], "left_semi").select("ic_id", "centre_intid", "intid", "angle", "dt")
+
+
+def numbered(detections: DataFrame) -> tuple[str | None, int]:
+    """passes.stage; None for the path if there are too many detections for neighbourhoods, or an id is missing or repeated."""
+    path, n = passes.stage(detections)
+    ids = detections.sparkSession.read.parquet(path).select("intid")
+    return (path if n <= passes.PASS_ROWS // 2 and ids.filter("intid is not null").distinct().count() == n else None), n

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starweft.functions import healpix, kepler
 from starweft.functions.constants import COS_OBLIQUITY, MU_BARY, SIN_OBLIQUITY
 from starweft.functions.geometry import night, pointing, to_ecliptic
-from starweft.operators import exposures, fits, grids, iod, linking, orbits, peaks, sync
+from starweft.operators import exposures, fits, grids, iod, linking, orbits, passes, peaks, sync
 from starweft.plans import linker
 from starweft.sources import config, readers
 
@@ -83,6 +83,42 @@ def test_injected_object_is_recovered(spark):
     assert linker.point_linker(det, orb, 30.0).filter("ic_id = 'wrong'").count() == 0
 
 
+def test_point_linker_finds_the_same_by_pass_and_by_shuffle(spark, monkeypatch):
+    """Two objects whose points fall in dense and in sparse cells, one of them seen twice under other ids; a repeated id goes by
+    shuffle."""
+    rows, orbit = one_object(n=40, nights=14, noise=200)
+    rng = np.random.default_rng(5)
+    for k in range(400):  # a crowd around the object's points
+        i, t, x, y, z, *obs = rows[k % 40]
+        v = np.array([x, y, z]) + rng.normal(size=3) * 1.5e-4
+        rows.append((2000 + k, t + float(rng.uniform(-1, 1)), *map(float, v / np.linalg.norm(v)), *obs))
+    rows += [(5000 + i, *rest) for i, *rest in rows[:10]]
+    orb = orbits.spherical(spark.createDataFrame([orbit, (60.0, 0.0, 0.002, 0.1, -1.0, "wrong")], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    det = spark.createDataFrame(rows, SCHEMA)
+
+    def found(det, arcsec):
+        return {tuple(r[:3]): (r["angle"], r["dt"]) for r in linker.point_linker(det, orb, arcsec).collect()}
+
+    monkeypatch.setattr(passes, "BLOCK", 1000)
+    for arcsec in (7.0, 60.0):
+        with monkeypatch.context() as m:
+            m.setattr(passes, "PASS_ROWS", 0)
+            by_shuffle = found(det, arcsec)
+        for dense in (1, 4096, 1 << 40):
+            monkeypatch.setattr(passes, "DENSE", dense)
+            got = found(det, arcsec)
+            assert len(got) > 100 and got.keys() == by_shuffle.keys()
+            assert all(v == pytest.approx(by_shuffle[k], abs=1e-9) for k, v in got.items())
+    assert linker.numbered(det)[0] and not linker.numbered(spark.createDataFrame([*rows, rows[3]], SCHEMA))[0]
+
+
+def test_point_linker_shuffles_no_points(spark):
+    rows, orbit = one_object(n=40, nights=14)
+    orb = orbits.spherical(spark.createDataFrame([orbit], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    plan = linker.point_linker(spark.createDataFrame(rows, SCHEMA), orb)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInPandas" in plan
+
+
 def test_sync_drops_nulls_and_far_latitudes(spark):
     rows, orbit = one_object()
     rows += [(50, None, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (51, EPOCH, None, 0.0, 0.0, 1.0, 0.0, 0.0), (52, EPOCH, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0)]

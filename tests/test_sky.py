@@ -109,6 +109,11 @@ def test_point_linker_finds_the_same_by_pass_and_by_shuffle(spark, monkeypatch):
             got = found(det, arcsec)
             assert len(got) > 100 and got.keys() == by_shuffle.keys()
             assert all(v == pytest.approx(by_shuffle[k], abs=1e-9) for k, v in got.items())
+            sums = {}
+            for o, c, i in got:
+                n, members = sums.get((o, c), (0, 0))
+                sums[o, c] = n + 1, members + i
+            assert {(r["ic_id"], r["centre_intid"]): (r["n"], r["members"]) for r in linker.point_sums(det, orb, arcsec, 8, 20.0, 6).collect()} == sums
     assert linker.numbered(det)[0] and not linker.numbered(spark.createDataFrame([*rows, rows[3]], SCHEMA))[0]
 
 

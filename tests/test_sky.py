@@ -117,6 +117,35 @@ def test_point_linker_finds_the_same_by_pass_and_by_shuffle(spark, monkeypatch):
     assert linker.numbered(det)[0] and not linker.numbered(spark.createDataFrame([*rows, rows[3]], SCHEMA))[0]
 
 
+def test_point_sums_search_equal_detections_once(spark, monkeypatch):
+    """Each of an object's crowd is there three times, under ids of any size; tiles of few centres and columns."""
+    rows, orbit = one_object(n=40, nights=14, noise=50)
+    rng = np.random.default_rng(8)
+    for k in range(300):
+        i, t, x, y, z, *obs = rows[k % 40]
+        v = np.array([x, y, z]) + rng.normal(size=3) * 1e-4
+        rows.append((2000 + k, t + float(rng.uniform(-4, 4)), *map(float, v / np.linalg.norm(v)), *obs))
+    n = len(rows)
+    rows += [(i + 10**6, *rest) for i, *rest in rows] + [((i + 1) << 40 if i % 2 else -1 - i, *rest) for i, *rest in rows]
+    det = spark.createDataFrame(rows, SCHEMA)
+    orb = orbits.spherical(spark.createDataFrame([orbit], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
+    assert passes.stage_distinct(spark, linker.numbered(det)[0])[1] == n
+
+    def found(arcsec):
+        return {r["centre_intid"]: (r["n"], r["members"]) for r in linker.point_sums(det, orb, arcsec, 24, 10.0, 4).collect()}
+
+    monkeypatch.setattr(passes, "COLUMNS", 64)
+    for arcsec in (7.0, 30.0, 120.0):
+        with monkeypatch.context() as m:
+            m.setattr(passes, "PASS_ROWS", 0)
+            by_shuffle = found(arcsec)
+        assert len(by_shuffle) > 10
+        for dense, tile in ((1, 8), (1, 1 << 20), (1 << 40, 8)):
+            monkeypatch.setattr(passes, "DENSE", dense)
+            monkeypatch.setattr(passes, "TILE", tile)
+            assert found(arcsec) == by_shuffle
+
+
 def test_point_linker_shuffles_no_points(spark):
     rows, orbit = one_object(n=40, nights=14)
     orb = orbits.spherical(spark.createDataFrame([orbit], "r double, vr double, vo double, inc double, kappa double, id string"), EPOCH)
